@@ -11,8 +11,9 @@ moved to a page, never its text.
 Defined results. A line is the text between block-level tags with entities decoded and white space collapsed; empty lines
 don't count. The alignment is the one found from the first lines on, leaving out a line of the partner where that loses
 nothing and else one of the page. A page that is alone on its host keeps all its lines. A page whose html is null or has no text has
-null respectively empty text. A null url, or one without a host, is alone, as is a row with a null id. Rows repeating an id are pages of
-their own, and of an exact copy next to its twin nothing remains. An empty table gives no rows. Further columns are ignored.
+null respectively empty text. A null url, or one without a host, is alone, as is a row with a null id. Rows repeating an id
+are pages of their own unless they also repeat url and html: such rows are one page, given once a row. Of an exact copy next to its twin
+nothing remains. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,19 +121,18 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def _shared(a: Column, b: Column) -> Column:
-    """Length of the common prefix of two paths in whole segments, and then in characters of the next one."""
-    x, y = F.split(a, "/", -1), F.split(b, "/", -1)
-    n = F.least(F.size(x), F.size(y))
-    same = F.size(F.filter(F.sequence(F.lit(1), n), lambda i: F.slice(x, F.lit(1), i) == F.slice(y, F.lit(1), i)))
-    left, right = F.coalesce(F.get(x, same), F.lit("")), F.coalesce(F.get(y, same), F.lit(""))
-    m = F.least(F.length(left), F.length(right))
-    chars = F.size(F.filter(F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(left, F.lit(1), i) == F.substring(right, F.lit(1), i)))
-    return same.cast("bigint") * (1 << 32) + chars
+    """How much of the beginning of two paths is alike: whole segments first, then characters."""
+
+    def alike(x: Column, y: Column) -> Column:
+        wrong = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False)
+        return F.when(wrong > 0, wrong - 1).otherwise(F.size(x))
+
+    return alike(F.split(a, "/", -1), F.split(b, "/", -1)) * (1 << 32) + alike(F.split(a, ""), F.split(b, ""))
 
 
 def nearest_pages(keys: DataFrame) -> DataFrame:
-    """(row, partner) for (row, page_id, host, path): each row's nearest neighbour on its host; rows without any are left out."""
-    order = ["host", "path", "page_id", "row"]
+    """(page_id, mark, partner, partner_mark) for distinct (page_id, mark, host, path): each page's nearest neighbour on its host; pages without any are left out."""
+    order = ["host", "path", "page_id", "mark"]
     ranged = keys.filter("host is not null and page_id is not null").repartitionByRange(*order).sortWithinPartitions(*order)
     ranged, _ = written(ranged.select(*order, F.spark_partition_id().alias("part")), "ranged")
     ends = ranged.groupBy("part").agg(F.min(F.struct(*order)).alias("first"), F.max(F.struct(*order)).alias("last"))
@@ -140,37 +141,38 @@ def nearest_pages(keys: DataFrame) -> DataFrame:
     ends = ends.select("part", F.lag("last").over(parts).alias("last"), F.lead("first").over(parts).alias("first"))
     inside = Window.partitionBy("part").orderBy(*order)
     near = ranged.select("*", F.lag(F.struct(*order)).over(inside).alias("up"), F.lead(F.struct(*order)).over(inside).alias("down"))
-    near = near.join(F.broadcast(ends), "part", "left").select(*order, F.coalesce("up", "last").alias("up"), F.coalesce("down", "first").alias("down"))
+    near = near.join(ends, "part", "left").select(*order, F.coalesce("up", "last").alias("up"), F.coalesce("down", "first").alias("down"))
     score = lambda side: F.when(F.col(f"{side}.host") == F.col("host"), _shared(F.col("path"), F.col(f"{side}.path"))).otherwise(F.lit(-1))
-    near = near.select("row", "up", "down", score("up").alias("above"), score("down").alias("below"))
-    return near.filter((F.col("above") >= 0) | (F.col("below") >= 0)).select("row", F.when(F.col("above") >= F.col("below"), F.col("up.row")).otherwise(F.col("down.row")).alias("partner"))
+    near = near.select("page_id", "mark", "up", "down", score("up").alias("above"), score("down").alias("below")).filter("above >= 0 or below >= 0")
+    best = F.when(F.col("above") >= F.col("below"), F.col("up")).otherwise(F.col("down"))
+    return near.select("page_id", "mark", best.alias("best")).select("page_id", "mark", F.col("best.page_id").alias("partner"), F.col("best.mark").alias("partner_mark"))
 
 
-_LINED = "page_id bigint, url string, host string, path string, lines array<string>, hashes array<bigint>"
-_KINDS = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())]
+def _hash(lines: list[str]) -> np.ndarray:
+    return np.frombuffer(b"".join(blake2b(x.encode(), digest_size=8).digest() for x in lines), np.int64)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split(" ")[0] for x in _LINED.split(", ")]
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at, rows, hashes, held = 0, [], [], 0
-        for i in range(batch.num_rows):
-            page = batch.column(4)[i].as_py()
-            lines = None if page is None else text_lines(page)
-            rows.append(lines)
-            hashes.append(None if lines is None else np.frombuffer(b"".join(blake2b(x.encode(), digest_size=8).digest() for x in lines), np.int64))
-            held += len(page or "")
-            if held > 4 << 20 or i == batch.num_rows - 1:
-                part = batch.slice(at, len(rows))
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(rows, _KINDS[4]), pa.array(hashes, _KINDS[5])], names=names)
-                at, rows, hashes, held = i + 1, [], [], 0
+        hashes = [_hash(text_lines(page.as_py() or "")) for page in batch.column(4)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(hashes, pa.list_(pa.int64()))], names=["page_id", "mark", "host", "path", "hashes"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        lines = [None if (page := x.as_py()) is None else pack("\n".join(text_lines(page)).encode()) for x in batch.column(3)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lines, pa.binary())], names=["page_id", "mark", "url", "lines"])
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         texts, kept, total = [], [], []
-        for lines, own, other in zip(*(batch.column(c).to_pylist() for c in (3, 4, 5))):
-            keep = None if lines is None else [True] * len(lines) if other is None else lcs_keep(own, other)
+        for packed, other in zip(batch.column(3), batch.column(4)):
+            packed, other = packed.as_py(), other.as_py()
+            lines = None if packed is None else [x for x in unpack(packed).decode().split("\n") if x]
+            keep = None if lines is None else [True] * len(lines) if other is None else lcs_keep(_hash(lines).tolist(), other)
             texts.append(None if keep is None else "\n".join(x for x, k in zip(lines, keep) if k))
             kept.append(None if keep is None else sum(keep))
             total.append(None if keep is None else len(keep))
@@ -178,13 +180,17 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, partner_id, n_lines, n_kept, text): each page's own lines."""
+    """(page_id, url, partner_id, n_lines, n_kept, text): each page's own lines.
+
+    Pages are parsed twice, so that between the two only hashes of lines are kept, and then each page's lines move once, compressed.
+    """
     host, path = url_parts(F.col(url_col))
-    named = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
-    # ids may repeat, so rows get a number, which is fixed by writing it
-    lined, _ = written(named.mapInArrow(_lines, _LINED).withColumn("row", F.monotonically_increasing_id()), "lines")
-    near = nearest_pages(lined.select("row", "page_id", "host", "path"))
-    other = lined.select(F.col("row").alias("partner"), F.col("page_id").alias("partner_id"), F.coalesce("hashes", F.array().cast("array<bigint>")).alias("other"))
-    paired = near.join(other, "partner").select("row", "partner_id", "other")
-    both = lined.join(paired, "row", "left").select("page_id", "url", "partner_id", "lines", "hashes", "other")
+    named = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.xxhash64(url_col, html_col).alias("mark"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
+    named_keys = named.filter("page_id is not null and host is not null").select("page_id", "mark", "host", "path", "html")
+    hashed, _ = written(named_keys.mapInArrow(_hashed, "page_id bigint, mark bigint, host string, path string, hashes array<bigint>"), "hashes")
+    near = nearest_pages(hashed.select("page_id", "mark", "host", "path").distinct())
+    other = hashed.select(F.col("page_id").alias("partner"), F.col("mark").alias("partner_mark"), F.col("hashes").alias("other")).dropDuplicates(["partner", "partner_mark"])
+    paired = near.join(other, ["partner", "partner_mark"]).select("page_id", "mark", F.col("partner").alias("partner_id"), "other")
+    lines = named.select("page_id", "mark", "url", "html").mapInArrow(_packed, "page_id bigint, mark bigint, url string, lines binary")
+    both = lines.join(paired, ["page_id", "mark"], "left").select("page_id", "url", "partner_id", "lines", "other")
     return both.mapInArrow(_difference, "page_id bigint, url string, partner_id bigint, n_lines int, n_kept int, text string")
