@@ -1,9 +1,10 @@
 """Sharding by Karmarkar-Karp differencing: whole groups of documents go to shards of nearly equal bytes.
 
 A partial partition is a tuple of k sums. The two partial partitions with the largest spread are combined, the largest
-sum of one with the smallest of the other, until one is left. That needs all of them in one heap, so it runs as a tree:
-groups are dealt by hash into nodes of about ``fan_in`` members, each node differences its members into one partial
-partition, and these are differenced in turn until there is one. A node's state is bounded by ``fan_in``, at any size.
+sum of one with the smallest of the other, until one is left. That needs all of them in one heap. Up to ``fan_in`` groups
+are differenced so; of more, the ``fan_in`` largest are first, and the rest are dealt by hash into nodes of about ``fan_in``.
+Each node differences its groups together with its share of the largest groups' sums, as one more partial partition, and
+so levels its part of what they left uneven. A node's state is bounded by ``fan_in``, at any size.
 
 Defined results. Groups are documents with one key; by default the key is a hash of the whole text, so identical copies
 share a shard. A null text has 0 bytes, and all null texts are one group. Ties in spread go to the lower member id. Rows
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, written
+from .common import written
 
 SHARDS = 64
 FAN_IN = 8192
@@ -52,49 +53,45 @@ def difference(sums: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     return nodes[top], [where[i] for i in range(n)]
 
 
-def _node(shards: int, leaf: bool):
+SCHEMA = "id bigint, shard int, sums array<bigint>"
+
+
+def _node(shards: int, carried: list[int] | None):
+    """Differences a node's groups; what is ``carried`` keeps its slots, and without it a row of the sums comes along."""
+
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
-        if leaf:
-            members = []
-            for size in pdf["size"]:
-                one = np.zeros(shards, np.int64)
-                one[0] = size
-                members.append(one)
-        else:
-            members = list(pdf["sums"])
-        sums, slots = difference(members)
-        node = int(pdf["node"].iloc[0])
-        if leaf:
-            out = pd.DataFrame({"node": node, "id": pdf["id"].to_numpy(), "slots": [[int(s[0])] for s in slots], "sums": None})
-        else:
-            out = pd.DataFrame({"node": node, "id": pdf["id"].to_numpy(), "slots": [s.tolist() for s in slots], "sums": None})
-        top = pd.DataFrame({"node": [node], "id": [None], "slots": [None], "sums": [sums.tolist()]})
-        return pd.concat([out.astype({"id": "Int64"}), top.astype({"id": "Int64"})])
+        members = np.zeros((len(pdf), shards), np.int64)
+        members[:, 0] = pdf["size"]
+        first = [] if carried is None else [np.array(carried, np.int64)]
+        sums, slots = difference([*first, *members])
+        named = np.arange(shards)
+        if first:  # final slot -> the slot of what was carried that ended there
+            named = np.argsort(slots[0])
+            slots = slots[1:]
+        out = pd.DataFrame({"id": pdf["id"].to_numpy(), "shard": [int(named[s[0]]) for s in slots], "sums": None}).astype({"id": "Int64", "shard": "Int32"})
+        if carried is None:
+            out = pd.concat([out, pd.DataFrame({"id": [None], "shard": [None], "sums": [sums.tolist()]}).astype({"id": "Int64", "shard": "Int32"})])
+        return out
 
     return combine
 
 
 def assign(groups: DataFrame, shards: int = SHARDS, fan_in: int = FAN_IN) -> DataFrame:
     """(id, shard) for groups (id, size) with distinct ids."""
-    level, leaf = groups, True
-    schema = "node bigint, id bigint, slots array<int>, sums array<bigint>"
-    levels = []
     count = groups.count()
-    while True:
-        nodes = max(1, -(-count // fan_in))
-        dealt = level.withColumn("node", F.pmod(F.xxhash64("id"), F.lit(nodes)))
-        out, _ = written(dealt.groupBy("node").applyInPandas(_node(shards, leaf), schema), "level")
-        levels.append(out.filter("id is not null").select("node", "id", "slots"))
-        if nodes == 1:
-            break
-        level, leaf = out.filter("id is null").select(F.col("node").alias("id"), "sums"), False
-        count = level.count()
-    result = levels[0].select("id", "node", F.get("slots", F.lit(0)).alias("shard"))
-    for up in levels[1:]:
-        side = sized(up.select(F.col("node").alias("up"), F.col("id").alias("node"), "slots"), "slots")
-        result = result.join(side, "node").select("id", F.col("up").alias("node"), F.get("slots", F.col("shard")).alias("shard"))
-    return result.select("id", "shard")
+    large = groups if count <= fan_in else groups.orderBy(F.desc("size"), "id").limit(fan_in)
+    done, _ = written(large.withColumn("node", F.lit(0)).groupBy("node").applyInPandas(_node(shards, None), SCHEMA), "large")
+    out = done.filter("id is not null").select("id", "shard")
+    if count <= fan_in:
+        return out
+    sums = done.filter("id is null").first()["sums"]
+    least = out.join(groups, "id").agg(F.max_by(F.struct("size", "id"), F.struct(-F.col("size"), F.col("id"))).alias("m")).select("m.*").first()
+    rest = groups.filter((F.col("size") < least["size"]) | ((F.col("size") == least["size"]) & (F.col("id") > least["id"])))
+    nodes = -(-(count - fan_in) // fan_in)
+    share = [s // nodes for s in sums]
+    dealt = rest.withColumn("node", F.pmod(F.xxhash64("id"), F.lit(nodes)))
+    return out.unionByName(dealt.groupBy("node").applyInPandas(_node(shards, share), SCHEMA).select("id", "shard"))
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None, shards: int = SHARDS, fan_in: int = FAN_IN) -> DataFrame:
