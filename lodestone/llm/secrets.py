@@ -18,7 +18,7 @@ and kept by ``redact``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import sized, written
@@ -49,21 +49,21 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """(scope, doc_id, kind, role, strong, start_at, end_at, fingerprint): all parts, strong or weak."""
     text = docs.filter(F.col(text_col).rlike(HINT)).select(scope_key(id_col, text_col).alias("scope"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     cut = text.select("scope", "doc_id", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("found"), F.split("text", PATTERN, -1).alias("between")).filter(F.size("found") > 0)
+    each = cut.select("scope", "doc_id", F.posexplode(F.arrays_zip(F.col("found").alias("value"), F.transform("between", F.length).alias("gap"))).alias("i", "p")).filter("p.value is not null")
+    each = each.select("scope", "doc_id", "i", F.col("p.value").alias("value"), F.col("p.gap").alias("gap")).dropDuplicates(["scope", "i"])
     # a part begins after all that is before it: the texts between, and the parts before it
-    gaps, lengths = F.transform("between", F.length), F.transform("found", F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    steps = F.aggregate(F.sequence(F.lit(0), F.size("found") - 1), start, lambda acc, i: F.struct((acc["at"] + F.get(gaps, i) + F.get(lengths, i)).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + F.get(gaps, i))).alias("starts")))
-    flat = cut.select("scope", "doc_id", F.explode(F.arrays_zip(F.col("found").alias("value"), steps["starts"].alias("start"))).alias("p"))
-    value = F.col("p.value")
+    before = Window.partitionBy("scope").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    value = F.col("value")
+    flat = each.withColumn("start_at", (F.sum(F.col("gap") + F.length("value")).over(before) - F.length("value")).cast("int"))
     kind = F.when(F.lit(False), F.lit(""))
     for name, _, _, pattern in KINDS:
         kind = kind.when(value.rlike(f"^(?:{pattern})$"), F.lit(name))
-    flat = flat.select("scope", "doc_id", kind.alias("kind"), F.col("p.start").alias("start_at"), (F.col("p.start") + F.length(value)).alias("end_at"), F.sha2(value, 256).alias("fingerprint"))
+    flat = flat.select("scope", "doc_id", kind.alias("kind"), "start_at", (F.col("start_at") + F.length(value)).alias("end_at"), F.sha2(value, 256).alias("fingerprint"))
     role, strong = F.when(F.lit(False), F.lit("")), F.lit(False)
     for name, what, sure, _ in KINDS:
         role = role.when(F.col("kind") == name, F.lit(what))
         strong = strong | (F.lit(sure) & (F.col("kind") == name))
-    return flat.select("scope", "doc_id", "kind", role.alias("role"), strong.alias("strong"), "start_at", "end_at", "fingerprint").distinct()
+    return flat.select("scope", "doc_id", "kind", role.alias("role"), strong.alias("strong"), "start_at", "end_at", "fingerprint")
 
 
 def link(found: DataFrame, window: int = WINDOW) -> DataFrame:
