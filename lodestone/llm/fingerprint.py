@@ -34,7 +34,7 @@ def sketch_rows(raw: np.ndarray, offsets: np.ndarray, scale: int, k: int) -> tup
     """Kept hashes (distinct and ascending within a row), where each row's begin, and each row's number of shingles."""
     words, first = word_hashes(raw, offsets)
     hashes, at = shingle_hashes(words, first, k)
-    kept = np.flatnonzero(hashes < np.uint64((1 << 64) // scale))
+    kept = np.flatnonzero(hashes <= np.uint64(((1 << 64) - 1) // scale))
     row = np.searchsorted(at, kept, side="right") - 1
     value = hashes[kept]
     order = np.lexsort((value, row))
@@ -74,7 +74,9 @@ def contained(table: DataFrame, threshold: float = THRESHOLD, min_hashes: int =
     ids = table.filter("id is not null and size(sketch) > 0").groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))).alias("sketch"))
     # equal sketches share a representative; two 64-bit hashes of the list stand for it
     marked, _ = written(ids.select("id", F.xxhash64("sketch").alias("m1"), F.hash("sketch").alias("m2"), F.size("sketch").alias("n"), "sketch"), "sketches")
-    heads = marked.groupBy("m1", "m2", "n").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("twins"))
+    # sketches too small to estimate by are only containers, and stay apart
+    alone = F.when(F.col("n") < min_hashes, F.col("id")).otherwise(F.lit(-1)).alias("alone")
+    heads = marked.groupBy("m1", "m2", "n", alone).agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("twins"))
     copies = marked.select("id", "m1", "m2", "n").join(heads.filter(f"twins > 1 and n >= {int(min_hashes)}"), ["m1", "m2", "n"]).filter("id > head")
     copies = copies.select(F.col("id").alias("doc_id"), F.col("head").alias("container_id"), F.col("n").alias("shared"), F.col("n").alias("n_doc"), F.col("n").alias("n_container"), F.lit(1.0).alias("containment"))
     single, _ = written(marked.join(heads.select(F.col("head").alias("id")), "id", "left_semi").select("id", "n", "sketch"), "heads")

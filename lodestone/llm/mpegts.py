@@ -119,11 +119,12 @@ def _aligned(data: bytes) -> np.ndarray:
     rows = raw[:whole].reshape(-1, PACKET)
     if len(rows) and (rows[:, 0] == 0x47).all():
         return rows
-    good, at, n = [], 0, len(data)
+    # a packet counts if another begins right behind it, or if it begins where one ended
+    good, at, n, after = [], 0, len(data), -1
     while at + PACKET <= n:
-        if data[at] == 0x47 and (at + PACKET == n or at + PACKET > n - PACKET or data[at + PACKET] == 0x47):
+        if data[at] == 0x47 and (at == after or at + PACKET == n or data[at + PACKET] == 0x47):
             good.append(at)
-            at += PACKET
+            at = after = at + PACKET
         else:
             at = data.find(b"\x47", at + 1)
             if at < 0:

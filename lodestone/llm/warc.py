@@ -71,14 +71,14 @@ class _Member:
     """The inflated bytes of one gzip member, or all bytes of a file without gzip."""
 
     def __init__(self, source: _Source, gzipped: bool):
-        self.source, self.z, self.buffer, self.ended, self.broken = source, zlib.decompressobj(31) if gzipped else None, bytearray(), False, False
+        self.source, self.z, self.buffer, self.ended, self.broken, self.cut = source, zlib.decompressobj(31) if gzipped else None, bytearray(), False, False, False
 
     def more(self) -> bool:
         if self.ended:
             return False
         data = self.source.take()
         if not data:
-            self.ended, self.broken = True, self.z is not None
+            self.ended, self.cut = True, self.z is not None
             return False
         if self.z is None:
             self.buffer += data
@@ -142,19 +142,21 @@ def _headers(text: bytes) -> dict[str, str]:
 def _record(member: _Member) -> dict | None:
     member.blank()
     if not member.buffer:
-        return {"status": "bad_gzip"} if member.broken else None
+        return {"status": "bad_gzip"} if member.broken else {"status": "truncated"} if member.cut else None
     head = member.until(b"\r\n\r\n")
     version = (head or b"").split(b"\r\n", 1)[0]
     fields = _headers((head or b"").partition(b"\r\n")[2])
     length = fields.get("content-length", "")
     if head is None or not version.startswith(b"WARC/") or not length.isascii() or not length.isdigit():
-        broken = member.broken
+        status = "bad_gzip" if member.broken else "truncated" if head is None and (member.cut or member.buffer.startswith(b"WARC/")) else "bad_header"
         member.skip()
-        return {"status": ("bad_gzip" if member.z is not None and broken else "truncated" if head is None else "bad_header"), "fields": fields}
+        member.cut = False
+        return {"status": status, "fields": fields}
     block = member.exactly(int(length))
     row = {"fields": fields, "record_type": fields.get("warc-type"), "record_id": fields.get("warc-record-id"), "target_uri": fields.get("warc-target-uri"), "warc_date": fields.get("warc-date"), "content_type": fields.get("content-type"), "content_length": int(length)}
     if len(block) < int(length):
-        return row | {"status": "truncated", "payload": block}
+        status, member.cut = "bad_gzip" if member.broken else "truncated", False
+        return row | {"status": status, "payload": block}
     payload = block
     if fields.get("content-type", "").lower().startswith("application/http"):
         first, _, payload = block.partition(b"\r\n\r\n")
