@@ -31,7 +31,7 @@ def dynamic_scale(vectors: DataFrame, mean: DataFrame) -> DataFrame:
     cell = up_to.filter(F.col("total") > F.floor(F.col("all") / 2)).agg(F.min_by(F.struct("cell", (F.floor(F.col("all") / 2) - F.col("total") + F.col("n")).alias("skip")), "cell").alias("c")).select("c.*")
     inside = dev.join(F.broadcast(cell), F.floor(F.col("d") * 4096) == F.col("cell"))
     ranked = inside.withColumn("r", F.row_number().over(Window.orderBy("d"))).filter(F.col("r") == F.col("skip") + 1)
-    return ranked.agg(F.coalesce(F.greatest(F.lit(0.05), F.least(F.lit(0.5), 2 * F.max("d"))), F.lit(0.2)).alias("scale"))
+    return ranked.agg(F.when(F.max("d").isNull(), 0.2).otherwise(F.greatest(F.lit(0.05), F.least(F.lit(0.5), 2 * F.max("d")))).alias("scale"))
 
 
 def dense_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def minmax(scored: DataFrame, by: str = "qid") -> DataFrame:
 
 def confidence(scored: DataFrame, by: str = "qid") -> DataFrame:
     """(qid, confidence): 1 - entropy / ln n of the scores' shares; 0 if they sum to 0, 1 for a single one."""
-    total = scored.withColumn("p", F.col("score") / F.sum("score").over(Window.partitionBy(by)))
+    total = scored.withColumn("p", F.try_divide("score", F.sum("score").over(Window.partitionBy(by))))
     entropy = F.sum(F.when(F.col("p") > 0, -F.col("p") * F.ln("p")).otherwise(0.0))
     return total.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"), entropy.alias("h")).select(
         by, F.when(F.col("s") <= 0, 0.0).when(F.col("n") == 1, 1.0).otherwise(1 - F.col("h") / F.ln(F.col("n").cast("double"))).alias("confidence")
