@@ -176,8 +176,8 @@ def density(pairs: str) -> str:
     tp AS MATERIALIZED (SELECT doc_id, {clean} AS term, pos FROM (SELECT doc_id, unnest(w) AS x, unnest(range(0, len(w))) AS pos FROM (SELECT doc_id, {spaced(norm("text"))} AS w FROM documents))),
     oc AS MATERIALIZED (SELECT p.qid, p.doc_id, e.term, pos, coalesce(idf, 0.5) AS w FROM ({pairs}) p JOIN e ON e.qid = p.qid JOIN tp ON tp.doc_id = p.doc_id AND tp.term = e.term WHERE p.qid IN (SELECT qid FROM e GROUP BY 1 HAVING count(*) >= 2)),
     ac AS (SELECT qid, doc_id, count(*) AS n, sum(w) AS w FROM (SELECT DISTINCT qid, doc_id, term, w FROM oc) GROUP BY 1, 2 HAVING count(*) >= 2),
-    gr AS (SELECT a.qid, a.doc_id, a.pos, t.term, max(CASE WHEN o.term = t.term THEN a.pos END) OVER (PARTITION BY a.qid, a.doc_id, t.term ORDER BY a.pos ROWS UNBOUNDED PRECEDING) AS last
-           FROM (SELECT DISTINCT qid, doc_id, pos FROM oc) a JOIN (SELECT DISTINCT qid, doc_id, term FROM oc) t ON a.qid = t.qid AND a.doc_id = t.doc_id JOIN oc o ON o.qid = a.qid AND o.doc_id = a.doc_id AND o.pos = a.pos),
+    gr AS (SELECT g.qid, g.doc_id, g.pos, o.pos AS last FROM (SELECT a.qid, a.doc_id, a.pos, t.term FROM (SELECT DISTINCT qid, doc_id, pos FROM oc) a JOIN (SELECT DISTINCT qid, doc_id, term FROM oc) t ON a.qid = t.qid AND a.doc_id = t.doc_id) g
+           ASOF LEFT JOIN oc o ON o.qid = g.qid AND o.doc_id = g.doc_id AND o.term = g.term AND g.pos >= o.pos),
     sp AS (SELECT qid, doc_id, min(span) AS span FROM (SELECT qid, doc_id, pos, pos - min(last) + 1 AS span, count(last) AS n FROM gr GROUP BY 1, 2, 3) g JOIN ac USING (qid, doc_id) WHERE g.n = ac.n GROUP BY 1, 2),
     dn AS MATERIALIZED (SELECT qid, doc_id, pow(w, 1.5) / (ln(greatest(1, span)) + 1) AS density FROM sp JOIN ac USING (qid, doc_id))"""
 
@@ -189,9 +189,10 @@ def hybrid_q(queries: str = "q") -> str:
     sd AS (SELECT qid, q_mean, q_mean < 2.2 AND q_terms > 4 AS dialogue, list_filter({spaced("text")}, lambda w: strlen(w) >= 3 AND regexp_matches(w[1], '\\p{{Lu}}')) AS speakers FROM qs JOIN q USING (qid)),
     pr AS (SELECT q.qid, dl.doc_id, n_terms, (SELECT greatest(avg(n_terms), 1.0) FROM dl) AS average, q.text FROM {queries} q, dl),
     bs AS MATERIALIZED (SELECT pr.qid, pr.doc_id, CASE WHEN contains(body, lower(pr.text)) THEN 1.0 WHEN n_hit IS NULL THEN 0.0
-           ELSE ({weight} * coalesce(greatest(0.0, 1 - dist / 64.0), 0) + (1 - {weight}) * {LEX} * coalesce(boost, 1.0)) * {talk} END AS base
+           ELSE ({weight} * coalesce(greatest(0.0, 1 - dist / 64.0), 0) + (1 - {weight}) * {LEX} * coalesce(boost, 1.0)) * {talk} END AS base, coalesce(n_hit, 0) AS n_hit, coalesce(o_sum, 0) AS o_sum
            FROM pr JOIN body ON pr.doc_id = body.doc_id LEFT JOIN ht ON pr.qid = ht.qid AND pr.doc_id = ht.doc_id LEFT JOIN sd ON pr.qid = sd.qid LEFT JOIN ham ON pr.qid = ham.qid AND pr.doc_id = ham.doc_id LEFT JOIN ph ON pr.qid = ph.qid AND pr.doc_id = ph.doc_id),
-    {density("SELECT qid, doc_id FROM bs WHERE base > 0")},
+    fl AS (SELECT qid, min(base) AS floor_ FROM (SELECT qid, base, row_number() OVER (PARTITION BY qid ORDER BY base DESC) AS r FROM bs) WHERE r <= {K} GROUP BY 1),
+    {density("SELECT bs.qid, bs.doc_id FROM bs JOIN fl ON bs.qid = fl.qid WHERE base > 0 AND base * (1 + 0.25 * CASE WHEN n_hit >= 2 THEN pow(o_sum, 1.5) / (ln(n_hit) + 1) ELSE 0 END) >= floor_ - 1e-6")},
     fq AS (SELECT bs.qid, bs.doc_id, base * (1 + 0.25 * coalesce(density, 0)) AS score FROM bs LEFT JOIN dn ON bs.qid = dn.qid AND bs.doc_id = dn.doc_id)"""
 
 
