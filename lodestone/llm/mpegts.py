@@ -270,7 +270,7 @@ def _mux_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             units = [(line.encode(), FIRST_PTS + UNIT_TICKS * k, FIRST_PTS + UNIT_TICKS * (k - 1) if k % 2 else None, k % KEY_EVERY == 0) for k, line in enumerate(text.split("\n"))]
             media.append(mux(units))
             held += len(media[-1])
-            if held > 8 << 20:
+            if held > 2 << 20:
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(media)), pa.array(media, pa.binary())], names=["id", "media"])
                 at, media, held = i + 1, [], 0
         yield pa.RecordBatch.from_arrays([ids.slice(at, len(media)), pa.array(media, pa.binary())], names=["id", "media"])
@@ -299,7 +299,7 @@ def _demux_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             ids += [batch.column(0)[i].as_py()] * len(units)
             rows += units
             held += len(media)
-            if held > 8 << 20:
+            if held > 2 << 20:
                 yield batch_of(ids, rows)
                 ids, rows, held = [], [], 0
         yield batch_of(ids, rows)
@@ -312,7 +312,9 @@ def access_units(media: DataFrame, id_col: str = "id", media_col: str = "media")
 
 def text_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's text through a media column: written as a stream, taken apart, and given back by unit."""
-    units = access_units(text_media(docs, id_col, text_col))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    # both steps in one worker: the media column passes between them in Arrow batches and not through the JVM
+    units = rows.mapInArrow(lambda batches: _demux_column(_mux_text(batches)), "id bigint, " + UNITS)
     return units.select(
         F.col("id").alias("doc_id"), "program", "pid", "stream_type", "unit", "pts", "dts", "random_access", "lost_packets", "status",
         F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.col("payload").cast("string").alias("line"),
