@@ -32,8 +32,8 @@ def expand(queries: DataFrame, idfs: DataFrame) -> DataFrame:
 
     ``kind`` is ``code``, ``known``, ``compound`` (its parts and itself), ``typo`` (words of the same sound instead) or ``oov``.
     """
-    said = query_words(queries)
-    known = said.select("word").distinct().join(idfs.select(F.col("term").alias("word"), F.col("idf").alias("word_idf")), "word", "left")
+    asked = query_words(queries)
+    known = asked.select("word").distinct().join(idfs.select(F.col("term").alias("word"), F.col("idf").alias("word_idf")), "word", "left")
     compound = F.col("word").isin(*tx.COMPOUNDS)
     kinds = known.withColumn("kind", F.when(tx.is_code(F.col("word")), "code").when(F.col("word_idf").isNotNull(), "known").when(compound, "compound"))
     typos = fuzzy(kinds.filter("kind is null"), idfs).filter("term <> word").select("word", F.col("term").alias("near"))
@@ -44,7 +44,7 @@ def expand(queries: DataFrame, idfs: DataFrame) -> DataFrame:
     )
     meaning = meaning.select("word", "kind", F.explode("terms").alias("term"))
     meaning = meaning.join(idfs.select("term", "idf"), "term", "left")
-    return said.join(meaning, "word").select("qid", "pos", "word", "kind", "term", "idf")
+    return asked.join(meaning, "word").select("qid", "pos", "word", "kind", "term", "idf")
 
 
 def expanded_terms(expansion: DataFrame) -> DataFrame:

@@ -114,22 +114,21 @@ def span_density(pairs: DataFrame, expanded: DataFrame, docs: DataFrame) -> Data
 
     The occurrences are walked once in order, with the last position of every word that the document has.
     """
-    # number the words of a query; its state is an array as long
-    every = F.array_sort(F.collect_list(F.struct("term", F.coalesce("idf", F.lit(DEFAULT_IDF)).alias("w"))))
-    numbered = expanded.groupBy("qid").agg(every.alias("q"), F.transform(every, lambda t: t["term"]).alias("names"))
-    met = pairs.select("qid", "doc_id").join(numbered, "qid").filter(F.size("q") >= 2).join(term_positions(docs), "doc_id")
-    met = met.select("qid", "doc_id", "q", F.filter(F.transform("at", lambda a: F.struct(a["pos"].alias("pos"), F.array_position("names", a["term"]).cast("int").alias("t"))), lambda a: a["t"] > 0).alias("occ"))
-    met = met.withColumn("act", F.array_sort(F.array_distinct(F.transform("occ", lambda a: a["t"])))).filter(F.size("act") >= 2)
-    met = met.withColumn("occ", F.transform("occ", lambda a: F.struct(a["pos"].alias("pos"), F.array_position("act", a["t"]).cast("int").alias("t"))))
-    start = F.struct(F.array_repeat(F.lit(-1), F.size("act")).alias("last"), F.lit(1 << 30).alias("best"))
+    terms = expanded.select("qid", "term", F.coalesce("idf", F.lit(DEFAULT_IDF)).alias("w"))
+    at = term_positions(docs).select("doc_id", F.explode("at").alias("a")).select("doc_id", "a.term", "a.pos").join(terms.select("term").distinct(), "term", "left_semi")
+    at = at.groupBy("doc_id", "term").agg(F.collect_list("pos").alias("ps"))
+    met = at.join(terms, "term").join(pairs.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")
+    met = met.groupBy("qid", "doc_id").agg(F.collect_list(F.struct("w", "ps")).alias("hit")).filter(F.size("hit") >= 2)
+    occurrences = F.array_sort(F.flatten(F.transform("hit", lambda h, i: F.transform(h["ps"], lambda p: F.struct(p.alias("pos"), i.alias("t"))))))
+    start = F.struct(F.array_repeat(F.lit(-1), F.size("hit")).alias("last"), F.lit(1 << 30).alias("best"))
 
     def step(s: Column, a: Column) -> Column:
-        last = F.transform(s["last"], lambda v, i: F.when(i == a["t"] - 1, a["pos"]).otherwise(v))
+        last = F.transform(s["last"], lambda v, i: F.when(i == a["t"], a["pos"]).otherwise(v))
         low = F.array_min(last)
         return F.struct(last.alias("last"), F.when(low >= 0, F.least(s["best"], a["pos"] - low + 1)).otherwise(s["best"]).alias("best"))
 
-    span = F.aggregate("occ", start, step)["best"].cast("double")
-    weight = F.aggregate("act", F.lit(0.0), lambda s, t: s + F.get("q", t - 1)["w"])
+    span = F.aggregate(occurrences, start, step)["best"].cast("double")
+    weight = F.aggregate("hit", F.lit(0.0), lambda s, h: s + h["w"])
     return met.select("qid", "doc_id", (F.pow(weight, F.lit(1.5)) / (F.ln(F.greatest(F.lit(1.0), span)) + 1)).alias("density"))
 
 

@@ -141,8 +141,8 @@ def test_patterns(spark):
     scores = {(r.mid, r.entity): r.score for r in hdc.validate(memory, places.union(places.withColumn("mid", F.lit(2).cast("bigint"))).union(places.limit(1).withColumn("entity", F.lit("z")))).collect()}
     assert scores[1, "x"] > 0.6 and abs(scores[1, "z"] - 0.5) < 0.05 and scores[2, "x"] == 0.5
     known = spark.createDataFrame([("alpha",), ("beta",)], "name string")
-    said = spark.createDataFrame([(1, "alpha"), (1, "beta"), (1, "of"), (2, "nobody")], "qid bigint, word string")
-    assert [r.qid for r in hdc.query_pattern(said, known).collect()] == [1]
+    asked = spark.createDataFrame([(1, "alpha"), (1, "beta"), (1, "of"), (2, "nobody")], "qid bigint, word string")
+    assert [r.qid for r in hdc.query_pattern(asked, known).collect()] == [1]
 
 
 def test_projection_keeps_angles(spark):
