@@ -10,8 +10,10 @@ are looked up, so passages that many documents share are looked up only by docum
 then compared by their whole sketches. Documents with the same sketch are folded into the smallest id.
 
 Defined results. A null text has a null sketch, and one without words an empty one. A document of fewer than five words has one
-shingle. Sketches of fewer than ``min_hashes`` hashes are too few to estimate by: such documents have a sketch and may
-contain others, but their own containment isn't estimated. Rows with a null id have a sketch and no pairs; of rows repeating an id
+shingle. Sketches of fewer than ``min_hashes`` hashes are too few to estimate by: to ``contained`` such documents may contain
+others, but their own containment isn't estimated. ``short_contained`` finds theirs, by all their shingles and so exactly:
+``shared``, ``n_doc`` and ``n_container`` of its rows count distinct shingles. ``containments`` gives both. Short documents of the
+same shingles are folded into the smallest id too, as documents and as containers. Rows with a null id have a sketch and no pairs; of rows repeating an id
 the union of their sketches is searched. An empty table gives no rows. Further columns are ignored.
 """
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, written
+from .common import sized, slices, text_bytes, written
 from .words import shingle_hashes, word_hashes
 
 SCALE, SHINGLE_WORDS, THRESHOLD, MIN_HASHES = 32, 5, 0.8, 8
@@ -103,3 +105,150 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """All containments of at least ``threshold`` between the documents' sketches."""
     table, _ = written(sketches(docs, id_col, text_col, scale).select("id", "sketch"), "sketch")
     return contained(table, threshold, min_hashes)
+
+
+# ---- documents of few hashes, by all their shingles
+
+#: A bitmap has this many bits, whatever the data; it is made and collected in blocks of 4 KB.
+MAP_BITS, BLOCK_BITS = 27, 15
+#: Shingles of at least so many short documents of a batch are looked up last; this changes the cost only, never the result.
+COMMON = 4
+
+
+def _bit(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+
+
+def _in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = _bit(hashes)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(np.bool_)
+
+
+def _bitmap(hashes: DataFrame):
+    """A broadcast bitmap of the leading bits of ``h``, of a fixed size of 2**MAP_BITS bits; it may say yes wrongly, never no."""
+
+    def block(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << BLOCK_BITS, np.bool_)
+        bits[table.column("bit").to_numpy()] = True
+        return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    at = F.shiftrightunsigned("h", 64 - MAP_BITS)
+    blocks = hashes.select(F.shiftright(at, BLOCK_BITS).cast("int").alias("block"), at.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").alias("bit"))
+    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    size = 1 << (BLOCK_BITS - 3)
+    for row in blocks.groupBy("block").applyInArrow(block, "block int, bits binary").collect():
+        out[row.block * size : (row.block + 1) * size] = np.frombuffer(row.bits, np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(out)
+
+
+def _lists(values: np.ndarray, at: np.ndarray, take: np.ndarray) -> pa.ListArray:
+    """Lists of those of each row's ``values`` that ``take`` marks."""
+    before = np.concatenate([np.zeros(1, np.int64), np.cumsum(take)])
+    return pa.ListArray.from_arrays(pa.array(before[at], pa.int32()), pa.array(values[take].view(np.int64)))
+
+
+def _short(scale: int, k: int, least: int):
+    """(id, long, shingles): all shingles of rows with fewer than ``least`` kept hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_bytes(batch.column(1))
+            for i, j in slices(offsets):
+                value, at, _ = sketch_rows(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], 1, k)
+                kept = np.concatenate([np.zeros(1, np.int64), np.cumsum(value <= np.uint64(((1 << 64) - 1) // scale))])
+                long = np.diff(kept[at]) >= least
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(long), _lists(value, at, np.repeat(~long, np.diff(at)))], names=["id", "long", "shingles"])
+
+    return run
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h, n = np.unique(batch.column(1).flatten().to_numpy(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h[n >= COMMON])], names=["h"])
+
+
+def _probes(common, threshold: float):
+    """(a, need, h): shingles of each short document of which a container has ``need``, those of few documents first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, need, out = [], [], []
+            for a, shingles in zip(batch.column(0).to_pylist(), batch.column(1)):
+                h = shingles.values.to_numpy()
+                miss = len(h) - int(np.ceil(threshold * len(h)))
+                out.append(h[np.argsort(_in(common.value, h), kind="stable")[: 2 * miss + 1]])
+                own += [a] * len(out[-1])
+                need += [len(out[-1]) - miss] * len(out[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(need, pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))], names=["a", "need", "h"])
+
+    return run
+
+
+def _met(wanted, k: int):
+    """(b, h): the shingles of each row that ``wanted`` may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_bytes(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            for i, j in slices(offsets):
+                value, at, _ = sketch_rows(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], 1, k)
+                take = _in(wanted.value, value)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i:j], np.diff(at))[take], pa.int64()), pa.array(value[take].view(np.int64))], names=["b", "h"])
+
+    return run
+
+
+def _compare(threshold: float, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for b, texts, pairs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                raw, offsets = text_bytes(texts.values)
+                whole = np.unique(sketch_rows(raw, offsets, 1, k)[0])
+                for a, shingles in zip(pairs.values.field(0).to_pylist(), pairs.values.field(1)):
+                    h = shingles.values.to_numpy().view(np.uint64)
+                    at = np.minimum(np.searchsorted(whole, h), len(whole) - 1)
+                    shared = int((whole[at] == h).sum())
+                    if shared >= np.ceil(threshold * len(h)):
+                        rows.append((a, b, shared, len(h), len(whole), shared / len(h)))
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "container_id", "shared", "n_doc", "n_container", "containment"])
+
+    return run
+
+
+def short_contained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scale: int = SCALE, threshold: float = THRESHOLD, min_hashes: int = MIN_HASHES, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows that ``contained`` can't give: of documents whose sketch is under ``min_hashes``, by all their shingles.
+
+    A container at ``threshold`` lacks at most n - ceil(threshold * n) of a short document's n shingles, so of twice as many
+    and one it has more than half; pairs that do are compared whole. Bitmaps of a fixed size tell which shingles are worth moving: of long documents only those that some short one may look up.
+    """
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.lower(text_col).alias("text")).filter("id is not null and text is not null")
+    every, _ = written(rows.mapInArrow(_short(scale, shingle_words, min_hashes), "id bigint, long boolean, shingles array<bigint>"), "shingles")
+    again = sized(every.groupBy("id").count().filter("count > 1").select("id"), "again")
+    union = every.join(again, "id", "left_semi").groupBy("id").agg(F.max("long").alias("long"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("shingles")))).alias("shingles"))
+    kept = F.size(F.filter("shingles", lambda h: (h >= 0) & (h <= ((1 << 64) - 1) // scale) if scale > 1 else F.lit(True)))
+    own = every.filter(~F.col("long") & (F.size("shingles") > 0)).join(again, "id", "left_anti").withColumn("shingles", F.array_sort("shingles"))
+    own = own.unionByName(union.filter(~F.col("long") & (F.size("shingles") > 0) & (kept < min_hashes)))
+    marked, _ = written(own.select("id", F.xxhash64("shingles").alias("m1"), F.hash("shingles").alias("m2"), F.size("shingles").alias("n"), "shingles"), "short")
+    heads = marked.groupBy("m1", "m2", "n").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("twins")).filter("twins > 1")
+    twins, _ = written(marked.select("id", "m1", "m2", "n").join(heads, ["m1", "m2", "n"]).filter("id > head").select("id", "head", "n"), "twins")
+    copies = twins.select(F.col("id").alias("doc_id"), F.col("head").alias("container_id"), F.col("n").alias("shared"), F.col("n").alias("n_doc"), F.col("n").alias("n_container"), F.lit(1.0).alias("containment"))
+    single = marked.select(F.col("id").alias("a"), "shingles").join(twins.select(F.col("id").alias("a")), "a", "left_anti")
+    common = _bitmap(single.mapInArrow(_common, "h bigint"))
+    probes, _ = written(single.mapInArrow(_probes(common, threshold), "a bigint, need int, h bigint"), "probes")
+    met = rows.mapInArrow(_met(_bitmap(probes.select("h")), shingle_words), "b bigint, h bigint")
+    met = probes.join(met, "h").filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).filter("n >= need")
+    pairs, _ = written(met.select("a", "b").join(twins.select(F.col("id").alias("b")), "b", "left_anti"), "met")
+    asked = pairs.join(single, "a").groupBy(F.col("b").alias("id")).agg(F.collect_list(F.struct("a", "shingles")).alias("pairs"))
+    texts = rows.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.collect_list("text").alias("texts"))
+    pairs = texts.join(asked, "id").mapInArrow(_compare(threshold, shingle_words), "doc_id bigint, container_id bigint, shared int, n_doc int, n_container int, containment double")
+    return copies.unionByName(pairs)
+
+
+def containments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scale: int = SCALE, threshold: float = THRESHOLD, min_hashes: int = MIN_HASHES) -> DataFrame:
+    """All containments of at least ``threshold``: of long documents by their sketches, of short ones by all their shingles."""
+    return fingerprint(docs, id_col, text_col, scale, threshold, min_hashes).unionByName(short_contained(docs, id_col, text_col, scale, threshold, min_hashes))

@@ -39,7 +39,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.fingerprint(documents(spark, sf_dir))
+    return fingerprint.containments(documents(spark, sf_dir))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,3 +101,24 @@ def test_estimates_are_near_the_truth(spark):
     df = spark.createDataFrame([(1, " ".join(small)), (2, " ".join(big))], SCHEMA)
     r = fp.fingerprint(df, threshold=0.5).first()
     assert (r.doc_id, r.container_id) == (1, 2) and abs(r.containment - 0.85) < 0.12
+
+
+def test_short_documents_are_contained_by_all_their_shingles(spark):
+    rows = corpus(5)
+    long = dict(rows)[0] if len(dict(rows)[0].split()) > 600 else " ".join(f"l{i}" for i in range(2000))
+    w = long.split()
+    rows += [(900, long), (901, " ".join(w[100:160])), (902, " ".join(w[100:160])), (903, " ".join(w[300:420]) + " and ten words more that no other document has at all"), (904, "one two"), (905, "one two"), (906, " ".join(w[:100])), (906, " ".join(w[90:200]))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = {(r.doc_id, r.container_id): (r.shared, r.n_doc, r.containment) for r in fp.containments(df).collect()}
+    assert out[901, 900] == (56, 56, 1.0) and out[902, 901][2] == 1.0 and out[905, 904][2] == 1.0 and out[906, 900][2] == 1.0
+    assert 0.8 <= out[903, 900][2] < 1 and not {(901, 902), (904, 905)} & set(out)
+    full = {}
+    for i, t in rows:
+        full.setdefault(i, set()).update(hashes(t))
+    short = {i: x for i, x in full.items() if 0 < len(x) and len([h for h in x if h < (1 << 64) // fp.SCALE]) < fp.MIN_HASHES}
+    head = {i: min(j for j, y in short.items() if y == x) for i, x in short.items()}
+    want = {(i, h) for i, h in head.items() if i != h}
+    want |= {(a, b) for a, x in short.items() if head[a] == a for b, y in full.items() if a != b and head.get(b, b) == b and len(x & y) >= math.ceil(fp.THRESHOLD * len(x))}
+    assert {p for p in out if p[0] in short} == want
+    assert {p for p in out if p[0] not in short} == {(r.doc_id, r.container_id) for r in fp.fingerprint(df).collect()}
+    assert fp.containments(df.limit(0)).count() == 0
