@@ -1,8 +1,10 @@
 """Secret scans by multipart credential linking.
 
 Parts of credentials are found with one alternation of patterns: access identifiers (cloud key ids, e-mail addresses,
-labelled user or client ids), secrets (labelled assignments, private key blocks, bare runs of hexadecimal digits) and
-endpoints (URLs, IPv4 addresses). A strong part (a cloud key id, a labelled assignment, a private key) tells by itself.
+labelled user or client ids), secrets (labelled assignments, bearer tokens, JSON web tokens, tokens of known prefixes, private key
+blocks, URLs with a password, bare runs of hexadecimal digits, or of letters and digits mixed) and endpoints (URLs of any scheme,
+IPv4 addresses, hosts with a port). A strong part (a cloud key id, a labelled assignment, a private key, a token, a URL with a
+password) tells by itself.
 A weak part is reported only where its complement is within ``window`` characters in the same scope, i.e. the same document:
 for a secret an identifier or an endpoint, for an identifier or an endpoint a secret.
 
@@ -25,20 +27,44 @@ from .common import sized, written
 
 WINDOW = 256
 MARK = "[REDACTED]"
+
+
+def _mixed(more: str, least: int) -> str:
+    """Runs of at least ``least`` letters (``more`` count as such) and digits that have both, walked letter by letter."""
+    letter, digit, any_ = f"[A-Za-z{more}]", "[0-9]", f"[A-Za-z0-9{more}]"
+
+    def from_(own: str, other: str) -> str:
+        rest = f"{own}*{other}{any_}*"
+        for n in range(least - 1, 0, -1):
+            rest = f"(?:{other}{any_}{{{least - 1 - n},}}|{own}{rest})"
+        return own + rest
+
+    return f"(?:{from_(letter, digit)}|{from_(digit, letter)})"
+
+
+_SCHEME = r"(?:[Hh][Tt][Tt][Pp][Ss]?|[A-Za-z][A-Za-z0-9+.-]{1,20})://"
 #: (kind, role, strong, pattern), the first that matches at a place wins. The patterns mean the same to Java and RE2.
 KINDS = (
-    ("assignment", "secret", True, r"""(?:[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Pp][Ww][Dd]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]|[Aa][Cc][Cc][Ee][Ss][Ss]_[Kk][Ee][Yy])["']?[ \t]*[=:][ \t]*["']?[A-Za-z0-9+/_.~-]{8,}=*["']?"""),
-    ("private_key", "secret", True, r"""-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"""),
+    ("assignment", "secret", True, r"""(?:[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt](?:[_-]?[Kk][Ee][Yy])?|[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Pp][Ww][Dd]|[Aa][Pp][Ii][_-]?[Kk][Ee][Yy]|[Aa][Cc][Cc][Ee][Ss][Ss][_-][Kk][Ee][Yy])["']?[ \t]*[=:][ \t]*(?:"[^"\s]{8,}"|'[^'\s]{8,}'|["']?[A-Za-z0-9+/_.~-]{8,}=*["']?)"""),
+    ("quoted", "secret", True, r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Pp][Ww][Dd])[ \t]+(?:"[^"\s]{8,}"|'[^'\s]{8,}')"""),
+    ("bearer", "secret", True, r"""[Bb][Ee][Aa][Rr][Ee][Rr][ \t]+[A-Za-z0-9+/_.~-]{16,}=*"""),
+    ("jwt", "secret", True, r"""eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"""),
+    ("token", "secret", True, r"""gh[pousr]_[A-Za-z0-9]{36,}"""),
+    ("private_key", "secret", True, r"""-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s*[A-Za-z][A-Za-z0-9-]*:[^\r\n]*[\r\n]+)*[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"""),
     ("cloud_key_id", "identifier", True, r"""(?:AKIA|ASIA)[0-9A-Z]{16}"""),
-    ("url", "endpoint", False, r"""[Hh][Tt][Tt][Pp][Ss]?://[^\s"'<>]+"""),
+    ("url_password", "secret", True, _SCHEME + r"""[^\s/:@"'<>]*:[^\s/@"'<>]+@[^\s"'<>]+"""),
+    ("url", "endpoint", False, _SCHEME + r"""[^\s"'<>]+"""),
     ("email", "identifier", False, r"""[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"""),
     ("account", "identifier", False, r"""(?:[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd]|[Uu][Ss][Ee][Rr](?:_?[Nn][Aa][Mm][Ee])?|[Ll][Oo][Gg][Ii][Nn]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt](?:_?[Ii][Dd])?)["']?[ \t]*[=:][ \t]*["']?[A-Za-z0-9_.-]{3,64}"""),
     ("ipv4", "endpoint", False, r"""[0-9]{1,3}(?:\.[0-9]{1,3}){3}"""),
-    ("hex", "secret", False, r"""[0-9a-f]{32,}"""),
+    ("host_port", "endpoint", False, r"""(?:localhost|[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+):[0-9]{2,5}"""),
+    ("hex", "secret", False, r"""[0-9a-f]{32,}|[0-9A-F]{32,}"""),
+    ("base64", "secret", False, _mixed("+/", 32)),
+    ("alphanumeric", "secret", False, _mixed("", 20)),
 )
 PATTERN = "|".join(f"(?:{p})" for *_, p in KINDS)
 #: Every part has one of these; most texts have none and are passed over by this one look.
-HINT = r"[@=:]|AKIA|ASIA|-----BEGIN|[0-9]\.[0-9]|[0-9a-f]{32}"
+HINT = r"[@=:]|AKIA|ASIA|-----BEGIN|[0-9]\.[0-9]|[A-Za-z0-9+/]{20}|[Bb][Ee][Aa][Rr][Ee][Rr][ \t]|gh[pousr]_|eyJ|[Pp][Aa][Ss][Ss][Ww]|[Pp][Ww][Dd]"
 
 
 def scope_key(id_col: str, text_col: str) -> Column:
