@@ -1,7 +1,10 @@
 """HTML extraction by nearest-URL page differencing.
 
 Pages are sorted by URL path within their host. A page's partner is the neighbour in that order whose path shares the
-longest prefix with its own (the one before it on a tie), so pages of one section are compared. The text lines of both are
+longest prefix with its own (the one before it on a tie), so pages of one section are compared. Pages of one host and path
+are one page under several addresses, and so are pages of one host with the same lines: the page of the smallest id of a path,
+and of these the first path of the same lines, finds the partner, and the others have the same. Only where a host has no other
+page are such pages compared with each other. The text lines of both are
 aligned by a longest common subsequence, and the page keeps the lines that aren't in it: what both share is the template.
 
 The order is a range partitioning of (host, path, id), not one window a host: neighbours across two partitions are found
@@ -12,8 +15,8 @@ Defined results. A line is the text between block-level tags with entities decod
 don't count. The alignment is the one found from the first lines on, leaving out a line of the partner where that loses
 nothing and else one of the page. A page that is alone on its host keeps all its lines. A page whose html is null or has no text has
 null respectively empty text. A null url, or one without a host, is alone, as is a row with a null id. Rows repeating an id
-are pages of their own unless they also repeat url and html: such rows are one page, given once a row. Of an exact copy next to its twin
-nothing remains. An empty table gives no rows. Further columns are ignored.
+are pages of their own unless they also repeat url and html: such rows are one page, given once a row. Of exact copies that are
+alone on their host nothing remains. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -148,6 +151,17 @@ def nearest_pages(keys: DataFrame) -> DataFrame:
     return near.select("page_id", "mark", best.alias("best")).select("page_id", "mark", F.col("best.page_id").alias("partner"), F.col("best.mark").alias("partner_mark"))
 
 
+def partner_pages(keys: DataFrame) -> DataFrame:
+    """``nearest_pages`` for (page_id, mark, host, path, content), by other path and other content if the host has such a page."""
+    paths = keys.filter("host is not null and page_id is not null").groupBy("host", "path").agg(F.min(F.struct("page_id", "mark", "content")).alias("r")).select("host", "path", "r.*")
+    heads = paths.groupBy("host", "content").agg(F.min(F.struct("path", "page_id", "mark")).alias("g")).select("host", "content", "g.*")
+    near = nearest_pages(heads.select("page_id", "mark", "host", "path")).join(heads.select("page_id", "mark", "host", "content"), ["page_id", "mark"])
+    near = paths.select("host", "path", "content").join(near.select("host", "content", "partner", "partner_mark"), ["host", "content"]).select("host", "path", "partner", "partner_mark")
+    own, _ = written(keys.join(near, ["host", "path"], "left").select("page_id", "mark", "host", "path", "partner", "partner_mark"), "partners")
+    found = own.filter("partner is not null").select("page_id", "mark", "partner", "partner_mark")
+    return found.unionByName(nearest_pages(own.filter("partner is null").select("page_id", "mark", "host", "path")))
+
+
 def _hash(lines: list[str]) -> np.ndarray:
     return np.frombuffer(b"".join(blake2b(x.encode(), digest_size=8).digest() for x in lines), np.int64)
 
@@ -188,7 +202,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     named = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.xxhash64(url_col, html_col).alias("mark"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
     named_keys = named.filter("page_id is not null and host is not null").select("page_id", "mark", "host", "path", "html")
     hashed, _ = written(named_keys.mapInArrow(_hashed, "page_id bigint, mark bigint, host string, path string, hashes array<bigint>"), "hashes")
-    near = nearest_pages(hashed.select("page_id", "mark", "host", "path").distinct())
+    near = partner_pages(hashed.select("page_id", "mark", "host", "path", F.xxhash64("hashes").alias("content")).distinct())
     other = hashed.select(F.col("page_id").alias("partner"), F.col("mark").alias("partner_mark"), F.col("hashes").alias("other")).dropDuplicates(["partner", "partner_mark"])
     paired = near.join(other, ["partner", "partner_mark"]).select("page_id", "mark", F.col("partner").alias("partner_id"), "other")
     lines = named.select("page_id", "mark", "url", "html").mapInArrow(_packed, "page_id bigint, mark bigint, url string, lines binary")

@@ -126,3 +126,10 @@ def test_odd_rows(spark):
     assert (got[6]["partner_id"], got[7]["partner_id"], got[6]["text"], got[7]["text"]) == (7, 6, "", "")
     assert got[8]["n_kept"] == 50_000
     assert hd.extract(df.limit(0)).count() == 0
+
+
+def test_a_page_is_not_compared_with_its_other_addresses_or_copies(spark):
+    page = lambda story, ad: TEMPLATE.format(f"<p>{story}<p>{ad}")
+    rows = [(1, "http://h.org/news/1?a", page("story", "ad one")), (2, "http://h.org/news/1#b", page("story", "ad two")), (3, "http://h.org/news/9", page("other", "ad three")), (4, "http://h.org/news/8", page("story", "ad one"))]
+    got = {r.page_id: (r.partner_id, r.text) for r in hd.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (3, "story\nad one"), 2: (3, "story\nad two"), 3: (1, "other\nad three"), 4: (3, "story\nad one")}
