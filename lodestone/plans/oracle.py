@@ -350,6 +350,7 @@ def oracle_sql() -> dict[str, str]:
         "dense_topk": f"{vectors} {top(DENSE)}",
         "passage_maxsim_dense": f"{vectors} {top('SELECT qid, doc_id // 4 AS doc_id, max(score) AS score FROM (' + DENSE + ') GROUP BY 1, 2')}",
         "similarity_matrix": f"{vectors} SELECT a.qid AS a_id, b.qid AS b_id, round(list_inner_product(a.q, b.q), 6) AS score FROM qv a, qv b",
+        "query_corpus_similarity": f"{vectors} SELECT qid, doc_id, round(list_inner_product(q, emb), 6) AS score FROM qv, v",
         "sign_quantize": f"{vectors} SELECT doc_id, list_sum(list_transform(range(0, 64), lambda i: CASE WHEN emb[i + 1] - mean[i + 1] > 0 THEN (CASE WHEN i = 63 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << i) END) ELSE 0::HUGEINT END))::BIGINT AS word FROM v, m",
         "hamming_candidates": f"{vectors}, {SIGNS} SELECT qid, doc_id, dist, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, doc_id) AS INT) AS rank FROM ham) WHERE rank <= 50",
         "hamming_topk": f"{vectors}, {SIGNS} {top('SELECT qid, doc_id, greatest(0.0, 1 - dist / 64.0) AS score FROM ham')}",

@@ -300,6 +300,12 @@ def similarity_matrix(s, d):
     return q.select(F.col("qid").alias("a_id"), F.col("q").alias("a")).crossJoin(q.select(F.col("qid").alias("b_id"), F.col("q").alias("b"))).select("a_id", "b_id", F.round(vx.dot(F.col("a"), F.col("b")), 6).alias("score"))
 
 
+def query_corpus_similarity(s, d):
+    """Every query vector by every corpus vector; ``similarity_matrix`` holds the query vectors against themselves only."""
+    b = Bound(s, d)
+    return b.query_vectors.crossJoin(b.vectors).select("qid", "doc_id", F.round(vx.dot(F.col("q"), F.col("emb")), 6).alias("score"))
+
+
 def sign_quantize(s, d):
     b = Bound(s, d)
     return dense.quantize(b.vectors, b.mean).select("doc_id", F.get("bits", F.lit(0)).alias("word"))
@@ -487,7 +493,7 @@ NAMES = (
     "tok_w1_counts tok_w2_counts normalized_doc_text stopword_filtered soundex_vocab code_tokens identifiers token_bigrams token_estimate strip_html passages_p1 passages_p2 keyword_list fallback_tokens "
     "doc_term_tf postings_positions prefix_scan word_idf word_idf_text word_idf_raw doc_gamma index_stats consistency_check doc_upsert stream_chunks stream_equals_batch "
     "query_analysis fuzzy_expand query_route forced_route pure_lexical_topk exact_search count_instances kv_extract context_snippet keyword_overlap "
-    "l2_norm matryoshka_16 matryoshka_32 corpus_mean dynamic_scale dense_topk passage_maxsim_dense similarity_matrix sign_quantize hamming_candidates hamming_topk hamming_16view_topk passage_maxsim_hamming "
+    "l2_norm matryoshka_16 matryoshka_32 corpus_mean dynamic_scale dense_topk passage_maxsim_dense similarity_matrix query_corpus_similarity sign_quantize hamming_candidates hamming_topk hamming_16view_topk passage_maxsim_hamming "
     "hybrid_candidates full_hybrid_t legacy_blend legacy_alpha full_hybrid_q phrase_boost span_density unified_search minmax_normalize score_confidence confidence_fusion "
     "hdc_bind hdc_bundle hdc_search hdc_extract hdc_recall eval_top1 eval_extended eval_ndcg_mrr_recall eval_split_means sts_pearson_spearman scaling_regression"
 ).split()

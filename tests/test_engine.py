@@ -235,3 +235,13 @@ def test_loaded_and_raw_idf(spark):
     assert [tuple(r) for r in own.collect()] == [("paris", 9.0)]
     raw = {r.term for r in Index(corpus(spark), idf_mode="raw").idfs.collect()}
     assert "paris," in raw and "paris" not in raw
+
+
+def test_every_query_vector_meets_every_corpus_vector(spark):
+    from lodestone.plans import queries as bound
+
+    from .conftest import SF
+
+    b = bound.Bound(spark, SF)
+    got = bound.query_corpus_similarity(spark, SF)
+    assert got.count() == b.query_vectors.count() * b.vectors.count() and got.select("doc_id").distinct().count() == b.vectors.count()
