@@ -8,12 +8,14 @@ and a pair is reported only from the first key that it shares. No pair within th
 is found through a cap or a sample.
 
 Equal signatures are first folded into one representative (the smallest id), so a group of identical copies costs its
-size and not its square.
-
-Defined results: a document whose text is null, empty or without any letter or digit has no signature and is nobody's
-duplicate. Rows with a null id are left out of the pairs. Rows repeating an id count once per distinct text and an id
-is never paired with itself. Ties between possible representatives go to the smallest id. An empty table gives no pairs.
-Further columns of any name are ignored by the pair search and kept by ``keep_one``.
+size and not its square. ``near_duplicates`` gives one row a document: its group and the number of its links, which are
+counted between representatives and weighed by how many documents stand behind them.
+
+Defined results: a document whose text is null, empty or without any letter or digit has no signature, is nobody's
+duplicate and is a group of its own. Rows with a null id are left out. Rows repeating an id are one document: it has the
+links of all its texts, each text counts as a document behind its representative, and an id is never paired with itself.
+Ties between possible representatives go to the smallest id. An empty table gives no rows.
+Further columns of any name are ignored by the search and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_path, sized, slices, text_bytes, written
@@ -114,17 +116,31 @@ def distinct_pairs(sigs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFra
     return pairs.filter(F.shiftright("key", BITS * WIDTH).cast("int") == first).select("a", "b", "distance")
 
 
+def _folded(docs: DataFrame, id_col: str, text_col: str, max_distance: int) -> tuple[DataFrame, DataFrame]:
+    """(id, head, n) of every signature, n documents standing behind a head, and (a, b, distance) between heads; both written."""
+    sigs, path = written(signature_table(docs, id_col, text_col).distinct(), "signatures")
+    heads, heads_path = written(sigs.groupBy(*_COLUMNS).agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")), "heads")
+    member, _ = written(sigs.join(heads, _COLUMNS).select("id", "head", "n"), "members")
+    # an id of several texts may head several signatures: the smallest distance counts
+    near = distinct_pairs(heads.select(F.col("head").alias("id"), *_COLUMNS), max_distance).groupBy("a", "b").agg(F.min("distance").alias("distance"))
+    near, _ = written(near, "pairs")
+    drop_path(docs.sparkSession, path)
+    drop_path(docs.sparkSession, heads_path)
+    return member, near
+
+
+def _edges(member: DataFrame, near: DataFrame) -> DataFrame:
+    copies = member.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
+    return near.select("a", "b", "distance").unionByName(copies)
+
+
 def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(a, b, distance) with a < b: all near-duplicate pairs.
 
     Documents with equal signatures stand behind the smallest id among them: they have one row each, to that id, with
     distance 0, and the other rows are between such representatives. All pairs follow from these rows.
     """
-    sigs, _ = written(signature_table(docs, id_col, text_col), "signatures")
-    heads = sigs.groupBy(*_COLUMNS).agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n"))
-    copies = sigs.join(heads.filter("n > 1"), _COLUMNS).select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
-    near = distinct_pairs(heads.select(F.col("a").alias("id"), *_COLUMNS), max_distance)
-    return copies.unionByName(near).filter("a < b").groupBy("a", "b").agg(F.min("distance").alias("distance"))
+    return _edges(*_folded(docs, id_col, text_col, max_distance)).groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -151,17 +167,40 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(doc_id, other_id, distance, group_id): the pairs of ``near_pairs`` with the smallest id of their group."""
-    edges, _ = written(near_pairs(docs, id_col, text_col, max_distance), "pairs")
-    groups = components(edges)
-    return edges.join(groups, edges.a == groups.id).select(F.col("a").alias("doc_id"), F.col("b").alias("other_id"), "distance", "group_id")
+    """(doc_id, group_id, n_links) of every id: the smallest id of its group, and how many other documents are within the distance."""
+    member, near = _folded(docs, id_col, text_col, max_distance)
+    groups = components(_edges(member, near).select("a", "b"))
+    size = member.select("head", "n").distinct().groupBy("head").agg(F.sum("n").alias("n"))
+    both = near.select("a", "b").union(near.select("b", "a"))
+    around = both.join(size.withColumnRenamed("head", "b"), "b").groupBy(F.col("a").alias("head")).agg(F.sum("n").alias("around"))
+    own = member.join(around, "head", "left").groupBy("id").agg(F.sum(F.col("n") - 1 + F.coalesce("around", F.lit(0))).alias("n_links"))
+    ids = docs.select(F.col(id_col).cast("bigint").alias("id")).filter("id is not null").distinct()
+    out = ids.join(own, "id", "left").join(groups, "id", "left")
+    return out.select(F.col("id").alias("doc_id"), F.coalesce("group_id", "id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _one_of_repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one of the rows that repeat both id and text (the one whose row hashes lowest), a null id being like another."""
+    row = F.coalesce(F.col(id_col).cast("string"), F.lit("\0null"))
+    one, two = F.xxhash64(row, text_col), F.xxhash64(F.lit(1), text_col, row)
+    keyed = docs.filter(F.col(text_col).isNotNull()).select(one.alias("_lodestone_one"), two.alias("_lodestone_two"))
+    again = sized(keyed.groupBy("_lodestone_one", "_lodestone_two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "again")
+    named = docs.withColumns({"_lodestone_one": one, "_lodestone_two": two})
+    keys = ["_lodestone_one", "_lodestone_two"]
+    # only the rows that repeat are moved
+    first = named.join(again, keys, "left_semi").withColumn("_lodestone_at", F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`").cast("string") for c in docs.columns)))))
+    order = Window.partitionBy(*keys).orderBy("_lodestone_at")
+    first = first.withColumn("_lodestone_at", F.row_number().over(order)).filter("_lodestone_at = 1")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return named.join(again, keys, "left_anti").select(*columns).union(first.select(*columns))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``docs`` without the near copies: of each group the row of the smallest id stays, with all its columns.
 
-    Rows with a null id stay. Of rows that repeat an id in a group all stay or all go.
+    Of rows that repeat both id and text one stays, also where the id is null. Other rows with a null id, and rows with a null text, stay.
+    Of rows that repeat an id with several texts all stay or all go.
     """
-    edges, _ = written(near_pairs(docs, id_col, text_col, max_distance), "pairs")
-    side = sized(components(edges).filter("id <> group_id").select(F.col("id").alias("_lodestone_copy")), "copies")
-    return docs.join(side, F.col(id_col).cast("bigint") == side["_lodestone_copy"], "left_anti")
+    groups = components(_edges(*_folded(docs, id_col, text_col, max_distance)).select("a", "b"))
+    side = sized(groups.filter("id <> group_id").select(F.col("id").alias("_lodestone_copy")), "copies")
+    return _one_of_repeats(docs, id_col, text_col).join(side, F.col(id_col).cast("bigint") == side["_lodestone_copy"], "left_anti")

@@ -7,8 +7,9 @@ next bin is filled.
 
 A length is the number of words between white space, plus one for the separator that ends a document. Documents longer
 than a bin are cut: their full pieces are bins of their own and the rest is packed. Packing goes on within groups of
-about ``group_docs`` documents, split by a hash of the id, so that it needs no order over the whole corpus; what a group
-wastes is less than its last few bins.
+about ``group_docs`` documents, split by a hash of a row's place in the table of lengths, so that it needs no order over the whole
+corpus and no id, length or text makes a group larger; each group is a task of its own, and what it wastes is less than its last
+few bins. The place is that of the rows as they are read, so other files of the same rows may give other groups.
 
 Defined results. A null or empty text has length 1. Rows repeating an id are packed as rows of their own. Rows with a
 null id are packed too. Equal lengths go by id. An empty table gives no bins. Further columns are ignored.
@@ -16,6 +17,8 @@ null id are packed too. Equal lengths go by id. An empty table gives no bins. Fu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,30 +76,38 @@ def pack_lengths(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pack_group(capacity: int):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "id"], ascending=[False, True], kind="stable", na_position="first")
-        group = int(pdf["part"].iloc[0])
-        pieces = []
-        whole = []
-        for key, length in zip(pdf["id"].astype(object).where(pdf["id"].notna(), None), pdf["length"]):
-            cut, length = 0, int(length)
-            while length - cut * capacity > capacity:
-                whole.append((key, cut, cut * capacity, capacity))
-                cut += 1
-            pieces.append((key, cut, cut * capacity, length - cut * capacity))
-        rows = []
-        for bin_no, members in enumerate([[x] for x in whole] + [[pieces[i] for i in own] for own in pack_lengths([p[3] for p in pieces], capacity)]):
-            fill = sum(m[3] for m in members)
-            rows += [((group << 32) + bin_no, slot, *m, fill) for slot, m in enumerate(members)]
-        return pd.DataFrame(rows, columns=["bin_id", "slot", "doc_id", "piece", "start", "length", "bin_fill"]).astype({"doc_id": "Int64"})
+def _pack_group(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    pdf = pdf.sort_values(["length", "id"], ascending=[False, True], kind="stable", na_position="first")
+    group = int(pdf["part"].iloc[0])
+    pieces = []
+    whole = []
+    for key, length in zip(pdf["id"].astype(object).where(pdf["id"].notna(), None), pdf["length"]):
+        cut, length = 0, int(length)
+        while length - cut * capacity > capacity:
+            whole.append((key, cut, cut * capacity, capacity))
+            cut += 1
+        pieces.append((key, cut, cut * capacity, length - cut * capacity))
+    rows = []
+    for bin_no, members in enumerate([[x] for x in whole] + [[pieces[i] for i in own] for own in pack_lengths([p[3] for p in pieces], capacity)]):
+        fill = sum(m[3] for m in members)
+        rows += [((group << 32) + bin_no, slot, *m, fill) for slot, m in enumerate(members)]
+    return pd.DataFrame(rows, columns=["bin_id", "slot", "doc_id", "piece", "start", "length", "bin_fill"]).astype({"doc_id": "Int64"})
+
+
+def _pack_partition(capacity: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = [frame for frame in frames if len(frame)]
+        if own:
+            yield _pack_group(pd.concat(own, ignore_index=True), capacity)
 
-    return pack
+    return run
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:
     """(bin_id, slot, doc_id, piece, start, length, bin_fill): every piece of every document in a bin of ``capacity`` words."""
-    sizes, _ = written(docs.select(F.col(id_col).cast("bigint").alias("id"), (F.coalesce(F.regexp_count(text_col, F.lit(r"\S+")), F.lit(0)) + 1).cast("bigint").alias("length")), "lengths")
+    length = (F.coalesce(F.regexp_count(text_col, F.lit(r"\S+")), F.lit(0)) + 1).cast("bigint")
+    sizes, _ = written(docs.select(F.col(id_col).cast("bigint").alias("id"), length.alias("length"), F.monotonically_increasing_id().alias("place")), "lengths")
     groups = max(1, -(-sizes.count() // group_docs))
-    parted = sizes.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(groups)))
-    return parted.groupBy("part").applyInPandas(_pack_group(capacity), SCHEMA)
+    parted = sizes.withColumn("part", F.pmod(F.xxhash64("place"), F.lit(groups)).cast("int"))
+    # partition i is group i: groups neither share a task nor are coalesced into one
+    return parted.repartitionById(groups, "part").select("id", "length", "part").mapInPandas(_pack_partition(capacity), SCHEMA)

@@ -84,13 +84,13 @@ def test_groups_of_copies_and_clean_documents(spark):
     rows, groups = corpus(random.Random(6))
     df = spark.createDataFrame(rows, SCHEMA)
     found = mh.near_duplicates(df).collect()
-    group = {}
-    for r in found:
-        assert r.doc_id < r.other_id and r.group_id <= r.doc_id
-        group[r.doc_id] = group[r.other_id] = r.group_id
+    group = {r.doc_id: r.group_id for r in found}
+    assert len(found) == len(group) == len(rows)
     for own in groups:
-        assert {group.get(i) for i in own} == {own[0]}
-    assert set(group) == {i for own in groups for i in own}
+        assert {group[i] for i in own} == {own[0]}
+    assert {i for i, g in group.items() if i != g} == {i for own in groups for i in own[1:]}
+    sig = {r.id: tuple(r)[1:] for r in mh.signature_table(df).collect()}
+    assert {r.doc_id: r.n_links for r in found} == {a: sum(distance(sig[a], sig[b]) <= mh.MAX_DISTANCE for b in sig) - 1 for a in sig}
     kept = {r.doc_id for r in mh.keep_one(df).collect()}
     assert kept == {i for i, _ in rows} - {i for own in groups for i in own[1:]}
 
@@ -121,10 +121,13 @@ def test_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(200))
     rows = [(1, None), (2, None), (3, ""), (4, ""), (5, "!!"), (6, "!!"), (7, text), (7, text), (None, text), (8, text), (9, "word"), (10, "Word!"), (11, text * 300), (12, text * 300)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("id", F.lit("x")).withColumn("a", F.lit(1)).withColumn("s0", F.lit(2)).withColumn("key", F.lit(3))
-    got = {(r.doc_id, r.other_id) for r in mh.near_duplicates(df).collect()}
-    assert {(7, 8), (9, 10)} <= got and all(a > 6 for a, _ in got)
+    got = {r.doc_id: (r.group_id, r.n_links) for r in mh.near_duplicates(df).collect()}
+    assert got == {**{i: (i, 0) for i in range(1, 7)}, 9: (9, 1), 10: (9, 1), **dict.fromkeys([7, 8, 11, 12], (7, 3))}
     kept = mh.keep_one(df)
     assert kept.columns == df.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None and i < 10) == [1, 2, 3, 4, 5, 6, 7, 7, 9] and None in ids
+    assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 5, 6, 7, 9] and ids.count(None) == 1
+    more = df.union(df).union(df.filter("doc_id is null").withColumn("text", F.lit("other")))
+    ids = [r.doc_id for r in mh.keep_one(more).collect()]
+    assert sorted(i for i in ids if i is not None) == [1, 1, 2, 2, 3, 4, 5, 6, 7, 9] and ids.count(None) == 2
     assert mh.near_duplicates(df.limit(0)).count() == 0 and mh.keep_one(df.limit(0)).count() == 0

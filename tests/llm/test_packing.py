@@ -72,3 +72,12 @@ def test_a_very_long_text(spark):
     df = spark.createDataFrame([(1, words(100_000))], SCHEMA)
     out = packing.pack(df)
     assert out.count() == 49 and out.agg(F.sum("length")).first()[0] == 100_001
+
+
+def test_null_and_repeated_ids_do_not_make_one_group(spark):
+    df = spark.createDataFrame([(None if i % 2 else 7, words(9)) for i in range(1000)], SCHEMA)
+    out = packing.pack(df, capacity=64, group_docs=100)
+    sizes = {}
+    for r in out.collect():
+        sizes[r.bin_id >> 32] = sizes.get(r.bin_id >> 32, 0) + 1
+    assert len(sizes) == 10 and sum(sizes.values()) == 1000 and max(sizes.values()) < 150
