@@ -12,7 +12,10 @@ The link is an interval join on (scope, bucket of ``window`` characters): each p
 looks in those its widened interval covers, and a pair counts in the first bucket that it has in common, once. Only
 parts are joined, never texts.
 
-Defined results. A null or empty text has no parts. Rows repeating both id and text are one scope; rows repeating an id
+No pattern repeats a group without a small bound, and none walks further than a bound before it must match, so a text of any
+kind takes time in proportion to its length and a constant stack.
+
+Defined results. A null or empty text has no parts. A host has at most 253 characters and may have dots side by side; a private key at most 8 header lines. Rows repeating both id and text are one scope; rows repeating an id
 with another text, and rows with a null id, are scopes of their own. Positions count characters from 0. Values are given by
 SHA-256 only. Parts never overlap; at one place the earlier pattern of the list wins. Further columns are ignored by the scan
 and kept by ``redact``.
@@ -30,11 +33,14 @@ MARK = "[REDACTED]"
 
 
 def _mixed(more: str, least: int) -> str:
-    """Runs of at least ``least`` letters (``more`` count as such) and digits that have both, walked letter by letter."""
+    """Runs of at least ``least`` letters (``more`` count as such) and digits that have both, walked letter by letter.
+
+    A run's first digit, or its first letter, is among its first ``least`` + 64 characters; of a longer head of one class only that much is taken.
+    """
     letter, digit, any_ = f"[A-Za-z{more}]", "[0-9]", f"[A-Za-z0-9{more}]"
 
     def from_(own: str, other: str) -> str:
-        rest = f"{own}*{other}{any_}*"
+        rest = f"{own}{{0,64}}{other}{any_}*"
         for n in range(least - 1, 0, -1):
             rest = f"(?:{other}{any_}{{{least - 1 - n},}}|{own}{rest})"
         return own + rest
@@ -48,16 +54,16 @@ KINDS = (
     ("assignment", "secret", True, r"""(?:[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt](?:[_-]?[Kk][Ee][Yy])?|[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Pp][Ww][Dd]|[Aa][Pp][Ii][_-]?[Kk][Ee][Yy]|[Aa][Cc][Cc][Ee][Ss][Ss][_-][Kk][Ee][Yy])["']?[ \t]*[=:][ \t]*(?:"[^"\s]{8,}"|'[^'\s]{8,}'|["']?[A-Za-z0-9+/_.~-]{8,}=*["']?)"""),
     ("quoted", "secret", True, r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Pp][Ww][Dd])[ \t]+(?:"[^"\s]{8,}"|'[^'\s]{8,}')"""),
     ("bearer", "secret", True, r"""[Bb][Ee][Aa][Rr][Ee][Rr][ \t]+[A-Za-z0-9+/_.~-]{16,}=*"""),
-    ("jwt", "secret", True, r"""eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"""),
+    ("jwt", "secret", True, r"""eyJ[A-Za-z0-9_-]{8,900}\.[A-Za-z0-9_-]{8,900}\.[A-Za-z0-9_-]+"""),
     ("token", "secret", True, r"""gh[pousr]_[A-Za-z0-9]{36,}"""),
-    ("private_key", "secret", True, r"""-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s*[A-Za-z][A-Za-z0-9-]*:[^\r\n]*[\r\n]+)*[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"""),
+    ("private_key", "secret", True, r"""-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s{0,8}[A-Za-z][A-Za-z0-9-]{0,63}:[^\r\n]*[\r\n]+){0,8}[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"""),
     ("cloud_key_id", "identifier", True, r"""(?:AKIA|ASIA)[0-9A-Z]{16}"""),
     ("url_password", "secret", True, _SCHEME + r"""[^\s/:@"'<>]*:[^\s/@"'<>]+@[^\s"'<>]+"""),
     ("url", "endpoint", False, _SCHEME + r"""[^\s"'<>]+"""),
-    ("email", "identifier", False, r"""[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"""),
+    ("email", "identifier", False, r"""[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}\.[A-Za-z0-9.-]{0,189}[A-Za-z0-9-]"""),
     ("account", "identifier", False, r"""(?:[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd]|[Uu][Ss][Ee][Rr](?:_?[Nn][Aa][Mm][Ee])?|[Ll][Oo][Gg][Ii][Nn]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt](?:_?[Ii][Dd])?)["']?[ \t]*[=:][ \t]*["']?[A-Za-z0-9_.-]{3,64}"""),
     ("ipv4", "endpoint", False, r"""[0-9]{1,3}(?:\.[0-9]{1,3}){3}"""),
-    ("host_port", "endpoint", False, r"""(?:localhost|[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+):[0-9]{2,5}"""),
+    ("host_port", "endpoint", False, r"""(?:localhost|[A-Za-z0-9-]{1,63}\.[A-Za-z0-9.-]{0,189}[A-Za-z0-9-]):[0-9]{2,5}"""),
     ("hex", "secret", False, r"""[0-9a-f]{32,}|[0-9A-F]{32,}"""),
     ("base64", "secret", False, _mixed("+/", 32)),
     ("alphanumeric", "secret", False, _mixed("", 20)),
@@ -68,7 +74,8 @@ HINT = r"[@=:]|AKIA|ASIA|-----BEGIN|[0-9]\.[0-9]|[A-Za-z0-9+/]{20}|[Bb][Ee][Aa][
 
 
 def scope_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    """128 bits of id and text."""
+    return F.struct(F.xxhash64(F.col(id_col), F.col(text_col)).alias("one"), F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).alias("two"))
 
 
 def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -108,3 +108,18 @@ def test_sql_agrees_on_every_kind(spark):
     columns = [c[0] for c in want.description]
     want = {tuple(r) for r in want.fetchall()}
     assert {tuple(r) for r in secrets.scan(df).select(*columns).collect()} == want and len(want) > 10
+
+
+def test_adversarial_texts_take_a_constant_stack_and_linear_time(spark):
+    n = 1 << 17
+    key = "-----BEGIN RSA PRIVATE KEY-----\n"
+    long = [
+        "a@b" + ".b" * (n * 4), "b." * (n // 2), "1." * (n // 2), "a" * n, "7" * n, "eyJ" * (n // 3), "-----BEGIN " + "A " * (n // 2), key + "A: b\n" * (n // 5), key + "QUJD" * (n // 4), "token " * (n // 6),
+        "token = \"" * (n // 9), "http://" * (n // 7), "http://:" * (n // 8), "x://a:" + ":" * n, "user=" * (n // 5), "a@" * (n // 2), "aaaaaaaaaaaaaaaaaaa." * (n // 20), "1.1.1." * (n // 6), "\u00e9" * n, "Bearer " * (n // 7),
+    ]
+    rows = [*enumerate(long), (900, f"a@b.org {HEX}")]
+    df = docs(spark, rows).repartition(8)
+    kinds = {(r.doc_id, r.kind) for r in secrets.scan(df).select("doc_id", "kind").collect()}
+    assert {(900, "email"), (900, "hex"), (7, "private_key"), (8, "private_key")} <= kinds
+    out = {r.doc_id: r.n_chars for r in secrets.redact(df).collect()}
+    assert len(out) == len(rows) and out[3] == n and out[18] == n
