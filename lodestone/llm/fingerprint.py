@@ -2,19 +2,21 @@
 
 A sketch keeps every hash of a document's five-word shingles below 2**64 / ``scale``. The same hashes are kept whatever
 the document's length, so sketches merge by union, and the share of a short document's kept hashes that a long one also
-keeps estimates how much of the short one is in the long one.
+has estimates how much of the short one is in the long one.
 
-``contained`` finds all pairs in which one document is contained to at least ``threshold``. Of a document with n kept
+A document of fewer than ``least`` kept hashes has a floor as well: its smallest further hashes, up to ``least`` in all or all
+that it has. Which documents have these is looked up among all their shingles, behind a bitmap of a fixed size that passes over
+most others. So every document with words is searched for, by ``least`` hashes or all of its own, and no length is left out.
+
+``contained`` finds all pairs in which one document is contained to at least ``threshold``. Of a document with n
 hashes, a container at ``threshold`` must have one of any n - ceil(threshold * n) + 1 of them; the rarest in the corpus
 are looked up, so passages that many documents share are looked up only by documents made of little else. Pairs found are
-then compared by their whole sketches. Documents with the same sketch are folded into the smallest id.
-
-Defined results. A null text has a null sketch, and one without words an empty one. A document of fewer than five words has one
-shingle. Sketches of fewer than ``min_hashes`` hashes are too few to estimate by: to ``contained`` such documents may contain
-others, but their own containment isn't estimated. ``short_contained`` finds theirs, by all their shingles and so exactly:
-``shared``, ``n_doc`` and ``n_container`` of its rows count distinct shingles. ``containments`` gives both. Short documents of the
-same shingles are folded into the smallest id too, as documents and as containers. Rows with a null id have a sketch and no pairs; of rows repeating an id
-the union of their sketches is searched. An empty table gives no rows. Further columns are ignored.
+then compared by all the hashes of the contained one. Documents of the same words in the same order are one class, which stands
+behind its smallest id; links are between different classes. ``containments`` gives one row a document.
+
+Defined results. A null text has a null sketch, and one without words an empty one; such documents are classes of their own
+without links. A document of fewer than five words has one shingle. Rows with a null id have a sketch and no row here; rows repeating
+an id are one document with the union of their hashes. Of containers alike the smallest id is named. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,43 +29,76 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import sized, slices, text_bytes, written
-from .words import shingle_hashes, word_hashes
+from .words import mix, shingle_hashes, word_hashes
+
+SCALE, SHINGLE_WORDS, THRESHOLD, LEAST = 16, 5, 0.8, 8
+#: The bitmap has this many bits, whatever the data; it is made and collected in blocks of 4 KB.
+MAP_BITS, BLOCK_BITS = 27, 15
 
-SCALE, SHINGLE_WORDS, THRESHOLD, MIN_HASHES = 32, 5, 0.8, 8
 
+def _below(scale: int) -> np.uint64:
+    return np.uint64(((1 << 64) - 1) // scale)
 
-def sketch_rows(raw: np.ndarray, offsets: np.ndarray, scale: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kept hashes (distinct and ascending within a row), where each row's begin, and each row's number of shingles."""
-    words, first = word_hashes(raw, offsets)
-    hashes, at = shingle_hashes(words, first, k)
-    kept = np.flatnonzero(hashes <= np.uint64(((1 << 64) - 1) // scale))
-    row = np.searchsorted(at, kept, side="right") - 1
-    value = hashes[kept]
+
+def _distinct(value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values distinct and ascending within their rows."""
     order = np.lexsort((value, row))
     row, value = row[order], value[order]
     new = np.ones(len(row), np.bool_)
     new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-    row, value = row[new], value[new]
-    return value, np.searchsorted(row, np.arange(len(offsets))), np.diff(at)
+    return value[new], row[new]
+
+
+def _list(value: np.ndarray, row: np.ndarray, rows: int, mask: pa.Array | None = None) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)), pa.int32()), pa.array(value.view(np.int64)), mask=mask)
 
 
-def _sketch(scale: int, k: int):
+def _floor(hashes: np.ndarray, at: np.ndarray, kept: np.ndarray, limit: np.uint64, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The floors of the rows that have fewer than ``least`` ``kept`` hashes: values and rows."""
+    values, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i in np.flatnonzero((kept < least) & (np.diff(at) > kept)):
+        own = np.unique(hashes[at[i] : at[i + 1]])
+        own = own[own > limit][: least - kept[i]]
+        values.append(own)
+        rows.append(np.full(len(own), i))
+    return np.concatenate(values), np.concatenate(rows)
+
+
+def _fingerprints(scale: int, k: int, least: int):
+    """(id, m1, m2, n_shingles, sketch, floor); m1 and m2 add up two hashes of every shingle."""
+    limit = _below(scale)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
             null = batch.column(1).is_null()
             for i, j in slices(offsets):
-                value, at, n = sketch_rows(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], scale, k)
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value.view(np.int64)), mask=null.slice(i, j - i) if null.true_count else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), lists], names=["id", "n_shingles", "sketch"])
+                rows = j - i
+                hashes, at = shingle_hashes(*word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), k)
+                sums = np.zeros((2, len(hashes) + 1), np.uint64)
+                np.cumsum(hashes, out=sums[0, 1:])
+                np.cumsum(mix(hashes ^ np.uint64(0x5BD1E995)), out=sums[1, 1:])
+                marks = (sums[:, at[1:]] - sums[:, at[:-1]]).view(np.int64)
+                kept = np.flatnonzero(hashes <= limit)
+                value, row = _distinct(hashes[kept], np.searchsorted(at, kept, side="right") - 1)
+                floor, of = _floor(hashes, at, np.bincount(row, minlength=rows), limit, least)
+                mask = null.slice(i, rows) if null.slice(i, rows).true_count else None
+                columns = [batch.column(0).slice(i, rows), pa.array(marks[0]), pa.array(marks[1]), pa.array(np.diff(at), pa.int64()), _list(value, row, rows, mask), _list(floor, of, rows)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "m1", "m2", "n_shingles", "sketch", "floor"])
 
     return run
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.lower(text_col).alias("text"))
+
+
+_SCHEMA = "id bigint, m1 bigint, m2 bigint, n_shingles bigint, sketch array<bigint>, floor array<bigint>"
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scale: int = SCALE, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(id, n_shingles, sketch): the kept hashes of every document, distinct and in ascending unsigned order."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.lower(text_col).alias("text"))
-    return rows.mapInArrow(_sketch(scale, shingle_words), "id bigint, n_shingles bigint, sketch array<bigint>")
+    return _texts(docs, id_col, text_col).mapInArrow(_fingerprints(scale, shingle_words, 0), _SCHEMA).select("id", "n_shingles", "sketch")
 
 
 def merge(table: DataFrame, *by: str) -> DataFrame:
@@ -71,48 +106,7 @@ def merge(table: DataFrame, *by: str) -> DataFrame:
     return table.select(*by, F.explode("sketch").alias("h")).distinct().groupBy(*by).agg(F.sort_array(F.collect_list("h")).alias("sketch"))
 
 
-def contained(table: DataFrame, threshold: float = THRESHOLD, min_hashes: int = MIN_HASHES) -> DataFrame:
-    """(doc_id, container_id, shared, n_doc, n_container, containment) from written sketches (id, sketch)."""
-    ids = table.filter("id is not null and size(sketch) > 0").groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))).alias("sketch"))
-    # equal sketches share a representative; two 64-bit hashes of the list stand for it
-    marked, _ = written(ids.select("id", F.xxhash64("sketch").alias("m1"), F.hash("sketch").alias("m2"), F.size("sketch").alias("n"), "sketch"), "sketches")
-    # sketches too small to estimate by are only containers, and stay apart
-    alone = F.when(F.col("n") < min_hashes, F.col("id")).otherwise(F.lit(-1)).alias("alone")
-    heads = marked.groupBy("m1", "m2", "n", alone).agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("twins"))
-    copies = marked.select("id", "m1", "m2", "n").join(heads.filter(f"twins > 1 and n >= {int(min_hashes)}"), ["m1", "m2", "n"]).filter("id > head")
-    copies = copies.select(F.col("id").alias("doc_id"), F.col("head").alias("container_id"), F.col("n").alias("shared"), F.col("n").alias("n_doc"), F.col("n").alias("n_container"), F.lit(1.0).alias("containment"))
-    single, _ = written(marked.join(heads.select(F.col("head").alias("id")), "id", "left_semi").select("id", "n", "sketch"), "heads")
-    kept = single.select("id", "n", F.explode("sketch").alias("h"))
-    kept = kept.repartition("h")
-    df = kept.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    # a hash that one document alone keeps finds nothing, but comes first in that document's order: the rarest are
-    # these, and what is left of the prefix goes to the rarest of the others
-    common = kept.join(df, "h").filter(f"n >= {int(min_hashes)}")
-    rarest = Window.partitionBy("id").orderBy("df", "h")
-    seen = Window.partitionBy("id")
-    need = F.ceil(F.lit(threshold) * F.col("n"))
-    probes = common.withColumn("rank", F.row_number().over(rarest)).withColumn("in_common", F.count(F.lit(1)).over(seen)).filter(F.col("rank") <= F.col("in_common") - need + 1)
-    found = probes.select("h", F.col("id").alias("a")).join(kept.select("h", F.col("id").alias("b")), "h").filter("a <> b").select("a", "b").distinct()
-    left = single.select(F.col("id").alias("a"), F.col("n").alias("n_doc"), F.col("sketch").alias("x"))
-    right = single.select(F.col("id").alias("b"), F.col("n").alias("n_container"), F.col("sketch").alias("y"))
-    pairs = found.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
-    pairs = pairs.filter(F.col("shared") >= F.ceil(F.lit(threshold) * F.col("n_doc")))
-    pairs = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("container_id"), "shared", "n_doc", "n_container", (F.col("shared") / F.col("n_doc")).alias("containment"))
-    return copies.unionByName(pairs)
-
-
-def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scale: int = SCALE, threshold: float = THRESHOLD, min_hashes: int = MIN_HASHES) -> DataFrame:
-    """All containments of at least ``threshold`` between the documents' sketches."""
-    table, _ = written(sketches(docs, id_col, text_col, scale).select("id", "sketch"), "sketch")
-    return contained(table, threshold, min_hashes)
-
-
-# ---- documents of few hashes, by all their shingles
-
-#: A bitmap has this many bits, whatever the data; it is made and collected in blocks of 4 KB.
-MAP_BITS, BLOCK_BITS = 27, 15
-#: Shingles of at least so many short documents of a batch are looked up last; this changes the cost only, never the result.
-COMMON = 4
+# ---- floors among all shingles
 
 
 def _bit(hashes: np.ndarray) -> np.ndarray:
@@ -133,122 +127,103 @@ def _bitmap(hashes: DataFrame):
         return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     at = F.shiftrightunsigned("h", 64 - MAP_BITS)
-    blocks = hashes.select(F.shiftright(at, BLOCK_BITS).cast("int").alias("block"), at.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").alias("bit"))
+    # a block has 2**BLOCK_BITS distinct bits at most, so its group is bounded
+    blocks = hashes.select(F.shiftright(at, BLOCK_BITS).cast("int").alias("block"), at.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").alias("bit")).distinct()
     out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
     size = 1 << (BLOCK_BITS - 3)
-    for row in blocks.groupBy("block").applyInArrow(block, "block int, bits binary").collect():
+    for row in blocks.groupBy("block").applyInArrow(block, "block int, bits binary").toLocalIterator():
         out[row.block * size : (row.block + 1) * size] = np.frombuffer(row.bits, np.uint8)
     return hashes.sparkSession.sparkContext.broadcast(out)
 
 
-def _lists(values: np.ndarray, at: np.ndarray, take: np.ndarray) -> pa.ListArray:
-    """Lists of those of each row's ``values`` that ``take`` marks."""
-    before = np.concatenate([np.zeros(1, np.int64), np.cumsum(take)])
-    return pa.ListArray.from_arrays(pa.array(before[at], pa.int32()), pa.array(values[take].view(np.int64)))
-
-
-def _short(scale: int, k: int, least: int):
-    """(id, long, shingles): all shingles of rows with fewer than ``least`` kept hashes."""
+def _others(wanted, scale: int, k: int, least: int):
+    """(id, extra): those of a row's shingles, beyond its sketch and floor, that ``wanted`` may have."""
+    limit = _below(scale)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
             for i, j in slices(offsets):
-                value, at, _ = sketch_rows(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], 1, k)
-                kept = np.concatenate([np.zeros(1, np.int64), np.cumsum(value <= np.uint64(((1 << 64) - 1) // scale))])
-                long = np.diff(kept[at]) >= least
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(long), _lists(value, at, np.repeat(~long, np.diff(at)))], names=["id", "long", "shingles"])
+                hashes, at = shingle_hashes(*word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), k)
+                met = np.flatnonzero((hashes > limit) & _in(wanted.value, hashes))
+                value, row = _distinct(hashes[met], np.searchsorted(at, met, side="right") - 1)
+                kept = np.flatnonzero(hashes <= limit)
+                _, own = _distinct(hashes[kept], np.searchsorted(at, kept, side="right") - 1)
+                n = np.bincount(own, minlength=j - i)
+                if (n < least).any():  # a short document's floor is in the bitmap too
+                    floor, of = _floor(hashes, at, n, limit, least)
+                    last = np.zeros(j - i, np.uint64)
+                    np.maximum.at(last, of, floor)
+                    beyond = value > last[row]
+                    value, row = value[beyond], row[beyond]
+                some = np.unique(row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(some)), _list(value, np.searchsorted(some, row), len(some))], names=["id", "extra"])
 
     return run
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        h, n = np.unique(batch.column(1).flatten().to_numpy(), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h[n >= COMMON])], names=["h"])
-
-
-def _probes(common, threshold: float):
-    """(a, need, h): shingles of each short document of which a container has ``need``, those of few documents first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, need, out = [], [], []
-            for a, shingles in zip(batch.column(0).to_pylist(), batch.column(1)):
-                h = shingles.values.to_numpy()
-                miss = len(h) - int(np.ceil(threshold * len(h)))
-                out.append(h[np.argsort(_in(common.value, h), kind="stable")[: 2 * miss + 1]])
-                own += [a] * len(out[-1])
-                need += [len(out[-1]) - miss] * len(out[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(need, pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))], names=["a", "need", "h"])
-
-    return run
-
-
-def _met(wanted, k: int):
-    """(b, h): the shingles of each row that ``wanted`` may have."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = text_bytes(batch.column(1))
-            ids = batch.column(0).to_numpy()
-            for i, j in slices(offsets):
-                value, at, _ = sketch_rows(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], 1, k)
-                take = _in(wanted.value, value)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i:j], np.diff(at))[take], pa.int64()), pa.array(value[take].view(np.int64))], names=["b", "h"])
-
-    return run
-
-
-def _compare(threshold: float, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for b, texts, pairs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                raw, offsets = text_bytes(texts.values)
-                whole = np.unique(sketch_rows(raw, offsets, 1, k)[0])
-                for a, shingles in zip(pairs.values.field(0).to_pylist(), pairs.values.field(1)):
-                    h = shingles.values.to_numpy().view(np.uint64)
-                    at = np.minimum(np.searchsorted(whole, h), len(whole) - 1)
-                    shared = int((whole[at] == h).sum())
-                    if shared >= np.ceil(threshold * len(h)):
-                        rows.append((a, b, shared, len(h), len(whole), shared / len(h)))
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "container_id", "shared", "n_doc", "n_container", "containment"])
-
-    return run
+# ---- search
+
+
+def _documents(raw: DataFrame, least: int) -> DataFrame:
+    """One row an id of written ``_fingerprints``: rows that repeat an id are united."""
+    again = sized(raw.groupBy("id").count().filter("count > 1").select("id"), "again")
+    flip = lambda c: F.transform(c, lambda h: h.bitwiseXOR(F.lit(-(1 << 63))))
+    union = lambda c: F.array_sort(flip(F.array_distinct(F.flatten(F.collect_list(c)))))
+    many = raw.join(again, "id", "left_semi").dropDuplicates(["id", "m1", "m2", "n_shingles"]).groupBy("id").agg(
+        F.bit_xor("m1").alias("m1"), F.bit_xor("m2").alias("m2"), F.sum("n_shingles").alias("n_shingles"), flip(union("sketch")).alias("sketch"), union("floor").alias("floor")
+    )
+    many = many.withColumn("floor", flip(F.slice("floor", F.lit(1), F.greatest(F.lit(least) - F.size("sketch"), F.lit(0)))))
+    return raw.join(again, "id", "left_anti").unionByName(many)
+
+
+def contained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scale: int = SCALE, threshold: float = THRESHOLD, least: int = LEAST, shingle_words: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(id, class_id, n_hashes), written, and (a, b, shared, n): class a is in class b by ``shared`` of its n hashes."""
+    rows = _texts(docs, id_col, text_col).filter("id is not null")
+    raw, _ = written(rows.mapInArrow(_fingerprints(scale, shingle_words, least), _SCHEMA), "fingerprints")
+    table = _documents(raw, least)
+    named = table.select("id", "m1", "m2", "n_shingles", (F.size("sketch") + F.size("floor")).alias("n_hashes"), F.when(F.col("n_shingles") > 0, F.lit(-1)).otherwise(F.col("id")).alias("alone"), F.col("sketch").isNull().alias("none"))
+    keys = ["m1", "m2", "n_shingles", "alone"]
+    heads = named.groupBy(*keys).agg(F.min("id").alias("class_id"))
+    members, _ = written(named.join(heads, keys).select("id", "class_id", F.when(~F.col("none"), F.col("n_hashes")).alias("n_hashes")), "members")
+    copies = sized(members.filter("id <> class_id").select("id"), "copies")
+    single = table.filter("n_shingles > 0").select("id", "sketch", "floor").join(copies, "id", "left_anti")
+    wanted = _bitmap(single.select(F.explode("floor").alias("h")))
+    extra, _ = written(rows.mapInArrow(_others(wanted, scale, shingle_words, least), "id bigint, extra array<bigint>"), "extra")
+    extra = extra.join(copies, "id", "left_anti")
+    own = F.concat("sketch", "floor")
+    kept = single.select("id", F.size(own).alias("n"), F.explode(own).alias("h")).unionByName(extra.select("id", F.lit(0).alias("n"), F.explode("extra").alias("h")))
+    # counted before they are moved, so a hash of very many documents is one row a partition
+    df = kept.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    common = kept.filter("n > 0").join(df, "h")
+    # a hash that one document alone has finds nothing, but comes first in that document's order: the rarest are
+    # these, and what is left of the prefix goes to the rarest of the others
+    rarest = Window.partitionBy("id").orderBy("df", "h")
+    need = F.ceil(F.lit(threshold) * F.col("n"))
+    probes = common.withColumn("rank", F.row_number().over(rarest)).withColumn("in_common", F.count(F.lit(1)).over(Window.partitionBy("id"))).filter(F.col("rank") <= F.col("in_common") - need + 1)
+    found = probes.select("h", F.col("id").alias("a")).join(kept.select("h", F.col("id").alias("b")), "h").filter("a <> b").select("a", "b").distinct()
+    placed = single.repartition("id")
+    left = placed.select(F.col("id").alias("a"), own.alias("x"))
+    unions = extra.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("extra"))).alias("extra"))
+    right = placed.join(unions, "id", "left").select(F.col("id").alias("b"), F.concat("sketch", "floor", F.coalesce("extra", F.array().cast("array<bigint>"))).alias("y"))
+    pairs = found.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), F.size("x").alias("n"))
+    return members, pairs.filter(F.col("shared") >= F.ceil(F.lit(threshold) * F.col("n")))
 
 
-def short_contained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scale: int = SCALE, threshold: float = THRESHOLD, min_hashes: int = MIN_HASHES, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """The rows that ``contained`` can't give: of documents whose sketch is under ``min_hashes``, by all their shingles.
+def containments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scale: int = SCALE, threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
+    """(doc_id, class_id, n_hashes, n_containers, n_contained, container_id, containment) of every id.
 
-    A container at ``threshold`` lacks at most n - ceil(threshold * n) of a short document's n shingles, so of twice as many
-    and one it has more than half; pairs that do are compared whole. Bitmaps of a fixed size tell which shingles are worth moving: of long documents only those that some short one may look up.
+    ``n_containers`` is the number of other classes that have at least ``threshold`` of the document's, ``n_contained`` that of those
+    that are so in it; ``container_id`` is the container with the largest ``containment``.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.lower(text_col).alias("text")).filter("id is not null and text is not null")
-    every, _ = written(rows.mapInArrow(_short(scale, shingle_words, min_hashes), "id bigint, long boolean, shingles array<bigint>"), "shingles")
-    again = sized(every.groupBy("id").count().filter("count > 1").select("id"), "again")
-    union = every.join(again, "id", "left_semi").groupBy("id").agg(F.max("long").alias("long"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("shingles")))).alias("shingles"))
-    kept = F.size(F.filter("shingles", lambda h: (h >= 0) & (h <= ((1 << 64) - 1) // scale) if scale > 1 else F.lit(True)))
-    own = every.filter(~F.col("long") & (F.size("shingles") > 0)).join(again, "id", "left_anti").withColumn("shingles", F.array_sort("shingles"))
-    own = own.unionByName(union.filter(~F.col("long") & (F.size("shingles") > 0) & (kept < min_hashes)))
-    marked, _ = written(own.select("id", F.xxhash64("shingles").alias("m1"), F.hash("shingles").alias("m2"), F.size("shingles").alias("n"), "shingles"), "short")
-    heads = marked.groupBy("m1", "m2", "n").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("twins")).filter("twins > 1")
-    twins, _ = written(marked.select("id", "m1", "m2", "n").join(heads, ["m1", "m2", "n"]).filter("id > head").select("id", "head", "n"), "twins")
-    copies = twins.select(F.col("id").alias("doc_id"), F.col("head").alias("container_id"), F.col("n").alias("shared"), F.col("n").alias("n_doc"), F.col("n").alias("n_container"), F.lit(1.0).alias("containment"))
-    single = marked.select(F.col("id").alias("a"), "shingles").join(twins.select(F.col("id").alias("a")), "a", "left_anti")
-    common = _bitmap(single.mapInArrow(_common, "h bigint"))
-    probes, _ = written(single.mapInArrow(_probes(common, threshold), "a bigint, need int, h bigint"), "probes")
-    met = rows.mapInArrow(_met(_bitmap(probes.select("h")), shingle_words), "b bigint, h bigint")
-    met = probes.join(met, "h").filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).filter("n >= need")
-    pairs, _ = written(met.select("a", "b").join(twins.select(F.col("id").alias("b")), "b", "left_anti"), "met")
-    asked = pairs.join(single, "a").groupBy(F.col("b").alias("id")).agg(F.collect_list(F.struct("a", "shingles")).alias("pairs"))
-    texts = rows.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.collect_list("text").alias("texts"))
-    pairs = texts.join(asked, "id").mapInArrow(_compare(threshold, shingle_words), "doc_id bigint, container_id bigint, shared int, n_doc int, n_container int, containment double")
-    return copies.unionByName(pairs)
-
-
-def containments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scale: int = SCALE, threshold: float = THRESHOLD, min_hashes: int = MIN_HASHES) -> DataFrame:
-    """All containments of at least ``threshold``: of long documents by their sketches, of short ones by all their shingles."""
-    return fingerprint(docs, id_col, text_col, scale, threshold, min_hashes).unionByName(short_contained(docs, id_col, text_col, scale, threshold, min_hashes))
+    members, pairs = contained(docs, id_col, text_col, scale, threshold, least)
+    best = F.struct("shared", (-F.col("b")).alias("b"), "n")
+    none = F.lit(None).cast("struct<shared:int,b:bigint,n:int>")
+    sides = pairs.select(F.explode(F.array(
+        F.struct(F.col("a").alias("class_id"), F.lit(1).alias("into"), F.lit(0).alias("of"), best.alias("best")), F.struct(F.col("b").alias("class_id"), F.lit(0).alias("into"), F.lit(1).alias("of"), none.alias("best"))
+    )).alias("s")).select("s.*")
+    links = sides.groupBy("class_id").agg(F.sum("into").alias("n_containers"), F.sum("of").alias("n_contained"), F.max("best").alias("best"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return members.join(links, "class_id", "left").select(
+        F.col("id").alias("doc_id"), "class_id", "n_hashes", zero("n_containers"), zero("n_contained"), (-F.col("best.b")).alias("container_id"), (F.col("best.shared") / F.col("best.n")).alias("containment")
+    )

@@ -1,12 +1,16 @@
 import math
 import random
+import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import fingerprint as fp
 from lodestone.llm.words import shingle_hashes, word_hashes
 
+from ..conftest import SF
+
 SCHEMA = "doc_id bigint, text string"
 
 
@@ -59,39 +63,52 @@ def test_merging_equals_the_sketch_of_all(spark):
 
 
 def brute(rows, scale, threshold, least):
-    kept = {i: {h for h in hashes(t) if h < (1 << 64) // scale} for i, t in rows if t is not None}
-    return {(a, b, len(x & y)) for a, x in kept.items() for b, y in kept.items() if a != b and len(x) >= least and len(x & y) >= math.ceil(threshold * len(x))}
-
-
-def folded(pairs, out):
-    """Whether ``out``, in which equal sketches have a representative, stands for ``pairs``."""
-    head = {}
-    for r in out:
-        if r.containment == 1 and r.n_doc == r.n_container and r.shared == r.n_doc and r.container_id < r.doc_id:
-            head.setdefault(r.doc_id, r.container_id)
-    top = lambda i: head.get(i, i)
-    return {(top(a), top(b)) for a, b, _ in pairs if top(a) != top(b)} == {(r.doc_id, r.container_id) for r in out if r.doc_id not in head or head[r.doc_id] != r.container_id}
-
-
-def test_all_containments_are_found(spark):
-    for scale, threshold, least in ((4, 0.8, 8), (8, 0.5, 1), (2, 1.0, 3)):
-        rows = corpus(scale)
-        out = fp.fingerprint(spark.createDataFrame(rows, SCHEMA), scale=scale, threshold=threshold, min_hashes=least).collect()
-        want = brute(rows, scale, threshold, least)
-        assert want and folded(want, out)
-        sure = {(a, b): n for a, b, n in want}
-        assert all(sure[r.doc_id, r.container_id] == r.shared for r in out)
+    """(class of each id, hashes of each class, {(a, b): shared})."""
+    words, full = {}, {}
+    for i, t in rows:
+        if i is not None and t is not None:
+            words.setdefault(i, set()).add(" ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())))
+            full.setdefault(i, set()).update(hashes(t))
+    head = {i: min(j for j in words if words[j] == w) if full[i] else i for i, w in words.items()}
+    own = {}
+    for i in set(head.values()):
+        kept = sorted(h for h in full[i] if h <= ((1 << 64) - 1) // scale)
+        own[i] = {*kept, *sorted(full[i] - set(kept))[: max(0, least - len(kept))]}
+    links = {(a, b): len(x & full[b]) for a, x in own.items() for b in own if a != b and x and len(x & full[b]) >= math.ceil(threshold * len(x))}
+    return head, own, links
+
+
+def agree(rows, out, scale, threshold, least):
+    head, own, links = brute(rows, scale, threshold, least)
+    got = {r.doc_id: r for r in out}
+    assert len(out) == len(got) == len({i for i, _ in rows if i is not None})
+    for i, h in head.items():
+        mine = {b: n for (a, b), n in links.items() if a == h}
+        best = min(mine, key=lambda b: (-mine[b], b), default=None)
+        r = got[i]
+        assert (r.class_id, r.n_hashes, r.n_containers, r.n_contained, r.container_id) == (h, len(own[h]), len(mine), sum(b == h for _, b in links), best), i
+        assert r.containment == (None if best is None else mine[best] / len(own[h]))
+    return links
+
+
+@pytest.mark.parametrize("scale,threshold,least", [(fp.SCALE, fp.THRESHOLD, fp.LEAST), (8, 0.5, 1), (2, 1.0, 3), (1, 0.7, 8)])
+def test_all_containments_are_found(spark, scale, threshold, least):
+    rows = corpus(scale)
+    out = fp.containments(spark.createDataFrame(rows, SCHEMA), scale=scale, threshold=threshold, least=least).collect()
+    assert len(agree(rows, out, scale, threshold, least)) > 20
 
 
 def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(3000))
-    rows = [(1, None), (2, ""), (3, "..."), (4, "one two"), (5, long), (5, long), (6, long), (None, long), (7, long.replace(" ", "\n").upper())]
+    rows = [(1, None), (2, ""), (3, "..."), (4, "one two"), (5, long), (5, long), (6, long), (None, long), (7, long.replace(" ", "\n").upper()), (8, "one two"), (8, "three"), (9, "one, two!"), (10, "three"), (11, None), (11, "one two")]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("h", F.lit(1)).withColumn("sketch", F.lit("s")).withColumn("n", F.lit(2))
     s = {(r.id, r.n_shingles, None if r.sketch is None else len(r.sketch) > 0) for r in fp.sketches(df).collect()}
     assert {(1, 0, None), (2, 0, False), (3, 0, False)} <= s and (4, 1) in {x[:2] for x in s}
-    got = sorted((r.doc_id, r.container_id, r.containment) for r in fp.fingerprint(df).collect())
-    assert got == [(6, 5, 1.0), (7, 5, 1.0)]
-    assert fp.fingerprint(df.limit(0)).count() == 0 and fp.sketches(df.limit(0)).count() == 0
+    got = {r.doc_id: tuple(r)[1:] for r in fp.containments(df).collect()}
+    assert got[1] == (1, None, 0, 0, None, None) and got[2] == (2, 0, 0, 0, None, None) and got[3][:2] == (3, 0)
+    assert {got[i][0] for i in (5, 6, 7)} == {5} and got[5][2] == 0 and got[9][0] == 4 and got[4][2:5] == (1, 0, 8) or got[4][2] >= 1
+    assert got[8][1] == 2 and got[10][4] == 8 and got[8][3] >= 2
+    assert fp.containments(df.limit(0)).count() == 0 and fp.sketches(df.limit(0)).count() == 0
 
 
 def test_estimates_are_near_the_truth(spark):
@@ -99,26 +116,23 @@ def test_estimates_are_near_the_truth(spark):
     small = [f"s{rng.random()}" for _ in range(4000)]
     big = small[:3400] + [f"b{i}" for i in range(200_000)]
     df = spark.createDataFrame([(1, " ".join(small)), (2, " ".join(big))], SCHEMA)
-    r = fp.fingerprint(df, threshold=0.5).first()
-    assert (r.doc_id, r.container_id) == (1, 2) and abs(r.containment - 0.85) < 0.12
-
-
-def test_short_documents_are_contained_by_all_their_shingles(spark):
-    rows = corpus(5)
-    long = dict(rows)[0] if len(dict(rows)[0].split()) > 600 else " ".join(f"l{i}" for i in range(2000))
-    w = long.split()
-    rows += [(900, long), (901, " ".join(w[100:160])), (902, " ".join(w[100:160])), (903, " ".join(w[300:420]) + " and ten words more that no other document has at all"), (904, "one two"), (905, "one two"), (906, " ".join(w[:100])), (906, " ".join(w[90:200]))]
-    df = spark.createDataFrame(rows, SCHEMA)
-    out = {(r.doc_id, r.container_id): (r.shared, r.n_doc, r.containment) for r in fp.containments(df).collect()}
-    assert out[901, 900] == (56, 56, 1.0) and out[902, 901][2] == 1.0 and out[905, 904][2] == 1.0 and out[906, 900][2] == 1.0
-    assert 0.8 <= out[903, 900][2] < 1 and not {(901, 902), (904, 905)} & set(out)
-    full = {}
-    for i, t in rows:
-        full.setdefault(i, set()).update(hashes(t))
-    short = {i: x for i, x in full.items() if 0 < len(x) and len([h for h in x if h < (1 << 64) // fp.SCALE]) < fp.MIN_HASHES}
-    head = {i: min(j for j, y in short.items() if y == x) for i, x in short.items()}
-    want = {(i, h) for i, h in head.items() if i != h}
-    want |= {(a, b) for a, x in short.items() if head[a] == a for b, y in full.items() if a != b and head.get(b, b) == b and len(x & y) >= math.ceil(fp.THRESHOLD * len(x))}
-    assert {p for p in out if p[0] in short} == want
-    assert {p for p in out if p[0] not in short} == {(r.doc_id, r.container_id) for r in fp.fingerprint(df).collect()}
-    assert fp.containments(df.limit(0)).count() == 0
+    r = fp.containments(df, threshold=0.5).filter("doc_id = 1").first()
+    assert r.container_id == 2 and abs(r.containment - 0.85) < 0.12
+
+
+def test_recall_of_parts_of_every_length(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randint(0, 20000)}" for _ in range(3000)) for _ in range(20)]
+    rows = list(enumerate(texts))
+    for n in (1, 4, 5, 8, 20, 60, 120, 400, 1500):
+        for t in texts:
+            at = rng.randrange(3000 - n)
+            rows.append((len(rows), " ".join(t.split()[at : at + n])))
+    out = {r.doc_id: r for r in fp.containments(spark.createDataFrame(rows, SCHEMA)).collect()}
+    # of five words and more every part is found in its whole; shorter ones are one shingle that only equals another
+    assert all(out[i].n_containers > 0 and out[i].containment == 1 for i, t in rows[20:] if len(t.split()) >= 5)
+
+
+def test_all_documents_of_the_tables(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    agree(rows, fp.containments(spark.createDataFrame(rows, SCHEMA)).collect(), fp.SCALE, fp.THRESHOLD, fp.LEAST)
