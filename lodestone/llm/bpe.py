@@ -13,9 +13,12 @@ still change the tokens before it:
 
 Tokens that end at least that many bytes before the end of what was read are final. ``Encoder`` emits them, keeps the rest
 and reads on, so a piece of any length takes memory by the lookahead only. As no merge crosses a token boundary of the
-result, encoding goes on from a boundary as from the start.
+result, encoding goes on from a boundary as from the start. Within a block the pairs wait in a heap, so its time is n log n.
 
-The pieces are those of the vocabulary's pattern. Short pieces come back often and are remembered in a table of bounded size.
+The pieces are those of the vocabulary's pattern. ``Stream`` finds them as characters arrive: a piece is settled once a further
+one follows and the three characters that a contraction may need are there; an unbroken run that gets long goes to an
+``Encoder`` as it comes. Texts are fed in portions of ``PORTION`` characters, so beside the text itself and its tokens memory doesn't grow with it.
+Short pieces come back often and are remembered in a table of bounded size.
 
 ``Decoder`` turns tokens to text as they come, holding back the at most three bytes of an unfinished character.
 
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import heapq
 import itertools
 import re
 import uuid
@@ -45,7 +49,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces up to this many bytes are remembered, and so many of them.
 REMEMBERED_BYTES, REMEMBERED = 64, 200_000
-_BLOCK = 4096
+#: Characters that a text is fed by, characters after which an unbroken run is encoded as it comes, tokens that are decoded at once.
+PORTION, RUN, DECODED = 1 << 16, 1 << 12, 1 << 12
+_BLOCK = 1 << 12
 # the same pattern for the standard library's faster engine, for texts without the characters on which the two differ:
 # numbers that aren't decimal digits, and the four separators that only Python takes for white space
 _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -132,23 +138,35 @@ class Pairs:
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """Tokens of a piece by repeatedly merging the leftmost pair of the lowest rank, for pieces of bounded length."""
-    if len(piece) < 2:
+    n = len(piece)
+    if n < 2:
         return [piece] if piece else []
-    parts = [piece[i : i + 1] for i in range(len(piece))]
     get = ranks.get
-    pairs = [get(a + b, 1 << 60) for a, b in itertools.pairwise(parts)]
-    while pairs:
-        low = min(pairs)
-        if low == 1 << 60:
-            break
-        i = pairs.index(low)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i < len(pairs):
-            pairs[i] = get(parts[i] + parts[i + 1], 1 << 60)
-        if i:
-            pairs[i - 1] = get(parts[i - 1] + parts[i], 1 << 60)
-    return parts
+    after, before = list(range(1, n + 2)), list(range(-1, n))
+    # a pair waits as (rank, where it begins, where it ends) in one number; one whose tokens have changed is out of date
+    heap = [rank << 64 | i << 32 | i + 2 for i in range(n - 1) if (rank := get(piece[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    push, pop = heapq.heappush, heapq.heappop
+    while heap:
+        top = pop(heap)
+        i, end = top >> 32 & 0xFFFFFFFF, top & 0xFFFFFFFF
+        middle = after[i]
+        if middle < 0 or middle >= n or after[middle] != end:
+            continue
+        after[i], after[middle] = end, -1
+        if end < n:
+            before[end] = i
+            last = after[end]
+            if (rank := get(piece[i:last])) is not None:
+                push(heap, rank << 64 | i << 32 | last)
+        first = before[i]
+        if first >= 0 and (rank := get(piece[first:end])) is not None:
+            push(heap, rank << 64 | first << 32 | end)
+    out, i = [], 0
+    while i < n:
+        out.append(piece[i : after[i]])
+        i = after[i]
+    return out
 
 
 def merge_many(pieces: list[bytes], singles: np.ndarray, pairs: Pairs) -> list[bytes]:
@@ -221,6 +239,62 @@ class Encoder:
         return out
 
 
+_CLASSES = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+")]
+
+
+class Stream:
+    """Encodes a text that arrives in any portions of characters."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer, self.tail, self.run, self.encoder = tokenizer, "", None, None
+
+    def feed(self, text: str) -> bytes:
+        """Tokens, as int32 bytes, that became final with these characters."""
+        out = []
+        if self.run is not None:
+            m = self.run.match(text)
+            end = m.end() if m else 0
+            out.append(self._on(text[:end]))
+            if end == len(text):
+                return b"".join(out)
+            out.append(self._ended())
+            text = text[end:]
+        text = self.tail + text
+        pieces = self.tokenizer.pieces(text)
+        held, at = len(pieces), len(text)
+        while held and (at == len(text) or at - len(pieces[held - 1]) + 3 > len(text)):
+            held -= 1
+            at -= len(pieces[held])
+        out.append(self.tokenizer.tokens_of(pieces[:held]))
+        self.tail = text[at:]
+        if len(self.tail) > RUN:  # then it is one piece, and its last character tells of what
+            self.run = next(c for c in _CLASSES if c.match(self.tail[-1]))
+            self.encoder = Encoder(self.tokenizer.ranks, self.tokenizer.sufficient)
+            run, self.tail = self.tail, ""
+            out.append(self._on(run))
+        return b"".join(out)
+
+    def finish(self) -> bytes:
+        if self.run is not None:
+            if self.run is _CLASSES[-1]:  # white space to the end is one piece
+                out = array("i", self.encoder.feed(self.tail.encode())).tobytes()
+                self.tail = ""
+                return out + self._ended()
+            return self._ended()
+        out, self.tail = self.tokenizer.tokens_of(self.tokenizer.pieces(self.tail)), ""
+        return out
+
+    def _on(self, text: str) -> bytes:
+        if self.run is _CLASSES[-1] and text:  # the last white space before other characters isn't the run's
+            text, self.tail = self.tail + text[:-1], text[-1]
+        return array("i", self.encoder.feed(text.encode())).tobytes()
+
+    def _ended(self) -> bytes:
+        out = array("i", self.encoder.finish()).tobytes()
+        self.run = self.encoder = None
+        return out
+
+
 class Decoder:
     """Text of tokens as they come. An unfinished character waits for its next bytes; what can't be text becomes U+FFFD."""
 
@@ -280,22 +354,50 @@ class Tokenizer:
         self.young.update((k, v) for k, v in out.items() if len(k) <= REMEMBERED_BYTES)
         return out
 
-    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        """Token ids of each text."""
-        split = [(_FAST if self.unlike.isdisjoint(text) else _SLOW).findall(text) for text in texts]
+    def pieces(self, text: str) -> list[str]:
+        return (_FAST if self.unlike.isdisjoint(text) else _SLOW).findall(text)
+
+    def _found(self, split: list[list[str]]) -> list[bytes]:
         found = [list(map(self.young.get, pieces)) for pieces in split]
         missing = {piece for pieces, ids in zip(split, found) if None in ids for piece, own in zip(pieces, ids) if own is None}
         if missing:
             learnt = self._learn(missing)
             found = [[own if own is not None else learnt[piece] for piece, own in zip(pieces, ids)] if None in ids else ids for pieces, ids in zip(split, found)]
-        return [np.frombuffer(b"".join(ids), np.int32) for ids in found]
+        return [b"".join(ids) for ids in found]
+
+    def tokens_of(self, pieces: list[str]) -> bytes:
+        return self._found([pieces])[0] if pieces else b""
+
+    def _streamed(self, text: str) -> bytes:
+        stream = Stream(self)
+        return b"".join([*(stream.feed(text[at : at + PORTION]) for at in range(0, len(text), PORTION)), stream.finish()])
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text; those of one portion are split at once."""
+        short = [i for i, text in enumerate(texts) if len(text) <= PORTION]
+        out = dict(zip(short, self._found([self.pieces(texts[i]) for i in short])))
+        return [np.frombuffer(out[i] if i in out else self._streamed(text), np.int32) for i, text in enumerate(texts)]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_many([text])[0].tolist()
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decoded(self, ids: np.ndarray) -> Iterator[str]:
+        """The text of tokens, as it becomes known."""
         decoder = Decoder(self.tokens)
-        return decoder.feed(ids) + decoder.finish()
+        for at in range(0, len(ids), DECODED):
+            yield decoder.feed(ids[at : at + DECODED].tolist())
+        yield decoder.finish()
+
+    def decode(self, ids: Iterable[int]) -> str:
+        return "".join(self.decoded(np.asarray(ids, np.int32)))
+
+    def decodes_to(self, ids: np.ndarray, text: str) -> bool:
+        at = 0
+        for part in self.decoded(ids):
+            if not text.startswith(part, at):
+                return False
+            at += len(part)
+        return at == len(text)
 
 
 _made: dict[str, Tokenizer] = {}
@@ -325,7 +427,7 @@ def _encode(make: Callable[[], Tokenizer]):
                 texts = column.slice(i, j - i).to_pylist()
                 ids = tokenizer.encode_many([text or "" for text in texts])
                 null = np.array([text is None for text in texts])
-                ok = [None if text is None else tokenizer.decode(own.tolist()) == text for text, own in zip(texts, ids)]
+                ok = [None if text is None else tokenizer.decodes_to(own, text) for text, own in zip(texts, ids)]
                 sizes = np.array([len(own) for own in ids])
                 ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)), mask=pa.array(null))

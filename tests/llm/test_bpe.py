@@ -1,6 +1,8 @@
 import os
 import random
+import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,6 +67,52 @@ def test_streaming_emits_final_tokens_only_and_keeps_a_bounded_buffer(ranks, tok
     assert out + encoder.finish() == whole and len(out) > len(whole) // 2
 
 
+def _plain(piece, ranks):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found:
+            return parts
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_merging_against_a_plain_version(ranks):
+    rng = random.Random(8)
+    for n in (0, 1, 2, 3, 17, 200, 900):
+        for alphabet in ("a", "ab", "etaoinshrdlu ", "日本語"):
+            piece = "".join(rng.choice(alphabet) for _ in range(n)).encode()
+            assert bpe.merge(piece, ranks) == _plain(piece, ranks)
+
+
+def test_a_stream_of_any_portions_gives_the_same_tokens(tokenizer, reference):
+    rng = random.Random(4)
+    runs = ["a" * 9000, " " * 9000, "\n" * 5000 + "x", "7" * 5000, "=" * 4500, "'" * 5000 + "s", "日本" * 3000, " " * 5000 + "!", "\t" * 4200 + " y", "²" * 4300]
+    for case in range(60):
+        parts = [rng.choice([*runs, "it's we'll they've", " the cat", "é", "  ", "\n\n", "'", "'l", "12", "\u3000", "x\x1c"]) for _ in range(rng.randint(1, 9))]
+        text = "".join(parts)
+        stream, out, at = bpe.Stream(tokenizer), [], 0
+        while at < len(text):
+            step = rng.choice([1, 2, 3, 700, 5000])
+            out.append(stream.feed(text[at : at + step]))
+            at += step
+            assert len(stream.tail) <= bpe.RUN + 5000
+        ids = np.frombuffer(b"".join(out) + stream.finish(), np.int32)
+        assert ids.tolist() == reference.encode_ordinary(text), case
+        assert tokenizer.decodes_to(ids, text) and not tokenizer.decodes_to(ids, text + "x") and not tokenizer.decodes_to(ids, text[:-1])
+
+
+def test_unbroken_runs_take_linear_time(tokenizer, reference):
+    rng = random.Random(9)
+    n = 1 << 20
+    for text in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)), "a" * n, "".join(rng.choice("日本語中文字") for _ in range(n // 3)), " " * n):
+        began = time.process_time()
+        ids = tokenizer.encode_many([text])[0]
+        assert time.process_time() - began < 12
+        assert tokenizer.decodes_to(ids, text)
+        assert ids[: bpe.RUN].tolist() == reference.encode_ordinary(text[: 8 * bpe.RUN])[: bpe.RUN]
+
+
 def _tiny(merges):
     ranks = {bytes([b]): b for b in range(256)}
     for m in merges:
