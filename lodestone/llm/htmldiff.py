@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
+_OPEN = re.compile(r"<!--|<(script|style|title|noscript|template|svg)\b[^<>]*>", re.I)
+_CLOSE = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "title", "noscript", "template", "svg")}
 _BLOCK = re.compile(
     r"<(?:/|!)?(?:address|article|aside|blockquote|body|br|button|caption|dd|details|div|dl|doctype|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|"
     r"legend|li|main|nav|ol|option|p|pre|section|select|summary|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^<>]*>", re.I,
@@ -43,10 +43,36 @@ _BLOCK = re.compile(
 _TAG = re.compile(r"</?[a-zA-Z!?][^<>]*>")
 
 
+def _visible(page: str) -> str:
+    """The page without comments and elements whose text isn't shown.
+
+    As browsers have it, what isn't closed of a comment, script or style goes to the end. The others are left out only if they
+    are closed, and stand as plain tags if not or if they close themselves; the text of an unclosed head is the page's text.
+    """
+    out, at, start, unclosed = [], 0, 0, set()
+    while (m := _OPEN.search(page, start)) is not None:
+        name = (m[1] or "").lower()
+        if name in unclosed or (name in ("noscript", "template", "svg") and m[0].endswith("/>")):
+            start = m.end()
+            continue
+        if name:
+            close = _CLOSE[name].search(page, m.end())
+            end = close.end() if close else len(page)
+        else:
+            close = (i := page.find("-->", m.end())) >= 0
+            end = i + 3 if close else len(page)
+        if not close and name not in ("", "script", "style"):
+            unclosed.add(name)
+            start = m.end()
+            continue
+        out += (page[at : m.start()], "\n")
+        at = start = end
+    return "".join((*out, page[at:]))
+
+
 def text_lines(page: str) -> list[str]:
     """The visible text of a page, a line for each block."""
-    page = _HIDDEN.sub("\n", page)
-    lines = _TAG.sub("", _BLOCK.sub("\n", " ".join(page.split()))).split("\n")
+    lines = _TAG.sub("", _BLOCK.sub("\n", " ".join(_visible(page).split()))).split("\n")
     return [line for raw in lines if (line := " ".join(entities.unescape(raw).split()))]
 
 

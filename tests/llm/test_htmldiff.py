@@ -133,3 +133,21 @@ def test_a_page_is_not_compared_with_its_other_addresses_or_copies(spark):
     rows = [(1, "http://h.org/news/1?a", page("story", "ad one")), (2, "http://h.org/news/1#b", page("story", "ad two")), (3, "http://h.org/news/9", page("other", "ad three")), (4, "http://h.org/news/8", page("story", "ad one"))]
     got = {r.page_id: (r.partner_id, r.text) for r in hd.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: (3, "story\nad one"), 2: (3, "story\nad two"), 3: (1, "other\nad three"), 4: (3, "story\nad one")}
+
+
+def test_text_is_kept_where_tags_are_left_open():
+    body = "<p>one</p><p>two</p>"
+    for head in ("<head><title>t</title><meta charset=x><body>", "<head><title>t</title></head><body>", "<head><script>document.write('<div>no</div>')</script>", "<title>t</title>", "<svg/>", "<svg width=1 />", "<noscript>", "<template>", "<svg><path>", "<title>"):
+        assert hd.text_lines(f"<html>{head}{body}")[-2:] == ["one", "two"], head
+    assert hd.text_lines(f"<svg><title>no</title><text>no</text></svg><noscript>no</noscript>{body}") == ["one", "two"]
+    assert hd.text_lines(f"{body}<!-- no") == hd.text_lines(f"{body}<script>no") == hd.text_lines(f"{body}<style>no") == ["one", "two"]
+    assert hd.text_lines(f"<!-->no-->{body}<SCRIPT>no</SCRIPT ><p>three") == ["one", "two", "three"]
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    for page in ("<svg>" * 200_000, "<svg " * 200_000, "<!--" * 200_000, "<p>" * 300_000, "<title>" * 150_000, "<script" * 150_000, "<svg/><noscript>" * 60_000, "<" * 1_000_000, "<div " * 200_000):
+        began = time.process_time()
+        hd.text_lines(page)
+        assert time.process_time() - began < 5, page[:9]
