@@ -3,18 +3,19 @@
 Features are hashed counts of the 1-, 2- and 3-grams of a text's lower-cased letters, with runs of anything else as one
 space, weighted by 1 + ln(count) and by inverse document frequency over the whole table, and scaled to unit length. The
 weights are learnt by follow-the-regularised-leader with an elastic net (L1 makes them sparse, L2 keeps them small) from a bounded sample
-of labelled rows, ``TRAIN_PER_LABEL`` a label, those with the lowest hash of the id. A fifth of the sample is held out to fit
-the temperature that calibrates the probabilities. Training takes memory by the sample and the number of buckets only.
+of labelled rows, at most ``TRAIN_PER_LABEL`` a label, those with the lowest hashes of the id and then of the text. A fifth of the sample is held out to fit
+the temperature that calibrates the probabilities. Training takes memory by the sample (rows times labels) and the number of buckets only.
 
 Defined results. A null, empty or letterless text has no features: its prediction and confidence are null and it is rejected.
 A text whose calibrated confidence is below ``min_confidence`` is rejected too. Ties go to the label that sorts first.
-Rows with a null id or label are classified, not learnt from. Rows repeating an id are each classified. If no row has a label,
+Rows with a null id or label are classified, not learnt from. Rows repeating an id are each classified; of rows repeating id and text one is learnt from. If no row has a label,
 or none any letter, nothing is learnt and every row is rejected; with one label all texts with letters get it. Further columns are
 ignored by the report and kept by ``accepted``.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,25 +36,24 @@ _SLICE_BYTES, _SLICE_ROWS = 1 << 18, 96
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 
 
+@functools.cache
 def _fold() -> np.ndarray:
-    table = np.full(1 << 16, 32, np.uint32)
-    for c in range(1 << 16):
+    """The lower case of every letter, of all planes; a space for anything else."""
+    table = np.full(0x110000, 32, np.uint32)
+    for c in range(0x110000):
         x = chr(c)
         if x.isalpha():
             table[c] = ord(x.lower()[0])
     return table
 
 
-_FOLD = _fold()
-
-
 def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, bucket, count) of the n-grams of some rows of UTF-8 text, by row and bucket."""
     rows = len(offsets) - 1
     points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     head = (raw & 0xC0) != 0x80
     at = np.concatenate([np.zeros(1, np.int64), np.cumsum(head)])[offsets]
-    chars = np.where(points < 1 << 16, _FOLD[np.minimum(points, (1 << 16) - 1)], points)
+    chars = _fold()[points]
     row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(at))
     blank = chars == 32
     keep = np.ones(len(chars), np.bool_)
@@ -104,12 +104,12 @@ def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw, offsets = text_bytes(batch.column(2))
+        raw, offsets = text_bytes(batch.column(3))
         for i, j in _runs(offsets):
             row, bucket, count = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             at = np.searchsorted(row, np.arange(j - i + 1))
             lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.int32())) for x in (bucket, count)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *lists], names=["label", "h", "bucket", "count"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(3)), *lists], names=["label", "h", "t", "bucket", "count"])
 
 
 @dataclass
@@ -186,13 +186,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     total = np.zeros(BUCKETS + 1, np.int64)
     total[df["bucket"].to_numpy(np.int64)] = df["df"].to_numpy(np.int64)
     idf = np.log((1 + total[BUCKETS]) / (1 + total[:BUCKETS])) + 1
-    keyed = docs.select(F.col(label_col).cast("string").alias("label"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("label is not null and id is not null and text is not null")
-    ranked = keyed.select("label", "h").withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("h"))).filter(F.col("rank") <= per_label)
+    keyed = docs.select(F.col(label_col).cast("string").alias("label"), F.xxhash64(id_col).alias("h"), F.xxhash64(text_col).alias("t"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("label is not null and id is not null and text is not null")
+    lowest = Window.partitionBy("label").orderBy("h", "t")
+    ranked = keyed.select("label", "h", "t").distinct().withColumn("rank", F.row_number().over(lowest)).filter(F.col("rank") <= per_label)
     # one row a label
-    limits = ranked.groupBy("label").agg(F.max("h").alias("most"))
-    sample = keyed.join(F.broadcast(limits), "label").filter("h <= most").select("label", "h", "text")
-    rows = sample.mapInArrow(_examples, "label string, h bigint, bucket array<int>, count array<int>").toPandas()
-    rows = rows[rows["bucket"].map(len) > 0].sort_values(["label", "h"], kind="stable")
+    limits = ranked.groupBy("label").agg(F.max(F.struct("h", "t")).alias("most"))
+    sample = keyed.join(F.broadcast(limits), "label").filter(F.struct("h", "t") <= F.col("most")).dropDuplicates(["label", "h", "t"]).select("label", "h", "t", "text")
+    rows = sample.mapInArrow(_examples, "label string, h bigint, t bigint, bucket array<int>, count array<int>").toPandas()
+    rows = rows[rows["bucket"].map(len) > 0].sort_values(["label", "h", "t"], kind="stable")
     if rows.empty:
         return None
     labels = sorted(rows["label"].unique())

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -9,14 +11,14 @@ SCHEMA = "doc_id bigint, text string, lang string"
 
 
 def test_features_against_a_loop():
-    texts = ["Été, été!", "", "12 34", "a", "日本 X"]
+    texts = ["Été, été!", "", "12 34", "a", "日本 X", "😀🎉 🚀", "𝒜 𐐀b"]
     raw = "".join(texts).encode()
     offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
     row, bucket, count = langid.features(np.frombuffer(raw, np.uint8), offsets)
     for i, t in enumerate(texts):
         alone = langid.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
         assert sorted(zip(bucket[row == i], count[row == i])) == sorted(zip(alone[1], alone[2]))
-    assert not (row == 1).any() and not (row == 2).any()
+    assert not any((row == i).any() for i in (1, 2, 5)) and (row == 6).any()
     # "été été ": letters as 1-grams, and all 2- and 3-grams
     assert count[row == 0].sum() == 6 + 7 + 6
 
@@ -63,3 +65,56 @@ def test_nothing_to_learn_from(spark):
     assert langid.identify(unlabelled).first().accepted is False
     one = spark.createDataFrame([(1, "the", "en"), (2, "of", "en")], SCHEMA)
     assert {r.predicted for r in langid.identify(one).collect()} == {"en"}
+
+
+def plain_ftrl(examples, y, classes, size, epochs, seed):
+    """FTRL-proximal one coordinate at a time, as published."""
+    z = [[0.0] * classes for _ in range(size + 1)]
+    n = [[0.0] * classes for _ in range(size + 1)]
+
+    def weight(i, c):
+        l1, l2 = (0.0, 0.0) if i == size else (langid.L1, langid.L2)
+        if abs(z[i][c]) <= l1:
+            return 0.0
+        return -(z[i][c] - math.copysign(l1, z[i][c])) / ((langid.BETA + math.sqrt(n[i][c])) / langid.ALPHA + l2)
+
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for e in order.permutation(len(examples)):
+            x = [*zip(examples[e][0].tolist(), examples[e][1].tolist()), (size, 1.0)]
+            w = {(i, c): weight(i, c) for i, _ in x for c in range(classes)}
+            scores = [sum(w[i, c] * v for i, v in x) for c in range(classes)]
+            p = [math.exp(s - max(scores)) for s in scores]
+            for c in range(classes):
+                for i, v in x:
+                    g = v * (p[c] / sum(p) - (c == y[e]))
+                    sigma = (math.sqrt(n[i][c] + g * g) - math.sqrt(n[i][c])) / langid.ALPHA
+                    z[i][c] += g - sigma * w[i, c]
+                    n[i][c] += g * g
+    return [[weight(i, c) for c in range(classes)] for i in range(size + 1)]
+
+
+def test_training_against_a_plain_version_and_its_objective():
+    rng = np.random.default_rng(3)
+    size, classes = 40, 3
+    y = rng.integers(0, classes, 60)
+    examples = []
+    for c in y:
+        index = np.unique(np.append(rng.integers(0, size, 6), [c, c + 3]))
+        value = rng.random(len(index))
+        examples.append((index, value / np.sqrt((value * value).sum())))
+    weights, bias = langid.train_ftrl(examples, y, classes, size, 5, 11)
+    want = np.array(plain_ftrl(examples, y, classes, size, 5, 11))
+    assert np.allclose(weights, want[:-1]) and np.allclose(bias, want[-1])
+    loss = lambda w, b: -sum(np.log(langid._softmax(v @ w[i] + b)[c]) for (i, v), c in zip(examples, y))
+    assert loss(weights, bias) < 0.7 * loss(weights * 0, bias * 0)
+    assert (weights == 0).any()
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    seen = []
+    real = langid.train_ftrl
+    monkeypatch.setattr(langid, "train_ftrl", lambda examples, y, *a: seen.append(np.bincount(y).max() / 0.8) or real(examples, y, *a))
+    rows = [(1, f"the and {i}x", "en") for i in range(300)] + [(i, "der und", "de") for i in range(300)] + [(5, "le la", "fr")] * 300
+    langid.fit(spark.createDataFrame(rows, SCHEMA), per_label=50)
+    assert seen and seen[0] <= 51
