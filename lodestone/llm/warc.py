@@ -1,7 +1,7 @@
 """WARC files: a sequential reader and the writer that feeds it.
 
 A ``.warc.gz`` file holds one gzip member per record. The reader inflates a member as its bytes arrive
-(``zlib.decompressobj``), frames the block by ``Content-Length``, checks ``WARC-Block-Digest`` over the block and
+(``zlib.decompressobj``, at most ``CHUNK`` bytes more than are asked for, so a small member that inflates to a large one is never held whole before its time), frames the block by ``Content-Length``, checks ``WARC-Block-Digest`` over the block and
 ``WARC-Payload-Digest`` over the HTTP body behind its header, and starts a new inflater where a member ends. It keeps
 the current record and one read buffer, never the file. Files without gzip are framed the same way.
 
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import scratch_path
 
 CHUNK = 1 << 16
+#: The largest block that becomes a row; a column can hold no more than 2 GB.
+MAX_BLOCK = 1 << 30
 #: A shard is closed once it holds this many compressed bytes.
 SHARD_BYTES = 128 << 20
 SCHEMA = (
@@ -71,12 +73,13 @@ class _Member:
     """The inflated bytes of one gzip member, or all bytes of a file without gzip."""
 
     def __init__(self, source: _Source, gzipped: bool):
-        self.source, self.z, self.buffer, self.ended, self.broken, self.cut = source, zlib.decompressobj(31) if gzipped else None, bytearray(), False, False, False
+        self.source, self.z, self.buffer, self.ended, self.broken, self.cut, self.rest = source, zlib.decompressobj(31) if gzipped else None, bytearray(), False, False, False, b""
 
     def more(self) -> bool:
         if self.ended:
             return False
-        data = self.source.take()
+        data = self.rest or self.source.take()
+        self.rest = b""
         if not data:
             self.ended, self.cut = True, self.z is not None
             return False
@@ -84,11 +87,12 @@ class _Member:
             self.buffer += data
             return True
         try:
-            self.buffer += self.z.decompress(data)
+            self.buffer += self.z.decompress(data, CHUNK)
         except zlib.error:
             self.ended = self.broken = True
             self.source.give(data[1:])
             return False
+        self.rest = self.z.unconsumed_tail
         if self.z.eof:
             self.ended = True
             self.source.give(self.z.unused_data)
@@ -111,6 +115,17 @@ class _Member:
         del self.buffer[:n]
         return out
 
+    def over(self, n: int) -> int:
+        """Pass ``n`` bytes over without holding them; how many there were."""
+        left = n
+        while left:
+            if not self.buffer and not self.more():
+                break
+            own = min(left, len(self.buffer))
+            del self.buffer[:own]
+            left -= own
+        return n - left
+
     def blank(self) -> None:
         """Skip the empty lines between records."""
         while True:
@@ -139,7 +154,7 @@ def _headers(text: bytes) -> dict[str, str]:
     return out
 
 
-def _record(member: _Member) -> dict | None:
+def _record(member: _Member, max_block: int) -> dict | None:
     member.blank()
     if not member.buffer:
         return {"status": "bad_gzip"} if member.broken else {"status": "truncated"} if member.cut else None
@@ -152,8 +167,12 @@ def _record(member: _Member) -> dict | None:
         member.skip()
         member.cut = False
         return {"status": status, "fields": fields}
-    block = member.exactly(int(length))
     row = {"fields": fields, "record_type": fields.get("warc-type"), "record_id": fields.get("warc-record-id"), "target_uri": fields.get("warc-target-uri"), "warc_date": fields.get("warc-date"), "content_type": fields.get("content-type"), "content_length": int(length)}
+    if int(length) > max_block:
+        whole = member.over(int(length)) == int(length)
+        status, member.cut = "too_large" if whole else "bad_gzip" if member.broken else "truncated", member.cut and whole
+        return row | {"status": status}
+    block = member.exactly(int(length))
     if len(block) < int(length):
         status, member.cut = "bad_gzip" if member.broken else "truncated", False
         return row | {"status": status, "payload": block}
@@ -169,7 +188,7 @@ def _record(member: _Member) -> dict | None:
     return row
 
 
-def read_records(raw: BinaryIO) -> Iterator[dict]:
+def read_records(raw: BinaryIO, max_block: int = MAX_BLOCK) -> Iterator[dict]:
     """The records of an open file, in order; ``record_offset`` is where the record's member begins in the file."""
     source = _Source(raw)
     start = source.take()
@@ -178,7 +197,7 @@ def read_records(raw: BinaryIO) -> Iterator[dict]:
         return
     if not start.startswith(_MAGIC[:2]):
         member = _Member(source, False)
-        while (row := _record(member)) is not None:
+        while (row := _record(member, max_block)) is not None:
             yield row | {"record_offset": None}
         return
     while True:
@@ -190,7 +209,7 @@ def read_records(raw: BinaryIO) -> Iterator[dict]:
             data = data[-2:] + more
         source.give(data[i:])
         at, member = source.at, _Member(source, True)
-        while (row := _record(member)) is not None:
+        while (row := _record(member, max_block)) is not None:
             yield row | {"record_offset": at}
             if row["status"] in ("bad_gzip", "truncated") and member.ended:
                 break
@@ -294,7 +313,7 @@ def warc_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     return page_records(read_warc(listing.repartition(n)))
 
 
-def read_bytes(data: bytes) -> list[dict]:
-    return list(read_records(io.BytesIO(data)))
+def read_bytes(data: bytes, max_block: int = MAX_BLOCK) -> list[dict]:
+    return list(read_records(io.BytesIO(data), max_block))
 
 

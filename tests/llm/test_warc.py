@@ -86,3 +86,20 @@ def test_shards_close_at_their_size(spark, tmp_path):
 def test_other_algorithms(name):
     label = f"{name}:{hashlib.new(name.lower().replace('-', ''), b'x').hexdigest()}"
     assert warc._digest(label, b"x") is True and warc._digest(label, b"y") is False and warc._digest("what:00", b"x") is None
+
+
+def test_a_small_member_that_inflates_to_a_large_one_is_not_held():
+    import tracemalloc
+    import zlib
+
+    head = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % (64 << 20)
+    z = zlib.compressobj(9, zlib.DEFLATED, 31)
+    bomb = z.compress(head) + b"".join(z.compress(bytes(1 << 20)) for _ in range(64)) + z.compress(b"\r\n\r\n") + z.flush()
+    good = warc.record(b"x", "http://a/", "00000000-0000-0000-0000-000000000000", {})
+    tracemalloc.start()
+    rows = warc.read_bytes(good + bomb + good, max_block=1 << 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r["status"] for r in rows] == ["ok", "too_large", "ok"] and peak < 4 << 20
+    assert [r["status"] for r in warc.read_bytes(bomb[: len(bomb) // 2], max_block=1 << 20)] == ["truncated"]
+    assert len(warc.read_bytes(bomb)[0]["payload"]) == 64 << 20
