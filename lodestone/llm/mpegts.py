@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 PACKET = 188
 PMT_PID, DATA_PID, PRIVATE_DATA = 0x1000, 0x100, 0x06
 CLOCK, FIRST_PTS, UNIT_TICKS, KEY_EVERY = 90_000, 6006, 3003, 8
@@ -196,6 +198,15 @@ def demux(data: bytes) -> list[tuple]:
     flags = np.where(adapted & (length > 1), rows[:, 5], 0)
     begin = np.minimum(4 + length, PACKET).tolist()
     has = ((control & 0x10) != 0) & (length <= 184)
+    # a discontinuity may be announced by a packet that has an adaptation field only: it counts for the next with a payload
+    for p in np.unique(pid[adapted & ~has & sound & ((flags & 0x80) != 0)]):
+        own = np.flatnonzero((pid == p) & sound)
+        jump = (flags[own] & 0x80) != 0
+        full = np.flatnonzero(has[own])
+        if len(full):
+            before = np.concatenate([np.zeros(1, np.int64), np.cumsum(jump & ~has[own])])
+            since = np.diff(np.concatenate([np.zeros(1, np.int64), before[full]])) > 0
+            flags[own[full[since]]] |= 0x80
     starts, counters, flag, scrambled = ((word & 0x4000) != 0).tolist(), (control & 15).tolist(), flags.tolist(), ((control & 0xC0) != 0).tolist()
     flat = rows.tobytes()
 
@@ -311,11 +322,9 @@ def access_units(media: DataFrame, id_col: str = "id", media_col: str = "media")
 
 
 def text_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's text through a media column: written as a stream, taken apart, and given back by unit."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    # both steps in one worker: the media column passes between them in Arrow batches and not through the JVM
-    units = rows.mapInArrow(lambda batches: _demux_column(_mux_text(batches)), "id bigint, " + UNITS)
-    return units.select(
+    """Each document's text through a media column: written as a table of streams, and these taken apart by unit."""
+    media, _ = written(text_media(docs, id_col, text_col), "media")
+    return access_units(media).select(
         F.col("id").alias("doc_id"), "program", "pid", "stream_type", "unit", "pts", "dts", "random_access", "lost_packets", "status",
         F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.col("payload").cast("string").alias("line"),
     )

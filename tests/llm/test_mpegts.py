@@ -74,6 +74,18 @@ def test_repeated_packets_and_discontinuity():
     assert {u[8] for u in ts.demux(b"".join(p) + b"".join(map(bytes, moved)))} == {"ok"}
 
 
+def test_discontinuity_in_a_packet_without_payload():
+    p = packets(ts.mux([(b"a" * 400, 9, None, True), (b"b" * 400, 9, None, True)]))
+    start = [i for i, x in enumerate(p) if x[1] & 0x40][-1]
+    moved = [bytearray(x) for x in p[start:]]
+    for x in moved:
+        x[3] = x[3] & 0xF0 | (x[3] + 9) & 15
+    only = bytes([0x47, 0x01, 0x00, 0x20 | p[start - 1][3] & 15, 183, 0x80]) + b"\xff" * 182
+    later = b"".join(map(bytes, moved))
+    assert [u[8] for u in ts.demux(b"".join(p[:start]) + later)] == ["lost_packets", "lost_packets"]
+    assert [u[8] for u in ts.demux(b"".join(p[:start]) + only + later)] == ["ok", "ok"]
+
+
 def test_alignment_scrambling_and_bad_packets():
     data = ts.mux(UNITS)
     assert ts.demux(b"\x00\x47junk" + data)[:5] == ts.demux(data)[:5]
