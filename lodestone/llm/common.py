@@ -6,9 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +33,31 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Scratch tables that are there: of the session, and of each open scope.
+_made: list[list[str]] = [[]]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
+    _made[-1].append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove the scratch tables of the innermost scope, or of the session; results that read them must have been written by then."""
+    while _made[-1]:
+        drop_path(spark, _made[-1].pop())
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made within are removed at the end, so what is made from them must be written within."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        clean(spark)
+        _made.pop()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -60,6 +85,17 @@ def sized(df: DataFrame, name: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(table) if path_bytes(df.sparkSession, path) <= limit else table
 
 
+def whole_partitions(function: Callable[[pd.DataFrame], pd.DataFrame]):
+    """``function`` of all rows of a partition, for ``mapInPandas`` behind ``repartitionById``: a partition is one group of bounded size."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = [frame for frame in frames if len(frame)]
+        if own:
+            yield function(pd.concat(own, ignore_index=True))
+
+    return run
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs [i, j) of rows holding at most ``limit`` bytes together, or a single longer row."""
     n, i = len(offsets) - 1, 0

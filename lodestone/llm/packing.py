@@ -17,13 +17,13 @@ null id are packed too. Equal lengths go by id. An empty table gives no bins. Fu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import whole_partitions, written
 
 CAPACITY = 2048
 GROUP_DOCS = 32768
@@ -94,15 +94,6 @@ def _pack_group(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["bin_id", "slot", "doc_id", "piece", "start", "length", "bin_fill"]).astype({"doc_id": "Int64"})
 
 
-def _pack_partition(capacity: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = [frame for frame in frames if len(frame)]
-        if own:
-            yield _pack_group(pd.concat(own, ignore_index=True), capacity)
-
-    return run
-
-
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:
     """(bin_id, slot, doc_id, piece, start, length, bin_fill): every piece of every document in a bin of ``capacity`` words."""
     length = (F.coalesce(F.regexp_count(text_col, F.lit(r"\S+")), F.lit(0)) + 1).cast("bigint")
@@ -110,4 +101,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     groups = max(1, -(-sizes.count() // group_docs))
     parted = sizes.withColumn("part", F.pmod(F.xxhash64("place"), F.lit(groups)).cast("int"))
     # partition i is group i: groups neither share a task nor are coalesced into one
-    return parted.repartitionById(groups, "part").select("id", "length", "part").mapInPandas(_pack_partition(capacity), SCHEMA)
+    return parted.repartitionById(groups, "part").select("id", "length", "part").mapInPandas(whole_partitions(functools.partial(_pack_group, capacity=capacity)), SCHEMA)

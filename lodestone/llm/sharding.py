@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import whole_partitions, written
 
 SHARDS = 64
 FAN_IN = 8192
@@ -81,7 +81,7 @@ def assign(groups: DataFrame, shards: int = SHARDS, fan_in: int = FAN_IN) -> Dat
     """(id, shard) for groups (id, size) with distinct ids."""
     count = groups.count()
     large = groups if count <= fan_in else groups.orderBy(F.desc("size"), "id").limit(fan_in)
-    done, _ = written(large.withColumn("node", F.lit(0)).groupBy("node").applyInPandas(_node(shards, None), SCHEMA), "large")
+    done, _ = written(large.select("id", "size").repartition(1).mapInPandas(whole_partitions(_node(shards, None)), SCHEMA), "large")
     out = done.filter("id is not null").select("id", "shard")
     if count <= fan_in:
         return out
@@ -90,8 +90,8 @@ def assign(groups: DataFrame, shards: int = SHARDS, fan_in: int = FAN_IN) -> Dat
     rest = groups.filter((F.col("size") < least["size"]) | ((F.col("size") == least["size"]) & (F.col("id") > least["id"])))
     nodes = -(-(count - fan_in) // fan_in)
     share = [s // nodes for s in sums]
-    dealt = rest.withColumn("node", F.pmod(F.xxhash64("id"), F.lit(nodes)))
-    return out.unionByName(dealt.groupBy("node").applyInPandas(_node(shards, share), SCHEMA).select("id", "shard"))
+    dealt = rest.withColumn("node", F.pmod(F.xxhash64("id"), F.lit(nodes)).cast("int"))
+    return out.unionByName(dealt.repartitionById(nodes, "node").mapInPandas(whole_partitions(_node(shards, share)), SCHEMA).select("id", "shard"))
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None, shards: int = SHARDS, fan_in: int = FAN_IN) -> DataFrame:

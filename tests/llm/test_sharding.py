@@ -73,3 +73,19 @@ def test_given_keys_and_empty_table(spark):
     assert out.groupBy("group_key").agg(F.countDistinct("shard").alias("n")).filter("n > 1").count() == 0
     assert sharding.shard(df.limit(0)).count() == 0
     assert sharding.shard(df.limit(1), shards=1).first().shard == 0
+
+
+def test_beyond_the_fan_in_the_spread_stays_near_plain_differencing(spark):
+    rng = np.random.default_rng(5)
+    sizes = np.maximum(1, rng.lognormal(7, 1.2, 6000)).astype(int)
+    groups = spark.createDataFrame([(i, int(s)) for i, s in enumerate(sizes)], "id bigint, size bigint")
+    spread = {}
+    for fan_in in (10_000, 500):
+        got = sharding.assign(groups, 16, fan_in).collect()
+        assert sorted(r.id for r in got) == list(range(6000))
+        sums = np.bincount([r.shard for r in got], sizes[[r.id for r in got]], 16)
+        spread[fan_in] = sums.max() - sums.min()
+    plain_sums = plain(sizes.tolist(), 16)
+    assert spread[10_000] == plain_sums[-1] - plain_sums[0]
+    # the nodes' last differences of few bytes add up: 12 nodes here
+    assert spread[500] <= 0.0005 * sizes.sum() / 16
