@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import langid, minhash, packing, secrets
-from lodestone.llm.common import documents, scratch_path
+from lodestone.llm.common import documents, drop_path, scratch_path, scratch_scope
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id; documents without words stay."""
+    """One document of each group of near copies, that of the smallest id, and one of rows that repeat id and text; documents without words stay."""
     return minhash.keep_one(docs)
 
 
@@ -38,10 +38,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over ``documents``; every stage's rows are a table in the shared folder."""
-    docs = documents(spark, sf_dir)
+    """The last stage's rows over ``documents``; every stage's rows are a table in the shared folder until the next one's are."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         path = scratch_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            drop_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
