@@ -35,7 +35,7 @@ class PrecomputedEncoder(Encoder):
 def hash_vector(tokens: list[str], dim: int) -> np.ndarray:
     out = np.zeros(dim)
     for t in tokens:
-        h = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little")
+        h = int.from_bytes(hashlib.md5(t.encode()).digest()[:8], "big")
         out[h % dim] += 1.0 if h >> 63 else -1.0
     return out / max(float(np.linalg.norm(out)), 1e-12)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 from . import lexical
 
 
@@ -55,14 +56,21 @@ def mean_of_splits(per_query: DataFrame, split_col: str, value_col: str) -> Data
     return per_query.groupBy(split_col).agg(F.avg(value_col).alias("m")).agg(F.avg("m").alias("score"))
 
 
-def correlation(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """One row (n, pearson, spearman); ties share their mean rank."""
+def _mean_ranks(pairs: DataFrame, c: str) -> DataFrame:
+    """(c, rank): the mean rank of every distinct value; sums run within range partitions, and over one row a partition."""
+    counts = pairs.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+    ranged = written(counts.repartitionByRange(c).select(c, "n", F.spark_partition_id().alias("part")), "ranged")
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("all"))  # their number is bounded by the shuffle partitions
+    before = parts.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy(c))
+    return ranged.join(before, "part").select(c, (F.col("before") + upto - (F.col("n") - 1) / 2).alias(f"rank_{c}"))
 
-    def rank(c: str) -> Column:
-        return F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
 
-    ranked = pairs.select(a, b, rank(a).alias("ra"), rank(b).alias("rb"))
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr(a, b).alias("pearson"), F.corr("ra", "rb").alias("spearman"))
+def correlation(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """One row (n, pearson, spearman) of the pairs without nulls; ties share their mean rank."""
+    pairs = written(pairs.select(a, b).dropna(), "pairs")
+    ranked = pairs.join(_mean_ranks(pairs, a), a).join(_mean_ranks(pairs, b), b)
+    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr(a, b).alias("pearson"), F.corr(f"rank_{a}", f"rank_{b}").alias("spearman"))
 
 
 def bootstrap(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 200, seed: int = 42) -> DataFrame:

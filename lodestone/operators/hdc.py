@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import dense
 from .ranking import top_k
 
 WORDS, WORD_BITS = 167, 60
@@ -59,7 +60,7 @@ def attribute_search(memory: DataFrame, wanted: DataFrame, known: DataFrame, k:
     names = known.select("name").distinct()
     w = wanted.join(names.withColumnRenamed("name", "key"), "key", "left_semi").join(names.withColumnRenamed("name", "value"), "value", "left_semi")
     w = w.select("qid", bind(pattern(F.col("key"), words), pattern(F.col("value"), words)).alias("q"))
-    return top_k(memory.crossJoin(w).select("qid", "doc_id", similarity(F.col("q"), F.col("v")).alias("score")), k)
+    return recall(memory, w, k)
 
 
 def extract_attribute(memory: DataFrame, key: str, known: DataFrame, words: int = WORDS) -> DataFrame:
@@ -94,7 +95,30 @@ def validate(memory: DataFrame, proposals: DataFrame, words: int = WORDS) -> Dat
 
 def recall(entities: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
     """The ``k`` entities (doc_id, v) most like each query (qid, q), of similarity ``threshold`` at least."""
-    return top_k(entities.crossJoin(queries).select("qid", "doc_id", similarity(F.col("q"), F.col("v")).alias("score")).filter(F.col("score") >= threshold), k)
+    best = dense.nearest_bits(queries.select("qid", "q"), entities.select("doc_id", "v"), k, lambda words: words * WORD_BITS)
+    return top_k(best.filter(F.col("score") >= threshold), k)
+
+
+def patterns_of(entities: DataFrame) -> DataFrame:
+    """(qid, q): the distinct vectors of (doc_id, v), by the smallest id that has them."""
+    return entities.groupBy(F.col("v").alias("q")).agg(F.min("doc_id").alias("qid")).select("qid", "q")
+
+
+def register_entities(memory: DataFrame, entities: DataFrame) -> DataFrame:
+    """``memory`` (doc_id, v) with ``entities``, which replace those of the same id; of several with one id the greatest vector."""
+    new = entities.groupBy("doc_id").agg(F.max("v").alias("v"))
+    return memory.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new.select(memory.columns))
+
+
+def packed(v: Column) -> Column:
+    """A vector's words as 8 bytes each, the highest first: for exchange with other stores."""
+    return F.unhex(F.array_join(F.transform(v, lambda w: F.lpad(F.hex(w), 16, "0")), ""))
+
+
+def unpacked(raw: Column) -> Column:
+    """The words of a packed vector."""
+    at = F.sequence(F.lit(0), F.floor(F.octet_length(raw) / 8).cast("int") - 1)
+    return F.transform(at, lambda i: F.conv(F.hex(F.substring(raw, i * 8 + 1, F.lit(8))), 16, 10).cast("bigint"))
 
 
 def project(vectors: DataFrame, id_col: str = "doc_id", vector_col: str = "emb", words: int = WORDS, seed: int = 42) -> DataFrame:

@@ -1,11 +1,17 @@
 """Hybrid retrieval: lexical weights blended with vector similarity.
 
-Terms are joined first and reduced to one row per (query, document); texts are only read for documents that a query's rarest
-inner word, or a phrase's rarest word, leads to; positions are only looked at where a document can still reach the top k.
+Terms are joined first and reduced to one row per (query, document); vectors are compared for these pairs only. Texts are read for
+documents that a query's rarest inner word, or a phrase's rarest word, leads to, and positions where a document can still reach the top k.
+``near`` arguments are functions from pairs (qid, doc_id) to their similarity, such as ``dense.pair_scores`` with its tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +22,18 @@ from .ranking import top_k
 
 RARE_IDF, LENGTH_WEIGHT, DEFAULT_IDF = 2.5, 0.35, 0.5
 W_SEM, W_LEX = 0.6, 0.4
+#: Documents of each query whose span density is looked at first: theirs tell which others can still reach the top k.
+FIRST = 64
+#: A block of queries whose terms every task has holds at most so many terms.
+BLOCK_TERMS = 200_000
+
+Near = Callable[[DataFrame], DataFrame]
 
 
-def hybrid_candidates(expanded: DataFrame, doc_terms: DataFrame, distances: DataFrame, k: int, bits: int = 64, w_sem: float = W_SEM, w_lex: float = W_LEX) -> DataFrame:
-    """Documents with a lexical hit by ``w_sem`` * similarity + ``w_lex`` * overlap; ``distances`` is (qid, doc_id, dist)."""
-    lex = lexical.overlap(expanded, doc_terms)
-    both = lex.join(distances.select("qid", "doc_id", "dist"), ["qid", "doc_id"], "left")
+def hybrid_candidates(expanded: DataFrame, doc_terms: DataFrame, near: Near, k: int, bits: int = 64, w_sem: float = W_SEM, w_lex: float = W_LEX) -> DataFrame:
+    """Documents with a lexical hit by ``w_sem`` * similarity + ``w_lex`` * overlap; ``near`` gives (qid, doc_id, dist)."""
+    lex = written(lexical.overlap(expanded, doc_terms), "overlap")
+    both = lex.join(near(lex).select("qid", "doc_id", "dist"), ["qid", "doc_id"], "left")
     sem = F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("dist") / float(bits)), F.lit(0.0))
     return top_k(both.select("qid", "doc_id", (w_sem * sem + w_lex * F.col("score")).alias("score")), k)
 
@@ -71,16 +83,16 @@ def normalized_bodies(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", tx.normalized_text(F.col("text")).alias("body"), F.array_distinct(tx.terms(F.col("text"))).alias("terms"))
 
 
-def full_hybrid_text(queries: DataFrame, expanded: DataFrame, docs: DataFrame, doc_terms: DataFrame, lengths: DataFrame, idfs: DataFrame, semantic: DataFrame, k: int) -> DataFrame:
-    """TF-IDF blended with dense similarity ``semantic`` (qid, doc_id, score) over documents that share a word with the query.
+def full_hybrid_text(queries: DataFrame, expanded: DataFrame, docs: DataFrame, doc_terms: DataFrame, lengths: DataFrame, idfs: DataFrame, near: Near, k: int) -> DataFrame:
+    """TF-IDF blended with the dense similarity of ``near`` (qid, doc_id, score) over documents that share a word with the query.
 
     A document that contains the whole query scores 1. Scores of 0 are dropped.
     """
-    cand = _candidates(queries, expanded, doc_terms, lengths).withColumn("average", F.greatest(F.avg(F.col("n_terms").cast("double")).over(Window.partitionBy("qid")), F.lit(1.0)))
-    boost = lexical.phrase_boost(queries, idfs, text_bodies(docs))
-    whole = lexical.exact_search(queries, docs).select("qid", "doc_id", F.lit(True).alias("whole"))
+    cand = written(_candidates(queries, expanded, doc_terms, lengths), "candidates").withColumn("average", F.greatest(F.avg(F.col("n_terms").cast("double")).over(Window.partitionBy("qid")), F.lit(1.0)))
+    boost = lexical.phrase_boost(queries, idfs, docs, text_bodies, doc_terms)
+    whole = lexical.exact_search(queries, docs, doc_terms, "text").select("qid", "doc_id", F.lit(True).alias("whole"))
     scored = (
-        cand.join(_query_side(expanded), "qid").join(semantic.select("qid", "doc_id", F.col("score").alias("sem")), ["qid", "doc_id"], "left")
+        cand.join(_query_side(expanded), "qid").join(near(cand).select("qid", "doc_id", F.col("score").alias("sem")), ["qid", "doc_id"], "left")
         .join(boost, ["qid", "doc_id"], "left").join(whole, ["qid", "doc_id"], "left")
     )
     lex = _lexical_score(F.col("average")) * F.coalesce("boost", F.lit(1.0))
@@ -89,13 +101,13 @@ def full_hybrid_text(queries: DataFrame, expanded: DataFrame, docs: DataFrame, d
     return top_k(out.filter("score > 0"), k)
 
 
-def legacy_blend(queries: DataFrame, expanded: DataFrame, docs: DataFrame, doc_terms: DataFrame, lengths: DataFrame, semantic: DataFrame, k: int, alpha: float | None = None) -> DataFrame:
+def legacy_blend(queries: DataFrame, expanded: DataFrame, docs: DataFrame, doc_terms: DataFrame, lengths: DataFrame, near: Near, k: int, alpha: float | None = None, mode: str = "text") -> DataFrame:
     """As above with the share of the query's idf as the lexical part; ``alpha`` replaces the weight if given."""
-    cand = _candidates(queries, expanded, doc_terms, lengths)
+    cand = written(_candidates(queries, expanded, doc_terms, lengths), "candidates")
     share = lexical.overlap(expanded, doc_terms).withColumnRenamed("score", "share")
-    whole = lexical.exact_search(queries, docs).select("qid", "doc_id", F.lit(True).alias("whole"))
+    whole = lexical.exact_search(queries, docs, doc_terms, mode).select("qid", "doc_id", F.lit(True).alias("whole"))
     scored = (
-        cand.join(_query_side(expanded), "qid").join(semantic.select("qid", "doc_id", F.col("score").alias("sem")), ["qid", "doc_id"], "left")
+        cand.join(_query_side(expanded), "qid").join(near(cand).select("qid", "doc_id", F.col("score").alias("sem")), ["qid", "doc_id"], "left")
         .join(share, ["qid", "doc_id"], "left").join(whole, ["qid", "doc_id"], "left")
     )
     weight = _alpha() if alpha is None else F.lit(float(alpha))
@@ -103,33 +115,74 @@ def legacy_blend(queries: DataFrame, expanded: DataFrame, docs: DataFrame, doc_t
     return top_k(scored.select("qid", "doc_id", F.when(F.col("whole"), 1.0).otherwise(blend).alias("score")).filter("score > 0"), k)
 
 
-def term_positions(docs: DataFrame) -> DataFrame:
-    """(doc_id, at): structs (term, pos) of the normalised text's words, trimmed to letters and digits."""
-    w = F.transform(tx.space_words(tx.normalized_text(F.col("text"))), lambda x, i: F.struct(F.lower(F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")).alias("term"), i.alias("pos")))
-    return docs.select("doc_id", w.alias("at"))
+def trimmed_words(text: Column) -> Column:
+    """The normalised text's words in order, trimmed to letters and digits on both sides; empty where nothing is left."""
+    return F.transform(tx.space_words(tx.normalized_text(text)), lambda x: F.lower(F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
+
+
+def trimmed_hits(expanded: DataFrame, docs: DataFrame) -> DataFrame:
+    """(qid, doc_id, n_act, w_act): how many of the query's words a document has once both are trimmed as for spans, and their weight."""
+    terms = expanded.select("qid", "term", F.coalesce("idf", F.lit(DEFAULT_IDF)).alias("w"))
+    have = docs.select("doc_id", F.explode(F.array_distinct(trimmed_words(F.col("text")))).alias("term"))
+    return have.join(terms, "term").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("n_act"), F.sum("w").alias("w_act"))
+
+
+def _least_span(places: list[np.ndarray]) -> int:
+    """The shortest run of words that has one of each list of places: every place closes one that goes back to the last of each."""
+    ends = np.sort(np.concatenate(places))
+    low = np.full(len(ends), np.iinfo(np.int64).max)
+    for own in places:
+        at = np.searchsorted(own, ends, side="right")
+        low = np.minimum(low, np.where(at > 0, own[at - 1], -1))
+    return int((ends - low + 1)[low >= 0].min())
+
+
+def _term_blocks(expanded: DataFrame) -> Iterator[dict]:
+    """{qid: [(term, weight)]} for as many queries at a time as ``BLOCK_TERMS`` allow."""
+    rows = expanded.groupBy("qid").agg(F.collect_list(F.struct("term", F.coalesce("idf", F.lit(DEFAULT_IDF)).alias("w"))).alias("terms"))
+    block, held = {}, 0
+    for row in written(rows, "query-terms").toLocalIterator():
+        if held and held + len(row.terms) > BLOCK_TERMS:
+            yield block
+            block, held = {}, 0
+        block[row.qid] = [(t.term, t.w) for t in row.terms]
+        held += len(row.terms)
+    if block:
+        yield block
 
 
 def span_density(pairs: DataFrame, expanded: DataFrame, docs: DataFrame) -> DataFrame:
     """(qid, doc_id, density) of given (qid, doc_id) pairs: how closely a document has the query's words together.
 
-    The occurrences are walked once in order, with the last position of every word that the document has.
+    The documents of the pairs are read once for each block of queries, with the queries that ask for them.
     """
-    terms = expanded.select("qid", "term", F.coalesce("idf", F.lit(DEFAULT_IDF)).alias("w"))
-    at = term_positions(docs).select("doc_id", F.explode("at").alias("a")).select("doc_id", "a.term", "a.pos").join(terms.select("term").distinct(), "term", "left_semi")
-    at = at.groupBy("doc_id", "term").agg(F.collect_list("pos").alias("ps"))
-    met = at.join(terms, "term").join(pairs.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")
-    met = met.groupBy("qid", "doc_id").agg(F.collect_list(F.struct("w", "ps")).alias("hit")).filter(F.size("hit") >= 2)
-    occurrences = F.array_sort(F.flatten(F.transform("hit", lambda h, i: F.transform(h["ps"], lambda p: F.struct(p.alias("pos"), i.alias("t"))))))
-    start = F.struct(F.array_repeat(F.lit(-1), F.size("hit")).alias("last"), F.lit(1 << 30).alias("best"))
-
-    def step(s: Column, a: Column) -> Column:
-        last = F.transform(s["last"], lambda v, i: F.when(i == a["t"], a["pos"]).otherwise(v))
-        low = F.array_min(last)
-        return F.struct(last.alias("last"), F.when(low >= 0, F.least(s["best"], a["pos"] - low + 1)).otherwise(s["best"]).alias("best"))
-
-    span = F.aggregate(occurrences, start, step)["best"].cast("double")
-    weight = F.aggregate("hit", F.lit(0.0), lambda s, h: s + h["w"])
-    return met.select("qid", "doc_id", (F.pow(weight, F.lit(1.5)) / (F.ln(F.greatest(F.lit(1.0), span)) + 1)).alias("density"))
+    asked = pairs.groupBy("doc_id").agg(F.collect_set("qid").alias("qids"))
+    rows = docs.select("doc_id", trimmed_words(F.col("text")).alias("words")).join(asked, "doc_id")
+    kinds = [rows.schema["doc_id"].dataType.simpleString(), pairs.schema["qid"].dataType.simpleString()]
+    spark, parts = docs.sparkSession, []
+    for terms in _term_blocks(expanded.join(pairs.select("qid").distinct(), "qid", "left_semi")):
+        block = spark.sparkContext.broadcast((terms, {t for own in terms.values() for t, _ in own}))
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            terms, wanted = block.value
+            for batch in batches:
+                out: tuple[list, list, list] = [], [], []
+                for doc_id, words, qids in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                    at: dict[str, list[int]] = {}
+                    for i, word in enumerate(words.as_py() or ()):
+                        if word in wanted:
+                            at.setdefault(word, []).append(i)
+                    places = {t: np.array(own) for t, own in at.items()}
+                    for qid in qids:
+                        met = [(places[t], w) for t, w in terms.get(qid, ()) if t in places]
+                        if len(met) >= 2:
+                            out[0].append(qid)
+                            out[1].append(doc_id)
+                            out[2].append(sum(w for _, w in met) ** 1.5 / (np.log(_least_span([p for p, _ in met])) + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(2).type.value_type), pa.array(out[1], batch.schema.field(0).type), pa.array(out[2], pa.float64())], names=["qid", "doc_id", "density"])
+
+        parts.append(rows.mapInArrow(run, f"qid {kinds[1]}, doc_id {kinds[0]}, density double"))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"qid {kinds[1]}, doc_id {kinds[0]}, density double")
 
 
 def exact_normalized(queries: DataFrame, docs: DataFrame, doc_terms: DataFrame) -> DataFrame:
@@ -148,21 +201,45 @@ def exact_normalized(queries: DataFrame, docs: DataFrame, doc_terms: DataFrame)
     return long.select("qid", "doc_id").unionByName(short.select("qid", "doc_id"))
 
 
-def full_hybrid_quantized(queries: DataFrame, expanded: DataFrame, docs: DataFrame, doc_terms: DataFrame, lengths: DataFrame, idfs: DataFrame, distances: DataFrame, k: int, bits: int = 64) -> DataFrame:
-    """TF-IDF blended with binary similarity ``distances`` (qid, doc_id, dist), re-ranked by span density.
+def _reranked(base: DataFrame, bounded: DataFrame, expanded: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(qid, doc_id, score): ``base`` with the span density, of all documents of each query that can be among the ``k`` best.
+
+    A document's density is at most that of its words side by side (``high``). The ``FIRST`` of the highest bounds are worked out, and
+    then those whose bound reaches the k-th best score that is known by then: what is left out can't be among the best.
+    """
+    order = Window.partitionBy("qid").orderBy(F.desc("high"), "doc_id")
+    placed = written(bounded.withColumn("place", F.row_number().over(order)), "bounded")
+
+    def scored(rows: DataFrame) -> DataFrame:
+        density = span_density(rows.filter("n_act >= 2"), expanded, docs)
+        return rows.join(density, ["qid", "doc_id"], "left").select("qid", "doc_id", (F.col("base") * (1 + 0.25 * F.coalesce("density", F.lit(0.0)))).alias("score"))
+
+    first = written(scored(placed.filter(F.col("place") <= max(FIRST, k))), "first")
+    rest = placed.filter(F.col("place") > max(FIRST, k))
+    known = first.unionByName(rest.select("qid", "doc_id", F.col("base").alias("score")))
+    best = Window.partitionBy("qid").orderBy(F.desc("score"))
+    floor = known.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k).select("qid", F.col("score").alias("floor"))
+    # a query with fewer than k documents has no floor: all of its documents are in ``first``
+    more = written(rest.join(floor, "qid").filter(F.col("high") >= F.col("floor") - 1e-6).drop("floor"), "more")
+    return first.unionByName(scored(more))
+
+
+def full_hybrid_quantized(queries: DataFrame, expanded: DataFrame, docs: DataFrame, doc_terms: DataFrame, lengths: DataFrame, idfs: DataFrame, near: Near | None, k: int, bits: int = 64) -> DataFrame:
+    """TF-IDF blended with the binary similarity of ``near`` (qid, doc_id, dist), re-ranked by span density.
 
-    All documents take part; one without any of the query's words scores 0 however near its vector is. The density factor is
-    bounded by the words that a document has, so positions are read only where that bound reaches the k-th score that is sure.
+    All documents take part; one without any of the query's words scores 0 however near its vector is.
     """
     size = lengths.agg(F.greatest(F.avg(F.col("n_terms").cast("double")), F.lit(1.0)).alias("average"))
     side = _query_side(expanded).withColumn("dialogue", (F.col("q_mean") < 2.2) & (F.col("q_terms") > 4))
     speaker = F.filter(tx.space_words(F.col("text")), lambda w: (F.octet_length(w) >= 3) & F.substring(w, 1, 1).rlike(r"\p{Lu}"))
     side = side.join(queries.select("qid", speaker.alias("speakers")), "qid")
-    hits = _hits(expanded, doc_terms).join(lengths.select("doc_id", "n_terms"), "doc_id").crossJoin(F.broadcast(size))
-    boost = lexical.phrase_boost(queries, idfs, normalized_bodies(docs))
+    hits = written(_hits(expanded, doc_terms).join(lengths.select("doc_id", "n_terms"), "doc_id"), "hits")
+    boost = lexical.phrase_boost(queries, idfs, docs, normalized_bodies, doc_terms)
     whole = exact_normalized(queries, docs, doc_terms).distinct().withColumn("whole", F.lit(True))
+    none = F.lit(None).cast("int").alias("dist")
+    dist = near(hits).select("qid", "doc_id", "dist") if near is not None else hits.select("qid", "doc_id", none).limit(0)
     scored = (
-        hits.join(side, "qid").join(distances.select("qid", "doc_id", "dist"), ["qid", "doc_id"], "left")
+        hits.crossJoin(F.broadcast(size)).join(side, "qid").join(dist, ["qid", "doc_id"], "left")
         .join(boost, ["qid", "doc_id"], "left").join(whole, ["qid", "doc_id"], "full_outer")
     )
     # words of a speaker are only looked up for dialogue queries
@@ -172,17 +249,25 @@ def full_hybrid_quantized(queries: DataFrame, expanded: DataFrame, docs: DataFra
     sem = F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("dist") / float(bits)), F.lit(0.0))
     weight = F.least(F.lit(1.0), _alpha() + F.when(F.col("dialogue"), 0.35).otherwise(0.0))
     blend = (weight * sem + (1 - weight) * _lexical_score(F.col("average")) * F.coalesce("boost", F.lit(1.0))) * F.when(F.col("dialogue") & F.col("spoken"), 1.15).otherwise(1.0)
-    base = scored.select("qid", "doc_id", F.when(F.col("whole"), 1.0).otherwise(blend).alias("base"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("o_sum", F.lit(0.0)).alias("o_sum"))
-    base = written(base, "base")  # read for the bound, for the documents within it, and for those that fill up
-    most = F.when(F.col("n_hit") >= 2, F.pow("o_sum", F.lit(1.5)) / (F.ln(F.col("n_hit").cast("double")) + 1)).otherwise(0.0)
-    bounded = base.withColumn("high", F.col("base") * (1 + 0.25 * most))
-    sure = Window.partitionBy("qid").orderBy(F.desc("base"), "doc_id")
-    limit = bounded.withColumn("r", F.row_number().over(sure)).filter(F.col("r") <= k).groupBy("qid").agg(F.min("base").alias("floor"), F.count(F.lit(1)).alias("n"))
-    left = bounded.join(limit.select("qid", F.when(F.col("n") >= k, F.col("floor")).otherwise(-1.0).alias("floor")), "qid").filter(F.col("high") >= F.col("floor") - 1e-6)
-    dense = span_density(left, expanded, docs)
-    final = left.join(dense, ["qid", "doc_id"], "left").select("qid", "doc_id", (F.col("base") * (1 + 0.25 * F.coalesce("density", F.lit(0.0)))).alias("score"))
+    base = written(scored.select("qid", "doc_id", F.when(F.col("whole"), 1.0).otherwise(blend).alias("base")), "base")
+    acts = base.join(trimmed_hits(expanded, docs), ["qid", "doc_id"], "left").fillna(0, ["n_act", "w_act"])
+    most = F.when(F.col("n_act") >= 2, F.pow("w_act", F.lit(1.5)) / (F.ln(F.col("n_act").cast("double")) + 1)).otherwise(0.0)
+    final = written(_reranked(base, acts.withColumn("high", F.col("base") * (1 + 0.25 * most)), expanded, docs, k), "final")
     # documents without hits score 0 and fill up a query that has fewer than k others above that, in order of id
-    final = written(final, "final")
     short = queries.select("qid").join(final.filter("round(score, 6) > 0").groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid", "left").filter(F.coalesce("n", F.lit(0)) < k).select("qid")
-    rest = lengths.select("doc_id").crossJoin(short).join(base.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti").select("qid", "doc_id", F.lit(0.0).alias("score"))
-    return top_k(final.unionByName(rest), k)
+    return top_k(final.unionByName(_filling(short, base, lengths, k)), k)
+
+
+def _filling(short: DataFrame, base: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
+    """(qid, doc_id, score 0): the ``k`` lowest ids that each of the queries (qid) has no row of ``base`` for.
+
+    At most as many of the lowest ids as a query has rows, and ``k`` more, can matter to it.
+    """
+    taken = base.join(short, "qid", "left_semi").select("qid", "doc_id")
+    most = short.join(taken.groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid", "left").agg(F.max(F.coalesce("n", F.lit(0))).alias("n")).first()["n"]
+    if most is None:
+        return base.limit(0).select("qid", "doc_id", F.lit(0.0).alias("score"))
+    lowest = lengths.select("doc_id").orderBy("doc_id").limit(most + k)
+    free = lowest.crossJoin(short).join(taken, ["qid", "doc_id"], "left_anti")
+    order = Window.partitionBy("qid").orderBy("doc_id")
+    return free.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("qid", "doc_id", F.lit(0.0).alias("score"))

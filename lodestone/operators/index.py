@@ -18,7 +18,10 @@ def corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", titl
 
 
 def upsert(old: DataFrame, new: DataFrame, order: Column | None = None) -> DataFrame:
-    """``old`` with the rows of ``new``, which win; of several new rows with one id the last by ``order`` (text by default)."""
+    """``old`` with the rows of ``new``, which win; of several new rows with one id the last by ``order``.
+
+    A table has no order of its own: without ``order`` the greatest text is taken, so that the result is defined.
+    """
     latest = new.groupBy("doc_id").agg(F.max_by(F.struct(*[F.col(c) for c in new.columns]), F.col("text") if order is None else order).alias("r")).select("r.*")
     return old.join(latest.select("doc_id"), "doc_id", "left_anti").unionByName(latest)
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.tables import written
 from .ranking import top_k
 
 
@@ -21,29 +24,37 @@ def pure_lexical(expanded: DataFrame, doc_terms: DataFrame, k: int) -> DataFrame
     return top_k(overlap(expanded, doc_terms), k)
 
 
-def interior_words(queries: DataFrame) -> DataFrame:
-    """(qid, text, inner): the distinct words of a query but its first and last one, which alone may be cut in a document."""
-    w = tx.words(F.col("text"))
-    inner = F.array_distinct(F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))))
-    return queries.select("qid", "text", inner.alias("inner"))
+def _inner(text: Column, mode: str) -> Column:
+    """The distinct words of a query but its first and last one, which alone may be cut in a document."""
+    if mode == "text":
+        w = tx.words(text)
+        return F.array_distinct(F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))))
+    w = tx.space_words(F.lower(text))
+    inner = F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0)))
+    return F.array_distinct(tx.terms(F.array_join(inner, " ")))
 
 
-def exact_search(queries: DataFrame, docs: DataFrame) -> DataFrame:
+def exact_search(queries: DataFrame, docs: DataFrame, doc_terms: DataFrame | None = None, mode: str = "text") -> DataFrame:
     """(qid, doc_id, score 1.0): documents whose lower-case text contains the lower-case query; queries without words find none.
 
-    Queries of three words or more are first joined with the documents that have their rarest inner word, so a text is only read
-    for queries that it may contain. Shorter ones have no word that must be whole and look at every text.
+    Queries with an inner word, which must be whole, are first joined with the documents that have their rarest one, so a text is
+    only read for queries that it may contain. Others look at every text. ``doc_terms`` are the index's terms of ``mode``; without
+    them the documents' words are looked through.
     """
-    q = interior_words(queries).filter(F.size(tx.words(F.col("text"))) > 0)
+    if doc_terms is None:
+        doc_terms, mode = docs.select("doc_id", F.explode(F.array_distinct(tx.words(F.col("text")))).alias("term")), "text"
+    q = queries.filter(F.size(tx.words(F.col("text"))) > 0).select("qid", F.lower("text").alias("needle"), _inner(F.col("text"), mode).alias("inner"))
     low = docs.select("doc_id", F.lower("text").alias("body"))
     inner = q.filter(F.size("inner") > 0).select("qid", F.explode("inner").alias("term"))
-    where = docs.select("doc_id", F.explode(F.array_distinct(tx.words(F.col("text")))).alias("term")).join((inner.select("term").distinct()), "term", "left_semi")
+    where = written(doc_terms.select("doc_id", "term").join(inner.select("term").distinct(), "term", "left_semi"), "where")
     df = where.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     first = Window.partitionBy("qid").orderBy("df", "term")
-    rare = inner.join(df, "term").withColumn("r", F.row_number().over(first)).filter("r = 1").select("qid", "term")
-    may = where.join((rare), "term").select("qid", "doc_id")
-    long = may.join((q.select("qid", F.lower("text").alias("needle"))), "qid").join(low, "doc_id").filter(F.contains("body", "needle"))
-    short = low.join((q.filter(F.size("inner") == 0).select("qid", F.lower("text").alias("needle"))), F.contains("body", "needle"))
+    # a word that no document has rules the query out
+    missing = inner.join(df, "term", "left_anti").select("qid").distinct()
+    rare = inner.join(df, "term").join(missing, "qid", "left_anti").withColumn("r", F.row_number().over(first)).filter("r = 1").select("qid", "term")
+    may = where.join(rare, "term").select("qid", "doc_id")
+    long = may.join(q.select("qid", "needle"), "qid").join(low, "doc_id").filter(F.contains("body", "needle"))
+    short = low.join(q.filter(F.size("inner") == 0).select("qid", "needle"), F.contains("body", "needle"))
     return long.select("qid", "doc_id").unionByName(short.select("qid", "doc_id")).withColumn("score", F.lit(1.0))
 
 
@@ -92,14 +103,18 @@ def keyword_overlap(queries: DataFrame, docs: DataFrame, k: int = 100) -> DataFr
 def _substring_hits(keys: DataFrame, docs: DataFrame) -> DataFrame:
     """(qid, doc_id, score): occurrences-weighted count of the keys (qid, word, n) found in a document.
 
-    Each distinct word is looked for once in each distinct word-character run, not once a query in each text: a key of letters
-    and digits lies within one run.
+    A key of letters and digits lies within one run of these. So the parts of each distinct run that are as long as some key are
+    joined with the keys by equality; no run is held against every key.
     """
     words = keys.select("word").distinct()
+    sizes = words.agg(F.array_sort(F.collect_set(F.length("word"))).alias("sizes"))  # as many as keys have lengths
     have = docs.select("doc_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+", -1), lambda w: w != ""))).alias("run"))
-    runs = have.select("run").distinct().join((words), F.contains("run", "word"))
+    fitting = F.filter("sizes", lambda n: n <= F.length("run"))
+    parts = have.select("run").distinct().crossJoin(F.broadcast(sizes)).select("run", F.explode(fitting).alias("size"))
+    parts = parts.select("run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - F.col("size") + 1), lambda i: F.substring("run", i, F.col("size"))))).alias("word"))
+    runs = parts.join(words, "word").select("run", "word")
     hits = have.join(runs, "run").select("doc_id", "word").distinct()
-    return hits.join((keys), "word").groupBy("qid", "doc_id").agg(F.sum("n").cast("double").alias("score"))
+    return hits.join(keys, "word").groupBy("qid", "doc_id").agg(F.sum("n").cast("double").alias("score"))
 
 
 def keyword_hits(keys: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -123,15 +138,17 @@ def phrase_windows(queries: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def phrase_boost(queries: DataFrame, idfs: DataFrame, bodies: DataFrame) -> DataFrame:
+def phrase_boost(queries: DataFrame, idfs: DataFrame, docs: DataFrame, bodies: Callable[[DataFrame], DataFrame], doc_terms: DataFrame) -> DataFrame:
     """(qid, doc_id, boost): 1.25 where a rare enough phrase of 4 words of the query is in the document, else 1.15 for one of 3.
 
-    ``bodies`` is (doc_id, body, terms): text to look in and the set of its words. Windows meet documents through their rarest word.
+    ``bodies`` makes (doc_id, body, terms) of documents: text to look in and the set of its words, which ``doc_terms`` has as rows.
+    Windows meet documents through their rarest word, and only documents that they meet are read.
     """
     win = phrase_windows(queries).withColumn("id", F.struct("qid", "size", "at"))
     each = win.select("id", F.explode("words").alias("term")).join(idfs.select("term", "idf", "df"), "term", "left")
     good = each.groupBy("id").agg(F.avg(F.coalesce("idf", F.lit(0.5))).alias("mean"), F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), F.col("term"))).alias("rare")).filter("mean >= 2.2")
     usable = win.filter(F.octet_length(F.trim("phrase")) >= 10).join(good.select("id", "rare"), "id").select("qid", "size", "words", "phrase", "rare")
-    have = bodies.select("doc_id", F.explode("terms").alias("rare")).join((usable), "rare")
-    met = have.join(bodies, "doc_id").filter((F.size(F.array_except("words", "terms")) == 0) & F.contains("body", "phrase"))
+    have = written(doc_terms.select("doc_id", F.col("term").alias("rare")).join(usable, "rare"), "phrases")
+    read = bodies(docs.join(have.select("doc_id").distinct(), "doc_id", "left_semi"))
+    met = have.join(read, "doc_id").filter((F.size(F.array_except("words", "terms")) == 0) & F.contains("body", "phrase"))
     return met.groupBy("qid", "doc_id").agg(F.max(F.when(F.col("size") == 4, 1.25).otherwise(1.15)).alias("boost"))

@@ -189,10 +189,9 @@ def hybrid_q(queries: str = "q") -> str:
     sd AS (SELECT qid, q_mean, q_mean < 2.2 AND q_terms > 4 AS dialogue, list_filter({spaced("text")}, lambda w: strlen(w) >= 3 AND regexp_matches(w[1], '\\p{{Lu}}')) AS speakers FROM qs JOIN q USING (qid)),
     pr AS (SELECT q.qid, dl.doc_id, n_terms, (SELECT greatest(avg(n_terms), 1.0) FROM dl) AS average, q.text FROM {queries} q, dl),
     bs AS MATERIALIZED (SELECT pr.qid, pr.doc_id, CASE WHEN contains(body, lower(pr.text)) THEN 1.0 WHEN n_hit IS NULL THEN 0.0
-           ELSE ({weight} * coalesce(greatest(0.0, 1 - dist / 64.0), 0) + (1 - {weight}) * {LEX} * coalesce(boost, 1.0)) * {talk} END AS base, coalesce(n_hit, 0) AS n_hit, coalesce(o_sum, 0) AS o_sum
+           ELSE ({weight} * coalesce(greatest(0.0, 1 - dist / 64.0), 0) + (1 - {weight}) * {LEX} * coalesce(boost, 1.0)) * {talk} END AS base
            FROM pr JOIN body ON pr.doc_id = body.doc_id LEFT JOIN ht ON pr.qid = ht.qid AND pr.doc_id = ht.doc_id LEFT JOIN sd ON pr.qid = sd.qid LEFT JOIN ham ON pr.qid = ham.qid AND pr.doc_id = ham.doc_id LEFT JOIN ph ON pr.qid = ph.qid AND pr.doc_id = ph.doc_id),
-    fl AS (SELECT qid, min(base) AS floor_ FROM (SELECT qid, base, row_number() OVER (PARTITION BY qid ORDER BY base DESC) AS r FROM bs) WHERE r <= {K} GROUP BY 1),
-    {density("SELECT bs.qid, bs.doc_id FROM bs JOIN fl ON bs.qid = fl.qid WHERE base > 0 AND base * (1 + 0.25 * CASE WHEN n_hit >= 2 THEN pow(o_sum, 1.5) / (ln(n_hit) + 1) ELSE 0 END) >= floor_ - 1e-6")},
+    {density("SELECT bs.qid, bs.doc_id FROM bs WHERE base > 0")},
     fq AS (SELECT bs.qid, bs.doc_id, base * (1 + 0.25 * coalesce(density, 0)) AS score FROM bs LEFT JOIN dn ON bs.qid = dn.qid AND bs.doc_id = dn.doc_id)"""
 
 
@@ -275,6 +274,16 @@ def _similar(words: int) -> str:
     return f"1 - sum(bit_count(xor(a.w, b.w))) / ({words} * 60.0)"
 
 
+def _encoded(texts: str, name: str = "") -> str:
+    """``ev`` (doc_id, c, i, x): 64 values of every text's chunks, by the leading 64 bits of the words' MD5."""
+    n, v = name, f"CAST('0x' || substr(md5(w), 1, 16) AS UBIGINT)"
+    return f"""{n}tx AS (SELECT doc_id, text, floor(len({spaced("text")}) * 1.3::DOUBLE) > 512 AS long_ FROM ({texts})),
+    {n}ch AS MATERIALIZED (SELECT doc_id, c, CASE WHEN long_ THEN substr(text, c * 2048 + 1, 2048) ELSE text END AS t FROM (SELECT *, unnest(range(0, CASE WHEN long_ THEN (length(text) + 2047) // 2048 ELSE 1 END)) AS c FROM {n}tx)),
+    {n}hv AS (SELECT doc_id, c, CAST({v} % 64 AS INT) AS i, sum(CASE WHEN {v} >= 9223372036854775808::UBIGINT THEN 1.0::DOUBLE ELSE -1.0 END) AS x FROM (SELECT doc_id, c, unnest({spaced("lower(t)")}) AS w FROM {n}ch) GROUP BY 1, 2, 3),
+    {n}nm AS (SELECT doc_id, c, sqrt(sum(x * x)) AS z FROM {n}hv GROUP BY 1, 2),
+    {n}ev AS MATERIALIZED (SELECT k.doc_id, k.c, k.i, coalesce(x / greatest(z, 1e-12), 0.0) AS x FROM (SELECT doc_id, c, unnest(range(0, 64)) AS i FROM {n}ch) k LEFT JOIN {n}hv h ON h.doc_id = k.doc_id AND h.c = k.c AND h.i = k.i LEFT JOIN {n}nm m ON m.doc_id = k.doc_id AND m.c = k.c)"""
+
+
 def unified() -> str:
     extra = f"SELECT qid + 1000000 AS qid, CASE WHEN qid % 2 = 0 THEN 'serial ' ELSE '84729 ' END || ({spaced('text')})[5] AS text FROM q WHERE qid < 6"
     sets = f"{base()}, qx AS (SELECT * FROM q UNION ALL {extra}), {expansion('qx')}, {analysis('qx')}".replace("JOIN q USING (qid)", "JOIN qx USING (qid)")
@@ -284,7 +293,7 @@ def unified() -> str:
 
 
 def _fusion() -> str:
-    return f"""la AS (SELECT qid, doc_id, score AS sa FROM ({top(OVERLAP, 50)})), lb AS (SELECT qid, doc_id, score AS sb FROM ({top(DENSE, 200)})),
+    return f"""la AS (SELECT qid, doc_id, round(score, 6) AS sa FROM ({OVERLAP})), lb AS (SELECT qid, doc_id, round(score, 6) AS sb FROM ({DENSE})),
     both_ AS (SELECT qid, doc_id, sa, coalesce(sb, 0.5) AS sb FROM la LEFT JOIN lb USING (qid, doc_id))"""
 
 
@@ -308,20 +317,23 @@ def oracle_sql() -> dict[str, str]:
     w1_, w2_ = w1("text"), w2("text")
     return {
         "tok_w1_counts": f"SELECT doc_id, CAST(len(w) AS INT) AS n, CAST(len(list_distinct(w)) AS INT) AS n_distinct FROM (SELECT doc_id, {w1_} AS w FROM documents)",
-        "tok_w2_counts": f"SELECT doc_id, CAST(len(w) AS INT) AS n, CAST(len(list_distinct(w)) AS INT) AS n_distinct, array_to_string(w[1:3], '|') AS head FROM (SELECT doc_id, {w2_} AS w FROM documents)",
+        "tok_w2_counts": f"SELECT doc_id, CAST(len(w) AS INT) AS n, CAST(len(list_distinct(w)) AS INT) AS n_distinct, md5(array_to_string(w, '|')) AS digest FROM (SELECT doc_id, {w2_} AS w FROM documents)",
         "normalized_doc_text": f"SELECT doc_id, {norm('text')} AS body FROM documents",
         "stopword_filtered": f"SELECT doc_id, CAST(len(w) AS INT) AS n, CAST(len(list_filter(w, lambda x: x NOT IN ({_list(tx.STOPWORDS)}))) AS INT) AS n_kept FROM (SELECT doc_id, {w1_} AS w FROM documents)",
         "soundex_vocab": f"WITH {base()} SELECT term, sdx FROM {sounded('idf', 'term')}",
         "code_tokens": f"WITH t AS (SELECT unnest({w2_}) AS word FROM documents UNION ALL SELECT unnest([{_list(Q_CODES)}])) SELECT word, count(*) AS n FROM t WHERE {code('word')} GROUP BY 1",
         "identifiers": identifiers(),
-        "token_bigrams": f"WITH s AS (SELECT doc_id, list_sort(list_distinct({w1_})) AS s FROM documents), p AS (SELECT s[i] AS a, s[i + 1] AS b FROM (SELECT s, unnest(range(1, len(s))) AS i FROM s)) SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) > 1",
+        "token_bigrams": f"WITH s AS (SELECT doc_id, list_sort(list_distinct({w1_})) AS s FROM documents), p AS (SELECT s[i] AS a, s[i + 1] AS b FROM (SELECT s, unnest(range(1, len(s))) AS i FROM s)) SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2",
         "token_estimate": f"SELECT doc_id, CAST(greatest(1, floor(len({spaced('text')}) * 1.3::DOUBLE)) AS BIGINT) AS n_tokens FROM documents",
         "strip_html": "SELECT page_id, length(p) AS n_chars, md5(p) AS digest FROM (SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS p FROM pages)",
         "passages_p1": p1(),
         "passages_p2": p2(),
+        "super_chunks": "SELECT doc_id, CAST(i AS INT) AS chunk_idx, md5(p) AS digest, CAST(length(p) AS INT) AS n_chars FROM (SELECT doc_id, i, substr(text, i * 2048 + 1, 2048) AS p FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 2047) // 2048)) AS i FROM documents))",
+        "fallback_tokens": f"WITH w AS (SELECT item_id AS qid, ({spaced('lower(text)')})[1:510] AS w FROM benchmark), t AS (SELECT qid, unnest(list_concat([''], w, [''])) AS word, unnest(range(0, len(w) + 2)) AS pos, len(w) + 1 AS last_ FROM w) "
+        "SELECT qid, CAST(pos AS INT) AS pos, CAST(CASE WHEN pos = 0 THEN 101 WHEN pos = last_ THEN 102 ELSE list_reduce(list_prepend(0::BIGINT, list_transform(range(0, strlen(word)), lambda i: ('0x' || substr(hex(word), 2 * i + 1, 2))::BIGINT)), lambda a, b: (a * 31 + b) % 4294967296) % 29522 + 1000 END AS INT) AS token FROM t",
         "keyword_list": f"SELECT qid, word, count(*) AS n FROM (SELECT item_id AS qid, unnest({keywords('text', 2)}) AS word FROM benchmark) GROUP BY 1, 2",
         "doc_term_tf": f"WITH {base()} SELECT doc_id, term, tf FROM dt",
-        "postings_positions": f"SELECT term, doc_id, count(*) AS tf, CAST(min(pos) AS INT) AS first_pos, CAST(max(pos) AS INT) AS last_pos FROM (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM (SELECT doc_id, {w1_} AS w FROM documents)) GROUP BY 1, 2",
+        "postings_positions": f"SELECT term, doc_id, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM (SELECT doc_id, {w1_} AS w FROM documents)) GROUP BY 1, 2",
         "prefix_scan": f"WITH {base()} SELECT term, df FROM idf WHERE starts_with(term, 'tion')",
         "word_idf": f"WITH {base()} SELECT term, df, round(idf, 6) AS idf FROM idf",
         "word_idf_text": f"WITH {base('text')} SELECT term, df, round(idf, 6) AS idf FROM idf",
@@ -329,7 +341,7 @@ def oracle_sql() -> dict[str, str]:
         "doc_gamma": f"WITH {base()} SELECT d.doc_id, round(least(0.3, least(1.0, coalesce(m, 2.5) / 5)), 6) AS gamma FROM documents d LEFT JOIN (SELECT doc_id, sum(coalesce(idf, 0.5) * tf) / sum(tf) AS m FROM dt LEFT JOIN idf USING (term) GROUP BY 1) g ON d.doc_id = g.doc_id",
         "index_stats": f"WITH {base()}, {p1().removeprefix('WITH ').split('SELECT doc_id, CAST(i AS INT)')[0].rstrip()} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT sum(length(text))::BIGINT FROM documents) AS characters, (SELECT sum(len(l))::BIGINT FROM ps) AS passages, (SELECT count(*) FROM dt) AS postings, (SELECT sum(tf)::BIGINT FROM dt) AS words, (SELECT count(DISTINCT term) FROM dt) AS distinct_words",
         "consistency_check": "SELECT count(d.doc_id) AS valid, sum(CASE WHEN d.doc_id IS NULL THEN 1 ELSE 0 END)::BIGINT AS missing FROM embeddings e LEFT JOIN documents d ON e.vec_id * 3 = d.doc_id",
-        "doc_upsert": "WITH n AS (SELECT doc_id * 2 AS doc_id, 'new ' || text AS text FROM documents WHERE doc_id % 5 = 0) SELECT doc_id, md5(text) AS digest FROM n UNION ALL SELECT doc_id, md5(text) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n)",
+        "doc_upsert": "WITH n AS (SELECT doc_id * 2 AS doc_id, 'new ' || text AS text FROM documents) SELECT doc_id, md5(text) AS digest FROM n UNION ALL SELECT doc_id, md5(text) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n)",
         "stream_chunks": f"SELECT doc_id, CAST(greatest(1, ceil(length(text) / 2000)) AS INT) AS n_chunks, CAST(len(list_distinct(flatten(list_transform(range(0, length(text), 2000), lambda i: {w1('substr(text, i + 1, 2000)')})))) AS INT) AS n_tokens FROM documents",
         "stream_equals_batch": f"WITH {base()} SELECT doc_id, term, tf FROM dt",
         "query_analysis": f"{lexical}, {analysis()} SELECT * FROM an",
@@ -349,8 +361,7 @@ def oracle_sql() -> dict[str, str]:
         "dynamic_scale": f"{vectors}, {SCALE} SELECT round(scale, 6) AS scale FROM sc",
         "dense_topk": f"{vectors} {top(DENSE)}",
         "passage_maxsim_dense": f"{vectors} {top('SELECT qid, doc_id // 4 AS doc_id, max(score) AS score FROM (' + DENSE + ') GROUP BY 1, 2')}",
-        "similarity_matrix": f"{vectors} SELECT a.qid AS a_id, b.qid AS b_id, round(list_inner_product(a.q, b.q), 6) AS score FROM qv a, qv b",
-        "query_corpus_similarity": f"{vectors} SELECT qid, doc_id, round(list_inner_product(q, emb), 6) AS score FROM qv, v",
+        "similarity_matrix": f"{vectors} SELECT qid, doc_id, round(list_inner_product(q, emb), 6) AS score FROM qv, v",
         "sign_quantize": f"{vectors} SELECT doc_id, list_sum(list_transform(range(0, 64), lambda i: CASE WHEN emb[i + 1] - mean[i + 1] > 0 THEN (CASE WHEN i = 63 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << i) END) ELSE 0::HUGEINT END))::BIGINT AS word FROM v, m",
         "hamming_candidates": f"{vectors}, {SIGNS} SELECT qid, doc_id, dist, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, doc_id) AS INT) AS rank FROM ham) WHERE rank <= 50",
         "hamming_topk": f"{vectors}, {SIGNS} {top('SELECT qid, doc_id, greatest(0.0, 1 - dist / 64.0) AS score FROM ham')}",
@@ -369,10 +380,28 @@ def oracle_sql() -> dict[str, str]:
         "confidence_fusion": f"{lexical}, {VEC}, {_fusion()}, ca AS ({_confidence('sa', 'both_')}), cb AS ({_confidence('sb', 'both_')}), na AS ({_minmax('sa', 'both_')}), nb AS ({_minmax('sb', 'both_')}) "
         + top("SELECT na.qid, na.doc_id, CASE WHEN ca.confidence + cb.confidence > 0 THEN ca.confidence / (ca.confidence + cb.confidence) ELSE 0.5 END * na.norm + CASE WHEN ca.confidence + cb.confidence > 0 THEN cb.confidence / (ca.confidence + cb.confidence) ELSE 0.5 END * nb.norm AS score FROM na JOIN nb ON na.qid = nb.qid AND na.doc_id = nb.doc_id JOIN ca ON ca.qid = na.qid JOIN cb ON cb.qid = na.qid"),
         "hdc_bind": f"WITH {ATTRIBUTES}, p AS (SELECT DISTINCT key, value FROM attr) SELECT key, value, CAST(i AS INT) AS i, xor(a[i + 1], b[i + 1]) AS w FROM (SELECT key, value, {_pattern('key', 167)} AS a, {_pattern('value', 167)} AS b FROM p), range(0, 167) r(i)",
-        "hdc_bundle": f"WITH {memory(8)} SELECT doc_id, CAST(i AS INT) AS i, w FROM me",
-        "hdc_search": f"WITH {memory(16)}, wq(qid, key, value) AS (VALUES (1::BIGINT, 'lang', 'fr'), (2, 'source', 'src3'), (3, 'lang', 'nowhere')), b AS (SELECT qid, i, xor(k.p[i + 1], v.p[i + 1]) AS w FROM wq JOIN pt k ON k.name = key JOIN pt v ON v.name = value, range(0, 16) r(i)) " + top(f"SELECT b.qid, a.doc_id, {_similar(16)} AS score FROM me a JOIN b USING (i) GROUP BY 1, 2"),
-        "hdc_extract": f"WITH {memory(16)}, n AS (SELECT DISTINCT lang AS name FROM documents), k AS (SELECT p FROM pt WHERE name = 'lang'), a AS (SELECT doc_id, i, xor(w, k.p[i + 1]) AS w FROM me, k), b AS (SELECT n.name, i, pt.p[i + 1] AS w FROM n JOIN pt ON pt.name = n.name, range(0, 16) r(i)), s AS (SELECT doc_id, name, {_similar(16)} AS score FROM a JOIN b USING (i) GROUP BY 1, 2) SELECT doc_id, name AS value, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name DESC) AS r FROM s) WHERE r = 1",
-        "hdc_recall": f"WITH {memory(16)} " + top(f"SELECT * FROM (SELECT b.doc_id AS qid, a.doc_id, {_similar(16)} AS score FROM me a JOIN me b USING (i) WHERE b.doc_id < 8 GROUP BY 1, 2) WHERE score >= 0.6"),
+        "hdc_bundle": f"WITH {memory(167)} SELECT doc_id, CAST(i AS INT) AS i, w FROM me",
+        "hdc_search": f"WITH {memory(167)}, wq(qid, key, value) AS (VALUES (1::BIGINT, 'lang', 'fr'), (2, 'source', 'src3'), (3, 'lang', 'nowhere')), b AS (SELECT qid, i, xor(k.p[i + 1], v.p[i + 1]) AS w FROM wq JOIN pt k ON k.name = key JOIN pt v ON v.name = value, range(0, 167) r(i)) " + top(f"SELECT b.qid, a.doc_id, {_similar(167)} AS score FROM me a JOIN b USING (i) GROUP BY 1, 2"),
+        "hdc_extract": f"WITH {memory(167)}, n AS (SELECT DISTINCT lang AS name FROM documents), k AS (SELECT p FROM pt WHERE name = 'lang'), a AS (SELECT doc_id, i, xor(w, k.p[i + 1]) AS w FROM me, k), b AS (SELECT n.name, i, pt.p[i + 1] AS w FROM n JOIN pt ON pt.name = n.name, range(0, 167) r(i)), s AS (SELECT doc_id, name, {_similar(167)} AS score FROM a JOIN b USING (i) GROUP BY 1, 2) SELECT doc_id, name AS value, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name DESC) AS r FROM s) WHERE r = 1",
+        "hdc_recall": f"WITH {memory(167)}, vs AS MATERIALIZED (SELECT doc_id, list(w ORDER BY i) AS v FROM me GROUP BY 1), dv AS MATERIALIZED (SELECT v, min(doc_id) AS qid FROM vs GROUP BY 1), "
+        "sm AS MATERIALIZED (SELECT a.qid AS qid, b.qid AS other, 1 - list_sum(list_transform(list_zip(a.v, b.v), lambda z: bit_count(xor(z[1], z[2])))) / (167 * 60.0) AS score FROM dv a, dv b) "
+        + top("SELECT sm.qid, vs.doc_id, sm.score FROM sm JOIN dv ON dv.qid = sm.other JOIN vs ON vs.v = dv.v WHERE sm.score >= 0.6"),
+        "hdc_query_pattern": f"WITH {base()}, uw AS (SELECT DISTINCT qid, unnest({w2('text')}) AS word FROM q), us AS (SELECT qid, {_pattern('word', 167)} AS p FROM uw WHERE word IN (SELECT term FROM idf)) SELECT qid, CAST(i AS INT) AS i, bit_xor(w) AS w FROM (SELECT qid, unnest(p) AS w, unnest(range(0, 167)) AS i FROM us) GROUP BY 1, 2",
+        "hdc_validate": f"""WITH sz AS (SELECT source, lang, CAST(length(CAST(n_chars AS VARCHAR)) AS VARCHAR) AS z FROM documents), pl AS (SELECT DISTINCT source AS mid, lang AS path, 'size' AS scope, z AS range, source || '/' || z AS entity FROM sz),
+        pp AS MATERIALIZED (SELECT *, {_pattern("path || '::' || scope || '::' || range", 167)} AS l, {_pattern('entity', 167)} AS e FROM pl),
+        ww AS (SELECT mid, i, xor(l[i + 1], e[i + 1]) AS w FROM pp, range(0, 167) r(i)),
+        mw AS (SELECT mid, i, sum(w)::BIGINT AS w FROM (SELECT mid, i, b, CASE WHEN sum((w >> b) & 1) > count(*) // 2 THEN (1::BIGINT << b) ELSE 0 END AS w FROM ww, range(0, 60) r2(b) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+        mm AS MATERIALIZED (SELECT mid, list(w ORDER BY i) AS v FROM mw GROUP BY 1)
+        SELECT mm.mid, path, scope, range, entity, round(1 - list_sum(list_transform(range(1, 168), lambda j: bit_count(xor(xor(v[j], l[j]), e[j])))) / (167 * 60.0), 6) AS score FROM mm, pp""",
+        "persist_texts": "SELECT doc_id, md5(text) AS digest, (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS n_before FROM documents",
+        "half_vectors": "WITH f AS (SELECT vec_id AS doc_id, unnest(e) AS x, unnest(range(0, 32)) AS i FROM (SELECT vec_id, (embedding::DOUBLE[])[1:32] AS e FROM embeddings)), s AS (SELECT doc_id, i, x, pow(2.0::DOUBLE, greatest(floor(log2(greatest(abs(x), 1e-30))), -14) - 10) AS step FROM f) SELECT doc_id, CAST(i AS INT) AS dim, round(round_even(x / step, 0) * step, 6) AS x FROM s",
+        "index_reopened": f"{lexical} {top(OVERLAP)}",
+        "external_idf": f"{lexical.replace('e AS MATERIALIZED (SELECT qid, term, max(idf) AS idf FROM ex GROUP BY 1, 2)', 'e AS MATERIALIZED (SELECT qid, term, 2 * max(idf) AS idf FROM ex GROUP BY 1, 2)')} {top(OVERLAP)}",
+        "keyword_bonus": f"{lexical}, r AS ({top(OVERLAP)}), k AS (SELECT qid, word, count(*) AS n FROM (SELECT qid, unnest({keywords('text', 2)}) AS word FROM q) GROUP BY 1, 2), h AS (SELECT r.qid, r.doc_id, sum(n) AS hits FROM r JOIN k ON k.qid = r.qid JOIN documents d ON d.doc_id = r.doc_id AND contains(lower(d.text), word) GROUP BY 1, 2) {top('SELECT r.qid, r.doc_id, r.score + 0.05 * coalesce(hits, 0) AS score FROM r LEFT JOIN h ON h.qid = r.qid AND h.doc_id = r.doc_id')}",
+        "encode_texts": f"WITH {_encoded('SELECT doc_id, text FROM documents')} SELECT doc_id, CAST(c AS INT) AS chunk_idx, CAST(i AS INT) AS dim, round(CAST(x AS FLOAT)::DOUBLE, 6) AS x FROM ev",
+        "encoded_search": f"WITH {p1().removeprefix('WITH ').split('SELECT doc_id, CAST(i AS INT)')[0].rstrip()}, {_encoded('SELECT doc_id * 100000 + i AS doc_id, p AS text FROM (SELECT doc_id, unnest(l) AS p, unnest(range(0, len(l))) AS i FROM ps)')}, {_encoded('SELECT item_id AS doc_id, text FROM benchmark', 'q')}, "
+        "pv AS MATERIALIZED (SELECT doc_id // 100000 AS doc_id, list(CAST(x AS FLOAT)::DOUBLE ORDER BY i) AS v FROM ev WHERE c = 0 GROUP BY ev.doc_id), qw AS MATERIALIZED (SELECT doc_id AS qid, list(CAST(x AS FLOAT)::DOUBLE ORDER BY i) AS v FROM qev WHERE c = 0 GROUP BY 1) "
+        + top("SELECT qid, pv.doc_id, max(greatest(0.0, list_inner_product(qw.v, pv.v))) AS score FROM qw, pv GROUP BY 1, 2"),
         "eval_top1": f"{ranked}, rl AS ({EXACT}) SELECT a.qid, r.doc_id, rl.doc_id IS NOT NULL AS correct FROM (SELECT DISTINCT qid FROM rl) a LEFT JOIN (SELECT * FROM rk WHERE rank = 1) r ON a.qid = r.qid LEFT JOIN rl ON rl.qid = r.qid AND rl.doc_id = r.doc_id",
         "eval_extended": f"{ranked}, rl AS ({EXACT}), tp AS (SELECT a.qid, r.doc_id, rl.doc_id IS NOT NULL AS correct, want FROM (SELECT qid, min(doc_id) AS want FROM rl GROUP BY 1) a LEFT JOIN (SELECT * FROM rk WHERE rank = 1) r ON a.qid = r.qid LEFT JOIN rl ON rl.qid = r.qid AND rl.doc_id = r.doc_id), "
         f"kw AS (SELECT item_id AS qid, {keywords('text', 4)} AS l FROM benchmark) SELECT qid, tp.doc_id, correct, coalesce(NOT correct AND len(l) > 0 AND len(list_filter(l, lambda w: contains(lower(d.text), w))) >= len(l) // 2 AND len(list_filter(l, lambda w: contains(lower(x.text), w))) >= len(l) // 2, false) AS extended FROM tp LEFT JOIN kw USING (qid) LEFT JOIN documents d ON d.doc_id = tp.doc_id LEFT JOIN documents x ON x.doc_id = want",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..encoder import HashingEncoder
 from ..functions import text as tx
 from ..functions import vector as vx
 from ..operators import analyze, dense, evaluate, hdc, hybrid, index, lexical, ranking
@@ -62,7 +63,7 @@ class Bound:
         return self._keep(analyze.expanded_terms(self.expansion()), "expanded")
 
     def qrels(self) -> DataFrame:
-        return lexical.exact_search(self.queries, self.docs).select("qid", "doc_id", F.lit(1).alias("rel"))
+        return lexical.exact_search(self.queries, self.docs, self.terms, self.mode).select("qid", "doc_id", F.lit(1).alias("rel"))
 
 
 def _six(df: DataFrame, *columns: str) -> DataFrame:
@@ -79,7 +80,7 @@ def tok_w1_counts(s, d):
 
 def tok_w2_counts(s, d):
     w = tx.terms(F.col("text"))
-    return Bound(s, d).docs.select("doc_id", F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("n_distinct"), F.array_join(F.slice(w, 1, 3), "|").alias("head"))
+    return Bound(s, d).docs.select("doc_id", F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("n_distinct"), F.md5(F.array_join(w, "|")).alias("digest"))
 
 
 def normalized_doc_text(s, d):
@@ -108,7 +109,7 @@ def identifiers(s, d):
 
 def token_bigrams(s, d):
     pairs = Bound(s, d).docs.select("doc_id", F.explode(tx.sorted_bigrams(tx.words(F.col("text")))).alias("p"))
-    return pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def token_estimate(s, d):
@@ -130,6 +131,11 @@ def passages_p2(s, d):
     return p.select("doc_id", "passage_idx", F.md5("passage").alias("digest"), F.length("passage").alias("n_chars"))
 
 
+def super_chunks(s, d):
+    p = Bound(s, d).docs.select("doc_id", F.posexplode(tx.super_chunks(F.col("text"))).alias("chunk_idx", "chunk"))
+    return p.select("doc_id", "chunk_idx", F.md5("chunk").alias("digest"), F.length("chunk").alias("n_chars"))
+
+
 def keyword_list(s, d):
     return lexical.keyword_table(Bound(s, d).queries, 2)
 
@@ -147,7 +153,7 @@ def doc_term_tf(s, d):
 
 def postings_positions(s, d):
     p = index.postings(Bound(s, d).docs)
-    return p.select("term", "doc_id", "tf", F.get("positions", F.lit(0)).alias("first_pos"), F.array_max("positions").alias("last_pos"))
+    return p.select("term", "doc_id", "tf", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
 
 
 def prefix_scan(s, d):
@@ -182,8 +188,9 @@ def consistency_check(s, d):
 
 
 def doc_upsert(s, d):
+    """The whole table again under doubled ids: even ids are replaced, odd ones stay, and the others are new."""
     b = Bound(s, d)
-    new = b.docs.filter("doc_id % 5 = 0").select((F.col("doc_id") * 2).alias("doc_id"), F.concat(F.lit("new "), "text").alias("text"))
+    new = b.docs.select((F.col("doc_id") * 2).alias("doc_id"), F.concat(F.lit("new "), "text").alias("text"))
     return index.upsert(b.docs, new).select("doc_id", F.md5("text").alias("digest"))
 
 
@@ -291,19 +298,12 @@ def dense_topk(s, d):
 
 def passage_maxsim_dense(s, d):
     b = Bound(s, d)
-    return ranking.top_k(dense.maxsim(b.query_vectors, b.passages), K)
+    return dense.maxsim(b.query_vectors, b.passages, K)
 
 
 def similarity_matrix(s, d):
     b = Bound(s, d)
-    q = b.query_vectors
-    return q.select(F.col("qid").alias("a_id"), F.col("q").alias("a")).crossJoin(q.select(F.col("qid").alias("b_id"), F.col("q").alias("b"))).select("a_id", "b_id", F.round(vx.dot(F.col("a"), F.col("b")), 6).alias("score"))
-
-
-def query_corpus_similarity(s, d):
-    """Every query vector by every corpus vector; ``similarity_matrix`` holds the query vectors against themselves only."""
-    b = Bound(s, d)
-    return b.query_vectors.crossJoin(b.vectors).select("qid", "doc_id", F.round(vx.dot(F.col("q"), F.col("emb")), 6).alias("score"))
+    return _six(dense.similarity_matrix(b.query_vectors, b.vectors), "score")
 
 
 def sign_quantize(s, d):
@@ -340,7 +340,11 @@ def passage_maxsim_hamming(s, d):
 
 def _distances(b):
     q, v = b.bits()
-    return dense.hamming_distances(q, v)
+    return lambda pairs: dense.pair_distances(pairs, q, v)
+
+
+def _scores(b):
+    return lambda pairs: dense.pair_scores(pairs, b.query_vectors, b.vectors)
 
 
 def hybrid_candidates(s, d):
@@ -350,17 +354,17 @@ def hybrid_candidates(s, d):
 
 def full_hybrid_t(s, d):
     b = Bound(s, d, "text", kept=True)
-    return hybrid.full_hybrid_text(b.queries, b.expanded(), b.docs, b.terms, b.lengths, b.idfs, dense.dense_scores(b.query_vectors, b.vectors), K)
+    return hybrid.full_hybrid_text(b.queries, b.expanded(), b.docs, b.terms, b.lengths, b.idfs, _scores(b), K)
 
 
 def legacy_blend(s, d):
     b = Bound(s, d, "text", kept=True)
-    return hybrid.legacy_blend(b.queries, b.expanded(), b.docs, b.terms, b.lengths, dense.dense_scores(b.query_vectors, b.vectors), K)
+    return hybrid.legacy_blend(b.queries, b.expanded(), b.docs, b.terms, b.lengths, _scores(b), K)
 
 
 def legacy_alpha(s, d):
     b = Bound(s, d, "text", kept=True)
-    return hybrid.legacy_blend(b.queries, b.expanded(), b.docs, b.terms, b.lengths, dense.dense_scores(b.query_vectors, b.vectors), K, 0.4)
+    return hybrid.legacy_blend(b.queries, b.expanded(), b.docs, b.terms, b.lengths, _scores(b), K, 0.4)
 
 
 def full_hybrid_q(s, d):
@@ -370,7 +374,7 @@ def full_hybrid_q(s, d):
 
 def phrase_boost(s, d):
     b = Bound(s, d, "text", kept=True)
-    return lexical.phrase_boost(b.queries, b.idfs, hybrid.text_bodies(b.docs))
+    return lexical.phrase_boost(b.queries, b.idfs, b.docs, hybrid.text_bodies, b.terms)
 
 
 def span_density(s, d):
@@ -395,24 +399,38 @@ def unified_search(s, d):
 # ---- fusion
 
 
-def _lists(b):
-    lex = ranking.top_k(lexical.overlap(b.expanded(), b.terms), 50)
-    sem = ranking.top_k(dense.dense_scores(b.query_vectors, b.vectors), 200)
-    return lex.select("qid", "doc_id", "score"), sem.select("qid", "doc_id", "score")
+def _lexical_list(b):
+    return ranking.top_k(lexical.overlap(b.expanded(), b.terms), 1 << 30).select("qid", "doc_id", "score")
+
+
+def _entity_list(b, lexical_list):
+    """(qid, doc_id, score): similarity of the projected vectors of the queries and of the listed documents that have one."""
+    entities = tables.written(hdc.project(b.vectors), "entities")
+    asked = hdc.project(b.query_vectors, "qid", "q").select(F.col("doc_id").alias("qid"), F.col("v").alias("q"))
+    met = lexical_list.select("qid", "doc_id").join(entities, "doc_id").join(asked, "qid")
+    return met.select("qid", "doc_id", hdc.similarity(F.col("q"), F.col("v")).alias("score"))
 
 
 def minmax_normalize(s, d):
-    lex, _ = _lists(Bound(s, d, kept=True))
-    return _six(ranking.minmax(lex), "norm", "score")
+    return _six(ranking.minmax(_lexical_list(Bound(s, d, kept=True))), "norm", "score")
 
 
 def score_confidence(s, d):
-    lex, _ = _lists(Bound(s, d, kept=True))
-    return _six(ranking.confidence(lex), "confidence")
+    return _six(ranking.confidence(_lexical_list(Bound(s, d, kept=True))), "confidence")
 
 
 def confidence_fusion(s, d):
-    return ranking.fuse(*_lists(Bound(s, d, kept=True)), K)
+    """All documents with a lexical hit, by words and by dense similarity."""
+    b = Bound(s, d, kept=True)
+    lex = tables.written(_lexical_list(b), "lexical")
+    return ranking.fuse(lex, dense.pair_scores(lex, b.query_vectors, b.vectors).withColumn("score", F.round("score", 6)), K)
+
+
+def hypervector_fusion(s, d):
+    """The same with the similarity of projected hypervectors."""
+    b = Bound(s, d, kept=True)
+    lex = tables.written(_lexical_list(b), "lexical")
+    return ranking.fuse(lex, _entity_list(b, lex), K)
 
 
 # ---- hyperdimensional
@@ -429,25 +447,109 @@ def hdc_bind(s, d):
 
 
 def hdc_bundle(s, d):
-    return hdc.encode_documents(_attributes(s, d), 8).select("doc_id", F.posexplode("v").alias("i", "w"))
+    return hdc.encode_documents(_attributes(s, d)).select("doc_id", F.posexplode("v").alias("i", "w"))
+
+
+def _memory(s, d):
+    return tables.written(hdc.encode_documents(_attributes(s, d)), "memory")
 
 
 def hdc_search(s, d):
-    memory = hdc.encode_documents(_attributes(s, d), 16)
     wanted = s.createDataFrame([(1, "lang", "fr"), (2, "source", "src3"), (3, "lang", "nowhere")], "qid bigint, key string, value string")
     a = _attributes(s, d)
     known = a.select(F.col("key").alias("name")).union(a.select("value")).distinct()
-    return hdc.attribute_search(memory, wanted, known, K, 16)
+    return hdc.attribute_search(_memory(s, d), wanted, known, K)
 
 
 def hdc_extract(s, d):
     known = table(s, d, "documents").select(F.col("lang").alias("name")).distinct()
-    return _six(hdc.extract_attribute(hdc.encode_documents(_attributes(s, d), 16), "lang", known, 16), "score")
+    return _six(hdc.extract_attribute(_memory(s, d), "lang", known), "score")
 
 
 def hdc_recall(s, d):
-    memory = hdc.encode_documents(_attributes(s, d), 16)
-    return hdc.recall(memory, memory.filter("doc_id < 8").select(F.col("doc_id").alias("qid"), F.col("v").alias("q")), K, 0.6)
+    """Every distinct pattern of the memory, by its smallest id, against the whole memory."""
+    memory = _memory(s, d)
+    return hdc.recall(memory, hdc.patterns_of(memory), K, 0.6)
+
+
+def hdc_query_pattern(s, d):
+    b = Bound(s, d)
+    words = b.queries.select("qid", F.explode(F.array_distinct(tx.terms(F.col("text")))).alias("word"))
+    return hdc.query_pattern(words, b.idfs.select(F.col("term").alias("name"))).select("qid", F.posexplode("v").alias("i", "w"))
+
+
+def hdc_validate(s, d):
+    """One memory a source, of its distinct (language, size) places and what is there; every place is proposed to every source."""
+    docs = table(s, d, "documents")
+    size = F.length(F.col("n_chars").cast("string")).cast("string")
+    places = docs.select(F.col("source").alias("mid"), F.col("lang").alias("path"), F.lit("size").alias("scope"), size.alias("range"), F.concat_ws("/", "source", size).alias("entity")).distinct()
+    asked = places.select("path", "scope", "range", "entity").crossJoin(F.broadcast(places.select("mid").distinct()))
+    return _six(hdc.validate(hdc.build_memory(places), asked), "score")
+
+
+def hdc_project(s, d):
+    return hdc.project(Bound(s, d).vectors).select("doc_id", F.posexplode("v").alias("i", "w"))
+
+
+# ---- keeping and encoding
+
+
+def persist_texts(s, d):
+    """Texts written in two parts, reopened after each, looked up by id and counted."""
+    docs, path = Bound(s, d).docs, tables.scratch(s, "texts")
+    tables.append(docs.filter("doc_id % 2 = 0"), path)
+    before = tables.refreshed(s, path).count()
+    tables.append(docs.filter("doc_id % 2 = 1"), path)
+    kept = tables.refreshed(s, path)
+    return kept.join(docs.select("doc_id"), "doc_id").select("doc_id", F.md5("text").alias("digest"), F.lit(before).alias("n_before"))
+
+
+def half_vectors(s, d):
+    """The first 32 values of every vector, as 16-bit floats keep them."""
+    path = tables.scratch(s, "half")
+    tables.write_vectors(Bound(s, d).vectors, path, half=True)
+    return _six(tables.read_vectors(s, path, 32).select("doc_id", F.posexplode("emb").alias("dim", "x")).withColumn("x", F.col("x").cast("double")), "x")
+
+
+def index_reopened(s, d):
+    """An index saved, opened and asked."""
+    from ..api import Index
+
+    path = tables.scratch(s, "index")
+    b = Bound(s, d)
+    Index(b.docs, mode="quantized").save(path)
+    opened = Index.open(s, path)
+    return lexical.pure_lexical(analyze.expanded_terms(analyze.expand(b.queries, opened.idfs)), opened.terms, K)
+
+
+def external_idf(s, d):
+    """A search by weights from outside: those of the corpus under upper-case names, twice, of which the larger count."""
+    b = Bound(s, d, kept=True)
+    outside = b.idfs.select(F.upper("term").alias("word"), "idf").union(b.idfs.select("term", F.col("idf") * 2))
+    idf = index.load_idf(outside, "word", "idf").withColumn("df", F.lit(1).cast("bigint"))
+    expanded = b.expanded().drop("idf").join(idf.select("term", "idf"), "term", "left")
+    return lexical.pure_lexical(expanded.select("qid", "term", "idf"), b.terms, K)
+
+
+def keyword_bonus(s, d):
+    """Lexical results with a bonus for each keyword that a result has."""
+    b = Bound(s, d, kept=True)
+    got = tables.written(lexical.pure_lexical(b.expanded(), b.terms, K), "results")
+    hits = lexical.keyword_hits(lexical.keyword_table(b.queries, 2), got, b.docs)
+    return ranking.top_k(got.join(hits, ["qid", "doc_id"], "left").select("qid", "doc_id", (F.col("score") + 0.05 * F.coalesce("hits", F.lit(0))).alias("score")), K)
+
+
+def encode_texts(s, d):
+    """Every text, and chunk of a long one, as a vector of 64 hashed words."""
+    return _six(HashingEncoder(64).encode(Bound(s, d).docs).select("doc_id", "chunk_idx", F.posexplode("emb").alias("dim", "x")).withColumn("x", F.col("x").cast("double")), "x")
+
+
+def encoded_search(s, d):
+    """Queries and passages encoded alike, documents by their best passage."""
+    b, encoder = Bound(s, d), HashingEncoder(64)
+    passages = b.docs.select("doc_id", F.explode(tx.passages_p1(F.col("text"))).alias("text"))
+    asked = encoder.encode(b.queries, "qid").filter("chunk_idx = 0").select("qid", F.col("emb").alias("q"))
+    return dense.maxsim(asked, tables.written(encoder.encode(passages).select("doc_id", "emb"), "passages"), K)
 
 
 # ---- evaluation
@@ -490,10 +592,10 @@ def scaling_regression(s, d):
 
 
 NAMES = (
-    "tok_w1_counts tok_w2_counts normalized_doc_text stopword_filtered soundex_vocab code_tokens identifiers token_bigrams token_estimate strip_html passages_p1 passages_p2 keyword_list fallback_tokens "
+    "tok_w1_counts tok_w2_counts normalized_doc_text stopword_filtered soundex_vocab code_tokens identifiers token_bigrams token_estimate strip_html passages_p1 passages_p2 super_chunks keyword_list fallback_tokens "
     "doc_term_tf postings_positions prefix_scan word_idf word_idf_text word_idf_raw doc_gamma index_stats consistency_check doc_upsert stream_chunks stream_equals_batch "
     "query_analysis fuzzy_expand query_route forced_route pure_lexical_topk exact_search count_instances kv_extract context_snippet keyword_overlap "
-    "l2_norm matryoshka_16 matryoshka_32 corpus_mean dynamic_scale dense_topk passage_maxsim_dense similarity_matrix query_corpus_similarity sign_quantize hamming_candidates hamming_topk hamming_16view_topk passage_maxsim_hamming "
+    "l2_norm matryoshka_16 matryoshka_32 corpus_mean dynamic_scale dense_topk passage_maxsim_dense similarity_matrix sign_quantize hamming_candidates hamming_topk hamming_16view_topk passage_maxsim_hamming "
     "hybrid_candidates full_hybrid_t legacy_blend legacy_alpha full_hybrid_q phrase_boost span_density unified_search minmax_normalize score_confidence confidence_fusion "
-    "hdc_bind hdc_bundle hdc_search hdc_extract hdc_recall eval_top1 eval_extended eval_ndcg_mrr_recall eval_split_means sts_pearson_spearman scaling_regression"
+    "hypervector_fusion hdc_bind hdc_bundle hdc_search hdc_extract hdc_recall hdc_query_pattern hdc_validate hdc_project persist_texts half_vectors index_reopened external_idf keyword_bonus encode_texts encoded_search eval_top1 eval_extended eval_ndcg_mrr_recall eval_split_means sts_pearson_spearman scaling_regression"
 ).split()

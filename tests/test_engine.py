@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,7 +86,7 @@ def test_hybrid_is_gated_by_words(spark):
     v = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "doc_id bigint, emb array<float>")
     qv = spark.createDataFrame([(0, [1.0, 0.0])], "qid bigint, q array<float>")
     q = queries(spark, "alpha words unknown")
-    got = {r.doc_id: r.score for r in Index(docs, v).search(q, qv, 2, bits=2).collect()}
+    got = {r.doc_id: r.score for r in Index(docs, v).search(q, qv, 2).collect()}
     assert got[1] > 0 and got[2] == 0
     assert {r.doc_id for r in Index(docs, v, mode="text").search(q, qv, 2).collect()} == {1}
     lonely = Index(docs, v, mode="text").search(queries(spark, "nothing shared here"), qv, 2).collect()
@@ -227,6 +228,8 @@ def test_streaming_replaces_and_replays(spark, tmp_path):
 def test_sql_functions(spark):
     register(spark)
     r = spark.sql("SELECT w1('A b-c') AS a, w2('One, two of') AS b, normalized_text('One, ab') AS c, strip_html('<p>x') AS d, token_estimate('a b c d') AS e, dot(array(1F, 2F), array(3F, 4F)) AS f").first()
+    more = spark.sql("SELECT soundex_code('ashcraft') AS a, is_code('12345') AS b, identifiers('see ABC-123, ok') AS c, passages_p1('x') AS d, hamming(array(7L), sign_bits(array(1F, -1F), array(0D, 0D))) AS e, without_stopwords('the cat') AS f, super_chunks('ab') AS g, l2_normalize(array(3F, 4F)) AS h, keywords('the cat 7') AS i").first()
+    assert tuple(more) == ("A226", True, ["ABC-123"], ["x"], 2, ["cat"], ["ab"], [0.6, 0.8], ["cat", "7"])
     assert (r.a, r.b, r.c, r.d, r.e, r.f) == (["a", "b", "c"], ["one", "two"], "one", " x", 5, 11.0)
 
 
@@ -243,5 +246,130 @@ def test_every_query_vector_meets_every_corpus_vector(spark):
     from .conftest import SF
 
     b = bound.Bound(spark, SF)
-    got = bound.query_corpus_similarity(spark, SF)
+    got = bound.similarity_matrix(spark, SF)
     assert got.count() == b.query_vectors.count() * b.vectors.count() and got.select("doc_id").distinct().count() == b.vectors.count()
+
+
+def brute_hybrid(rows, query, idf):
+    """FullHybrid scores without vectors of a query of lower-case words, by the definition: no bound, no early end."""
+    n_terms, words = {}, {}
+    strip = lambda w: re.sub(r"[!-/:-@\[-`{-~]+$", "", w)
+    for i, t in rows:
+        kept = [w for w in t.lower().split() if len(w.encode()) >= 3]
+        words[i] = [re.sub(r"^[^0-9a-z]+|[^0-9a-z]+$", "", strip(w)) for w in kept if strip(w)]
+        n_terms[i] = [x for w in t.lower().split() if len(x := strip(w)) >= 3]
+    average = max(1.0, sum(len(set(x)) for x in n_terms.values()) / len(rows))
+    asked = query.split()
+    out = {}
+    q_mean = sum(idf.get(w, 0.5) for w in asked) / len(asked)
+    for i, t in rows:
+        own = n_terms[i]
+        hit = [w for w in asked if w in own]
+        base = 0.0
+        if hit:
+            v = {w: math.log(1 + own.count(w)) * idf.get(w, 0.5) for w in hit}
+            entity, common = sum(x for w, x in v.items() if idf.get(w, 0) > 2.5), sum(x for w, x in v.items() if idf.get(w, 0) <= 2.5)
+            ratio = min(1.0, (0.7 * entity + 0.3 * common) / 10)
+            lex = ratio * (1 + ratio * ratio) / max(0.5, 0.65 + 0.35 * len(set(own)) / average)
+            alpha = max(0.0, min(1.0, 1 - (sum(idf.get(w, 0.5) for w in hit) / len(hit)) / max(q_mean, 0.001)))
+            base = (1 - alpha) * lex
+        if query in " ".join(strip(w) for w in t.lower().split() if len(w.encode()) >= 3):
+            base = 1.0
+        have = {w for w in asked if w in words[i]}
+        density = 0.0
+        if len(have) >= 2:
+            w = words[i]
+            span = min(j - k + 1 for k in range(len(w)) for j in range(k, len(w)) if have <= set(w[k : j + 1]))
+            density = sum(idf.get(x, 0.5) for x in have) ** 1.5 / (math.log(span) + 1)
+        out[i] = round(base * (1 + 0.25 * density), 6)
+    return sorted(((-s, i) for i, s in out.items()))
+
+
+def test_hybrid_against_brute_force_with_punctuation_before_words(spark):
+    rng = random.Random(6)
+    rows = [(1, "alpha alpha beta xxxx yyyy zzzz"), (2, "alpha (beta"), (3, "(alpha (beta"), (4, "«alpha» more words beta"), (5, "alpha"), (6, "nothing here"), (7, "beta (alpha filler")]
+    rows += [(i, " ".join(rng.choice(["alpha", "(beta", "beta", "\"alpha", "gamma", "filler", "words", "more"]) for _ in range(rng.randint(2, 30)))) for i in range(8, 150)]
+    made = Index(corpus(spark, rows))
+    idf = {r.term: r.idf for r in made.idfs.collect()}
+    want = brute_hybrid(rows, "alpha beta", idf)
+    q = queries(spark, "alpha beta")
+    for k in (1, 5, 149):
+        got = [(-r.score, r.doc_id) for r in sorted(made.search(q, k=k, force_route="FullHybrid").collect(), key=lambda r: r.rank)]
+        assert len(got) == k and all(math.isclose(a[0], b[0], abs_tol=2e-6) and a[1] == b[1] for a, b in zip(got, want)), k
+
+
+def test_block_products_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(dense, "CELLS", 20)
+    rng = random.Random(1)
+    v = [(i // 3, [float(rng.choice([-1, 0, 0.5, 1])) for _ in range(8)]) for i in range(120)]
+    q = [(i, [float(rng.choice([-1, 0, 1])) for _ in range(8)]) for i in range(7)]
+    vectors, asked = spark.createDataFrame(v, "doc_id bigint, emb array<float>"), spark.createDataFrame(q, "qid bigint, q array<float>")
+    for k in (1, 4, 100):
+        got = {}
+        for r in dense.pure_semantic(asked, vectors, k).collect():
+            got.setdefault(r.qid, []).append((r.rank, -r.score, r.doc_id))
+        for i, x in q:
+            best = {}
+            for d, y in v:
+                best[d] = max(best.get(d, 0.0), sum(a * b for a, b in zip(x, y)))
+            assert [t[1:] for t in sorted(got[i])] == sorted((-s, d) for d, s in best.items())[:k]
+    assert dense.similarity_matrix(asked, vectors).count() == 840
+    assert dense.pure_semantic(asked.limit(0), vectors, 3).count() == 0 == dense.pure_semantic(asked, vectors.limit(0), 3).count()
+    named = dense.pure_semantic(asked.withColumn("qid", F.concat(F.lit("q"), "qid")), vectors.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), 2)
+    assert named.count() == 14 and {r.doc_id[0] for r in named.collect()} == {"d"}
+    assert dense._half_up(__import__("numpy").array([0.1234565, 0.1234555, 2.5, -0.0000005]), 6).tolist() == [0.123457, 0.123456, 2.5, -0.000001]
+
+
+def test_scale_of_a_tight_cloud(spark, monkeypatch):
+    monkeypatch.setattr(dense, "SORTED", 3)
+    rng = random.Random(2)
+    for values in ([rng.random() for _ in range(99)], [0.1 + rng.random() * 1e-9 for _ in range(500)] + [5.0], [0.25] * 50, [0.0, 1.0]):
+        v = spark.createDataFrame([(i, [x]) for i, x in enumerate(values)], "doc_id bigint, emb array<double>")
+        mean = spark.createDataFrame([([0.0],)], "mean array<double>")
+        assert dense.dynamic_scale(v, mean).first().scale == max(0.05, min(0.5, 2 * sorted(values)[len(values) // 2]))
+
+
+def test_ranks_over_partitions(spark):
+    rng = random.Random(3)
+    pairs = [(float(rng.randrange(40)), float(rng.randrange(9))) for _ in range(300)]
+    r = evaluate.correlation(spark.createDataFrame([*pairs, (1.0, None)], "a double, b double")).first()
+    rank = lambda xs: [sum(y < x for y in xs) + (sum(y == x for y in xs) + 1) / 2 for x in xs]
+    import numpy as np
+
+    a, b = zip(*pairs)
+    assert r.n == 300 and math.isclose(r.spearman, np.corrcoef(rank(a), rank(b))[0, 1]) and math.isclose(r.pearson, np.corrcoef(a, b)[0, 1])
+
+
+def test_index_as_a_mapping_and_its_settings(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "doc_id bigint, emb array<float>")
+    own = spark.createDataFrame([("light", 7.0)], "term string, idf double")
+    i = Index(corpus(spark), v, idf=own)
+    assert 3 in i and 9 not in i and i.items().count() == 4
+    changed = i.add(corpus(spark, [(2, "light again")]))
+    assert changed.idfs.first().idf == 7.0 and {r.doc_id for r in changed.vectors.collect()} == {1}
+    gone = changed.discard(spark.createDataFrame([(1,), (77,)], "doc_id bigint"))
+    assert len(gone) == 3 and gone.vectors.count() == 0 and 1 not in gone
+    kept = Index(corpus(spark), v, mode="text", views=True, idf_mode="raw").clear()
+    assert len(kept) == 0 and kept.views and kept.idf_mode == "raw" and kept.mode == "text"
+    ordered = Index(corpus(spark)).add(spark.createDataFrame([(9, "zzz", 1), (9, "aaa", 2)], "doc_id bigint, text string, at int").select("doc_id", "text", "at").drop("at"))
+    assert ordered.get_document(9).first().text == "zzz"
+    # without vectors a blank query has no rows, and others go by words
+    got = Index(corpus(spark)).search(queries(spark, "", "Eiffel Tower"), k=1).collect()
+    assert [(r.qid, r.doc_id) for r in got] == [(1, 3)]
+
+
+def test_entities_are_registered_and_packed(spark):
+    memory = spark.createDataFrame([(1, [5, 1 << 59]), (2, [0, 7])], "doc_id bigint, v array<bigint>")
+    more = hdc.register_entities(memory, spark.createDataFrame([(2, [9, 9]), (3, [1, 2])], "doc_id bigint, v array<bigint>"))
+    assert {r.doc_id: r.v for r in more.collect()} == {1: [5, 1 << 59], 2: [9, 9], 3: [1, 2]}
+    raw = more.withColumn("raw", hdc.packed(F.col("v")))
+    assert all(len(r.raw) == 16 for r in raw.collect()) and raw.filter(hdc.unpacked(F.col("raw")) != F.col("v")).count() == 0
+
+
+def test_an_emptied_document_loses_its_streamed_terms(spark, tmp_path):
+    path, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    for text in ("first text", "!!"):
+        corpus(spark, [(1, text)]).coalesce(1).write.mode("append").parquet(path)
+        ingest.start(spark.readStream.schema("doc_id bigint, text string").parquet(path), out, f"{tmp_path}/state").awaitTermination()
+    assert ingest.terms(spark, out).count() == 0
