@@ -2,9 +2,10 @@
 
 A signature has 48 symbols of 8 bits, one for each of 48 hash functions over a document's set of word pairs. It is
 split into 8 chunks of 6 symbols, each kept in one BIGINT. Two signatures that differ in at most 15 symbols differ in
-at most one symbol of some chunk (8 chunks of two errors would be 16), so every such pair shares a key made of a
-chunk with one symbol left out. Each document emits its 48 keys; documents that share a key are compared in full,
-and a pair is reported only from the first key that it shares. No pair within the distance is missed, and none
+at most one symbol of some chunk (8 chunks of two errors would be 16). So every such pair shares a whole chunk, or else a key made of a
+chunk with one symbol left out, and differs in that symbol. Each document emits its 8 chunks and its 48 keys. Documents that share a
+chunk are compared in full, and of documents that share a key only those with different symbols there: near copies that agree in
+most chunks meet by these alone. A pair is reported only from the first chunk, or else the first key, that it shares. No pair within the distance is missed, and none
 is found through a cap or a sample.
 
 Equal signatures are first folded into one representative (the smallest id), so a group of identical copies costs its
@@ -88,32 +89,62 @@ def _wrong(x: Column) -> Column:
     return x.bitwiseAND(F.lit(_ONES))
 
 
+def _chunk_keys() -> Column:
+    """The whole chunks; a chunk's number goes into the two bytes that it leaves free, so a key is one BIGINT."""
+    return F.array(*(F.struct(F.col(_COLUMNS[c]).bitwiseOR(F.lit(c << (BITS * WIDTH))).alias("key"), F.lit(0).alias("symbol")) for c in range(CHUNKS)))
+
+
 def _keys() -> Column:
-    keys = [F.struct(F.lit(c * WIDTH + p).alias("at"), F.col(_COLUMNS[c]).bitwiseAND(F.lit(~(((1 << BITS) - 1) << (BITS * p)) & ((1 << (BITS * WIDTH)) - 1))).alias("rest")) for c in range(CHUNKS) for p in range(WIDTH)]
+    """The chunks with one symbol left out, and that symbol."""
+    keys = []
+    for at in range(SYMBOLS):
+        c, p = divmod(at, WIDTH)
+        rest = F.col(_COLUMNS[c]).bitwiseAND(F.lit(~(((1 << BITS) - 1) << (BITS * p)) & ((1 << (BITS * WIDTH)) - 1)))
+        symbol = F.shiftright(_COLUMNS[c], BITS * p).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+        keys.append(F.struct(rest.bitwiseOR(F.lit(at << (BITS * WIDTH))).alias("key"), symbol.alias("symbol")))
     return F.array(*keys)
 
 
+def _compared(a: DataFrame, b: DataFrame, on: list[str], max_distance: int) -> tuple[DataFrame, list[Column]]:
+    """Rows of two sides joined, within the distance, and what is wrong in each chunk."""
+    one = a.select(*on, F.col("id").alias("a"), *(F.col(c).alias(f"a{c}") for c in _COLUMNS))
+    two = b.select(*on, F.col("id").alias("b"), *(F.col(c).alias(f"b{c}") for c in _COLUMNS))
+    wrong = [_wrong(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _COLUMNS]
+    pairs = one.join(two, on).withColumn("distance", functools.reduce(Column.__add__, (F.bit_count(w) for w in wrong)).cast("int"))
+    return pairs.filter(F.col("distance") <= max_distance), wrong
+
+
 def distinct_pairs(sigs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(a, b, distance) with a < b: all pairs of rows of (id, s0..s7) within the distance."""
     if not 0 <= max_distance <= MAX_DISTANCE:
         raise ValueError(f"the key scheme guarantees distances of 0 to {MAX_DISTANCE}")
-    # the position goes into the two bytes that a chunk leaves free, so a key is one BIGINT
-    keys = sigs.select("id", F.explode(_keys()).alias("k")).select("id", F.col("k.rest").bitwiseOR(F.shiftleft(F.col("k.at").cast("bigint"), BITS * WIDTH)).alias("key"))
-    keys = keys.repartition("key")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    met = keys.join(shared, "key", "left_semi").join(sigs, "id")
-    a = met.select("key", F.col("id").alias("a"), *(F.col(c).alias(f"a{c}") for c in _COLUMNS))
-    b = met.select("key", F.col("id").alias("b"), *(F.col(c).alias(f"b{c}") for c in _COLUMNS))
-    pairs = a.join(b, "key").filter("a < b")
-    wrong = [_wrong(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _COLUMNS]
-    pairs = pairs.withColumn("distance", functools.reduce(Column.__add__, (F.bit_count(w) for w in wrong)).cast("int")).filter(F.col("distance") <= max_distance)
+    number = F.shiftright("key", BITS * WIDTH).cast("int")
+    chunks = sigs.select("id", F.explode(_chunk_keys()).alias("k")).select("id", "k.key").repartition("key")
+    shared = chunks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    met = chunks.join(shared, "key", "left_semi").join(sigs, "id")
+    whole, wrong = _compared(met, met, ["key"], max_distance)
+    first = F.lit(-1)
+    for c in reversed(range(CHUNKS)):
+        first = F.when(wrong[c] == 0, c).otherwise(first)
+    whole = whole.filter((F.col("a") < F.col("b")) & (number == first)).select("a", "b", "distance")
+    if max_distance < CHUNKS:  # then some chunk is whole
+        return whole
+    keys = sigs.select("id", F.explode(_keys()).alias("k")).select("id", "k.key", "k.symbol").repartition("key")
+    # 256 symbols at most
+    mixed = keys.groupBy("key").agg(F.collect_set("symbol").alias("symbols")).filter("size(symbols) > 1")
+    met = keys.join(mixed, "key").join(sigs, "id")
+    low = met.withColumn("low", F.col("symbol")).withColumn("high", F.explode(F.filter("symbols", lambda x: x > F.col("symbol"))))
+    high = met.withColumn("high", F.col("symbol")).withColumn("low", F.explode(F.filter("symbols", lambda x: x < F.col("symbol"))))
+    near, wrong = _compared(low, high, ["key", "low", "high"], max_distance)
+    none = functools.reduce(Column.__and__, (w != 0 for w in wrong))
     first = F.lit(-1)
     for c in reversed(range(CHUNKS)):
-        where = F.when(wrong[c] == 0, F.lit(c * WIDTH))
+        where = F.when(F.bit_count(wrong[c]) != 1, first)
         for p in range(WIDTH):
             where = where.when(wrong[c] == F.lit(1 << (BITS * p)), F.lit(c * WIDTH + p))
-        first = where.otherwise(first)
-    return pairs.filter(F.shiftright("key", BITS * WIDTH).cast("int") == first).select("a", "b", "distance")
+        first = where
+    near = near.filter(none & (number == first)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+    return whole.unionByName(near)
 
 
 def _folded(docs: DataFrame, id_col: str, text_col: str, max_distance: int) -> tuple[DataFrame, DataFrame]:
