@@ -70,6 +70,20 @@ class ModelEncoder(Encoder):
         return out.withColumnRenamed("id", id_col)
 
 
+def apply_layers(vectors: DataFrame, functions: dict[str, Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
+    """(doc_id, name, emb): every vector (doc_id, emb) through each of the named functions of a batch of vectors, such as those of ``functions.layers``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                x = np.stack(frame["emb"].to_numpy()).astype(np.float64)
+                for name, function in functions.items():
+                    yield pd.DataFrame({"doc_id": frame["doc_id"], "name": name, "emb": list(function(x))})
+
+    kind = vectors.schema["doc_id"].dataType.simpleString()
+    return vectors.select("doc_id", "emb").filter("emb is not null").mapInPandas(run, f"doc_id {kind}, name string, emb array<double>")
+
+
 class HashingEncoder(ModelEncoder):
     """Signed hashes of words, unit length: repeatable and without a model. It claims no semantic quality."""
 

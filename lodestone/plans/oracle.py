@@ -284,12 +284,13 @@ def _encoded(texts: str, name: str = "") -> str:
     {n}ev AS MATERIALIZED (SELECT k.doc_id, k.c, k.i, coalesce(x / greatest(z, 1e-12), 0.0) AS x FROM (SELECT doc_id, c, unnest(range(0, 64)) AS i FROM {n}ch) k LEFT JOIN {n}hv h ON h.doc_id = k.doc_id AND h.c = k.c AND h.i = k.i LEFT JOIN {n}nm m ON m.doc_id = k.doc_id AND m.c = k.c)"""
 
 
-def unified() -> str:
+def unified_parts() -> tuple[str, str]:
+    """The tables that a search by routes needs, and the search."""
     extra = f"SELECT qid + 1000000 AS qid, CASE WHEN qid % 2 = 0 THEN 'serial ' ELSE '84729 ' END || ({spaced('text')})[5] AS text FROM q WHERE qid < 6"
     sets = f"{base()}, qx AS (SELECT * FROM q UNION ALL {extra}), {expansion('qx')}, {analysis('qx')}".replace("JOIN q USING (qid)", "JOIN qx USING (qid)")
     hybrid = f"{HITS}, {windows()}, {NORM_BODY}, {PHRASE}, {VEC}, {SIGNS}, {hybrid_q('qx')}".replace("FROM qs JOIN q USING", "FROM qs JOIN qx USING").replace("FROM q)", "FROM qx)")
-    return f"""WITH {sets}, {hybrid}, lx AS ({top(OVERLAP)}), hy AS ({top("SELECT * FROM fq")})
-    SELECT lx.*, 'PureLexical' AS route FROM lx JOIN an USING (qid) WHERE an.route = 'PureLexical' UNION ALL SELECT hy.*, 'FullHybrid' FROM hy JOIN an USING (qid) WHERE an.route = 'FullHybrid'"""
+    with_ = f"WITH {sets}, {hybrid}, lx AS ({top(OVERLAP)}), hy AS ({top('SELECT * FROM fq')})"
+    return with_, "SELECT lx.*, 'PureLexical' AS route FROM lx JOIN an USING (qid) WHERE an.route = 'PureLexical' UNION ALL SELECT hy.*, 'FullHybrid' FROM hy JOIN an USING (qid) WHERE an.route = 'FullHybrid'"
 
 
 def _fusion() -> str:
@@ -374,7 +375,7 @@ def oracle_sql() -> dict[str, str]:
         "full_hybrid_q": f"{lexical}, {HITS}, {windows()}, {NORM_BODY}, {PHRASE}, {VEC}, {SIGNS}, {hybrid_q()} {top('SELECT * FROM fq')}",
         "phrase_boost": f"WITH {base('text')}, {windows()}, {TEXT_BODY}, {PHRASE} SELECT qid, doc_id, boost FROM ph",
         "span_density": f"{lexical}, {density(top(OVERLAP))} SELECT qid, doc_id, round(density, 6) AS density FROM dn",
-        "unified_search": unified(),
+        "unified_search": " ".join(unified_parts()),
         "minmax_normalize": f"{lexical}, {VEC}, {_fusion()} SELECT qid, doc_id, score, round(norm, 6) AS norm FROM ({_minmax('sa', 'la')})",
         "score_confidence": f"{lexical}, {VEC}, {_fusion()} SELECT qid, round(confidence, 6) AS confidence FROM ({_confidence('sa', 'la')})",
         "confidence_fusion": f"{lexical}, {VEC}, {_fusion()}, ca AS ({_confidence('sa', 'both_')}), cb AS ({_confidence('sb', 'both_')}), na AS ({_minmax('sa', 'both_')}), nb AS ({_minmax('sb', 'both_')}) "
@@ -402,6 +403,9 @@ def oracle_sql() -> dict[str, str]:
         "encoded_search": f"WITH {p1().removeprefix('WITH ').split('SELECT doc_id, CAST(i AS INT)')[0].rstrip()}, {_encoded('SELECT doc_id * 100000 + i AS doc_id, p AS text FROM (SELECT doc_id, unnest(l) AS p, unnest(range(0, len(l))) AS i FROM ps)')}, {_encoded('SELECT item_id AS doc_id, text FROM benchmark', 'q')}, "
         "pv AS MATERIALIZED (SELECT doc_id // 100000 AS doc_id, list(CAST(x AS FLOAT)::DOUBLE ORDER BY i) AS v FROM ev WHERE c = 0 GROUP BY ev.doc_id), qw AS MATERIALIZED (SELECT doc_id AS qid, list(CAST(x AS FLOAT)::DOUBLE ORDER BY i) AS v FROM qev WHERE c = 0 GROUP BY 1) "
         + top("SELECT qid, pv.doc_id, max(greatest(0.0, list_inner_product(qw.v, pv.v))) AS score FROM qw, pv GROUP BY 1, 2"),
+        "layer_primitives": "WITH v AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS e FROM embeddings), f AS (SELECT doc_id, unnest(e) AS x, unnest(range(0, len(e))) AS i, list_avg(e) AS m, list_avg(list_transform(e, lambda y: y * y)) AS s, sqrt(list_inner_product(e, e)) AS z FROM v), "
+        "g AS (SELECT doc_id, i, unnest(['silu', 'sigmoid', 'elu_plus_one', 'rms_norm', 'layer_norm', 'l2_norm']) AS name, unnest([x / (1 + exp(-x)), 1 / (1 + exp(-x)), CASE WHEN x > 0 THEN x + 1 ELSE exp(x) END, x / sqrt(s + 1e-5), (x - m) / sqrt(s - m * m + 1e-12), x / greatest(z, 1e-12)]) AS x FROM f) SELECT doc_id, name, CAST(i AS INT) AS dim, round(x, 6) AS x FROM g",
+        "eval_driver": f"{unified_parts()[0]}, rk AS ({unified_parts()[1]}), {METRICS} SELECT qid, round(ndcg, 6) AS ndcg, round(ap, 6) AS ap, round(rr, 6) AS rr, round(recall, 6) AS recall, round(precision, 6) AS precision FROM mt",
         "eval_top1": f"{ranked}, rl AS ({EXACT}) SELECT a.qid, r.doc_id, rl.doc_id IS NOT NULL AS correct FROM (SELECT DISTINCT qid FROM rl) a LEFT JOIN (SELECT * FROM rk WHERE rank = 1) r ON a.qid = r.qid LEFT JOIN rl ON rl.qid = r.qid AND rl.doc_id = r.doc_id",
         "eval_extended": f"{ranked}, rl AS ({EXACT}), tp AS (SELECT a.qid, r.doc_id, rl.doc_id IS NOT NULL AS correct, want FROM (SELECT qid, min(doc_id) AS want FROM rl GROUP BY 1) a LEFT JOIN (SELECT * FROM rk WHERE rank = 1) r ON a.qid = r.qid LEFT JOIN rl ON rl.qid = r.qid AND rl.doc_id = r.doc_id), "
         f"kw AS (SELECT item_id AS qid, {keywords('text', 4)} AS l FROM benchmark) SELECT qid, tp.doc_id, correct, coalesce(NOT correct AND len(l) > 0 AND len(list_filter(l, lambda w: contains(lower(d.text), w))) >= len(l) // 2 AND len(list_filter(l, lambda w: contains(lower(x.text), w))) >= len(l) // 2, false) AS extended FROM tp LEFT JOIN kw USING (qid) LEFT JOIN documents d ON d.doc_id = tp.doc_id LEFT JOIN documents x ON x.doc_id = want",

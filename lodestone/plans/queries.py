@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..encoder import HashingEncoder
+from ..encoder import HashingEncoder, apply_layers
+from ..functions import layers
 from ..functions import text as tx
 from ..functions import vector as vx
 from ..operators import analyze, dense, evaluate, hdc, hybrid, index, lexical, ranking
@@ -552,6 +553,11 @@ def encoded_search(s, d):
     return dense.maxsim(asked, tables.written(encoder.encode(passages).select("doc_id", "emb"), "passages"), K)
 
 
+def layer_primitives(s, d):
+    made = apply_layers(Bound(s, d).vectors, {"silu": layers.silu, "sigmoid": layers.sigmoid, "elu_plus_one": layers.elu_plus_one, "rms_norm": layers.rms_norm, "layer_norm": layers.layer_norm, "l2_norm": layers.l2_norm})
+    return _six(made.select("doc_id", "name", F.posexplode("emb").alias("dim", "x")), "x")
+
+
 # ---- evaluation
 
 
@@ -574,6 +580,15 @@ def eval_ndcg_mrr_recall(s, d):
     return _six(evaluate.metrics(_ranked(b), b.qrels(), K), "ndcg", "ap", "rr", "recall", "precision")
 
 
+def eval_driver(s, d):
+    """An index built, all queries searched by their routes, and the results judged."""
+    from ..api import Index
+
+    b = Bound(s, d)
+    made = Index(b.docs, vectors=b.vectors).save(tables.scratch(s, "index"))
+    return _six(made.evaluate(_mixed(b), b.qrels(), b.query_vectors, K), "ndcg", "ap", "rr", "recall", "precision")
+
+
 def eval_split_means(s, d):
     b = Bound(s, d, kept=True)
     return _six(evaluate.mean_of_splits(evaluate.metrics(_ranked(b), b.qrels(), K).withColumn("split", F.col("qid") % 3), "split", "ndcg"), "score")
@@ -597,5 +612,5 @@ NAMES = (
     "query_analysis fuzzy_expand query_route forced_route pure_lexical_topk exact_search count_instances kv_extract context_snippet keyword_overlap "
     "l2_norm matryoshka_16 matryoshka_32 corpus_mean dynamic_scale dense_topk passage_maxsim_dense similarity_matrix sign_quantize hamming_candidates hamming_topk hamming_16view_topk passage_maxsim_hamming "
     "hybrid_candidates full_hybrid_t legacy_blend legacy_alpha full_hybrid_q phrase_boost span_density unified_search minmax_normalize score_confidence confidence_fusion "
-    "hypervector_fusion hdc_bind hdc_bundle hdc_search hdc_extract hdc_recall hdc_query_pattern hdc_validate hdc_project persist_texts half_vectors index_reopened external_idf keyword_bonus encode_texts encoded_search eval_top1 eval_extended eval_ndcg_mrr_recall eval_split_means sts_pearson_spearman scaling_regression"
+    "hypervector_fusion hdc_bind hdc_bundle hdc_search hdc_extract hdc_recall hdc_query_pattern hdc_validate hdc_project persist_texts half_vectors index_reopened external_idf keyword_bonus encode_texts encoded_search layer_primitives eval_driver eval_top1 eval_extended eval_ndcg_mrr_recall eval_split_means sts_pearson_spearman scaling_regression"
 ).split()

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 CORPUS = "doc_id string, text string"
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share; a temporary one is made on a local master only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,7 +28,15 @@ def scratch(spark: SparkSession, name: str) -> str:
         where = tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove the scratch tables made so far; results that read them must have been written by then."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
