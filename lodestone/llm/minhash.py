@@ -3,14 +3,14 @@
 A signature has 48 symbols of 8 bits, one for each of 48 hash functions over a document's set of word pairs. It is
 split into 8 chunks of 6 symbols, each kept in one BIGINT. Two signatures that differ in at most 15 symbols differ in
 at most one symbol of some chunk (8 chunks of two errors would be 16). So every such pair shares a whole chunk, or else a key made of a
-chunk with one symbol left out, and differs in that symbol. Each document emits its 8 chunks and its 48 keys. Documents that share a
-chunk are compared in full, and of documents that share a key only those with different symbols there: near copies that agree in
-most chunks meet by these alone. A pair is reported only from the first chunk, or else the first key, that it shares. No pair within the distance is missed, and none
-is found through a cap or a sample.
+chunk with one symbol left out, and differs in that symbol. Each signature emits its 8 chunks and its 48 keys. Those that can make a pair
+are brought together, and all rows of one are compared with each other in numpy. A pair counts only under the first chunk, or else
+the first key, that it shares. No pair within the distance is missed, and none is found through a cap or a sample.
 
 Equal signatures are first folded into one representative (the smallest id), so a group of identical copies costs its
 size and not its square. ``near_duplicates`` gives one row a document: its group and the number of its links, which are
-counted between representatives and weighed by how many documents stand behind them.
+counted between signatures and weighed by how many documents stand behind them. Near copies that all differ are compared pair by pair,
+but what leaves a key is a row for each of its signatures (the smallest id it is connected to there, and its links), never a row a pair.
 
 Defined results: a document whose text is null, empty or without any letter or digit has no signature, is nobody's
 duplicate and is a group of its own. Rows with a null id are left out. Rows repeating an id are one document: it has the
@@ -21,7 +21,6 @@ Further columns of any name are ignored by the search and kept by ``keep_one``.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +36,8 @@ SYMBOLS = CHUNKS * WIDTH
 #: Symbols in which a near copy may differ: the most for which one error a chunk is sure to suffice.
 MAX_DISTANCE = 2 * CHUNKS - 1
 SHINGLE_WORDS = 2
+#: Pairs under keys of at most so many rows are listed and compared, so many at a time; under larger keys, rows against rows in blocks of so many pairs.
+LISTED_ROWS, LISTED_PAIRS, BLOCK_PAIRS = 64, 1 << 16, 1 << 19
 _ONES = int.from_bytes(b"\x01" * WIDTH, "little")
 _rng = np.random.default_rng(20240611)
 _FLIP = _rng.integers(0, 1 << 32, SYMBOLS, np.uint32)
@@ -81,97 +82,235 @@ def signature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.mapInArrow(_sign, "id bigint, " + ", ".join(f"{c} bigint" for c in _COLUMNS))
 
 
-def _wrong(x: Column) -> Column:
-    """A 1 in the lowest bit of each byte of ``x`` that isn't zero."""
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 4))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-    return x.bitwiseAND(F.lit(_ONES))
+def _chunk_keys() -> list[Column]:
+    """The whole chunks; a key's number goes into the two bytes that its chunk leaves free, so a key is one BIGINT."""
+    return [F.struct(F.col(_COLUMNS[c]).bitwiseOR(F.lit(c << (BITS * WIDTH))).alias("key"), F.lit(0).alias("symbol")) for c in range(CHUNKS)]
 
 
-def _chunk_keys() -> Column:
-    """The whole chunks; a chunk's number goes into the two bytes that it leaves free, so a key is one BIGINT."""
-    return F.array(*(F.struct(F.col(_COLUMNS[c]).bitwiseOR(F.lit(c << (BITS * WIDTH))).alias("key"), F.lit(0).alias("symbol")) for c in range(CHUNKS)))
-
-
-def _keys() -> Column:
-    """The chunks with one symbol left out, and that symbol."""
+def _keys() -> list[Column]:
+    """The chunks with one symbol left out, and that symbol; they are numbered behind the whole chunks."""
     keys = []
     for at in range(SYMBOLS):
         c, p = divmod(at, WIDTH)
         rest = F.col(_COLUMNS[c]).bitwiseAND(F.lit(~(((1 << BITS) - 1) << (BITS * p)) & ((1 << (BITS * WIDTH)) - 1)))
         symbol = F.shiftright(_COLUMNS[c], BITS * p).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
-        keys.append(F.struct(rest.bitwiseOR(F.lit(at << (BITS * WIDTH))).alias("key"), symbol.alias("symbol")))
-    return F.array(*keys)
+        keys.append(F.struct(rest.bitwiseOR(F.lit((CHUNKS + at) << (BITS * WIDTH))).alias("key"), symbol.alias("symbol")))
+    return keys
+
+
+def _buckets(rows: DataFrame, max_distance: int) -> DataFrame:
+    """(key, h, id, n, s0..s7): rows of (h, id, n, s0..s7) under each key that can make a pair, a key's rows together and by id."""
+    keys = _chunk_keys() + (_keys() if max_distance >= CHUNKS else [])  # below that some chunk is whole
+    keyed = rows.select("h", F.explode(F.array(*keys)).alias("k")).select("h", "k.key", "k.symbol").repartition("key")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("symbol").alias("low"), F.max("symbol").alias("high"))
+    shared = shared.filter((F.col("low") < F.col("high")) | ((F.col("n") > 1) & (F.col("key") < F.lit(CHUNKS << (BITS * WIDTH))))).select("key")
+    met = keyed.join(shared, "key", "left_semi").select("h", "key").join(rows, "h")
+    return met.select("key", "h", "id", "n", *_COLUMNS).repartition("key").sortWithinPartitions("key", "id")
 
 
-def _compared(a: DataFrame, b: DataFrame, on: list[str], max_distance: int) -> tuple[DataFrame, list[Column]]:
-    """Rows of two sides joined, within the distance, and what is wrong in each chunk."""
-    one = a.select(*on, F.col("id").alias("a"), *(F.col(c).alias(f"a{c}") for c in _COLUMNS))
-    two = b.select(*on, F.col("id").alias("b"), *(F.col(c).alias(f"b{c}") for c in _COLUMNS))
-    wrong = [_wrong(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _COLUMNS]
-    pairs = one.join(two, on).withColumn("distance", functools.reduce(Column.__add__, (F.bit_count(w) for w in wrong)).cast("int"))
-    return pairs.filter(F.col("distance") <= max_distance), wrong
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that are sorted by their first column again, no key in two parts."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut or (held and last != key[-1]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+        last = key[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pairs_listed(number: np.ndarray, end: np.ndarray, words: np.ndarray, rows: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows i < j and their distance, of ``rows`` and those behind them up to ``end``, compared one by one."""
+    partners = end[rows] - rows - 1
+    for u, v in slices(np.concatenate([np.zeros(1, np.int64), np.cumsum(partners)]), LISTED_PAIRS):
+        n = partners[u:v]
+        i = np.repeat(rows[u:v], n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        x = words[i] ^ words[j]
+        for bits in (4, 2, 1):
+            x |= x >> np.uint64(bits)
+        wrong = np.bitwise_count(x & np.uint64(_ONES))
+        distance = wrong.sum(1)
+        own = number[i]
+        whole = own < CHUNKS
+        at = np.where(whole, own, (own - CHUNKS) // WIDTH)
+        first = distance <= most
+        for c in range(CHUNKS):
+            first &= np.where(whole, (c >= at) | (wrong[:, c] > 0), wrong[:, c] > (c < at))
+        yield i[first], j[first], distance[first]
+
+
+def _pairs_in_blocks(number: int, symbols: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For runs of rows of one key (symbols x rows): where the run begins, which rows from there on are its pairs, and the distances."""
+    m = symbols.shape[1]
+    step = max(1, BLOCK_PAIRS // m)
+    at = number if number < CHUNKS else (number - CHUNKS) // WIDTH
+    for s in range(0, m, step):
+        left, right = symbols[:, s : s + step, None], symbols[:, None, s:]
+        distance = np.zeros((left.shape[1], m - s), np.uint8)
+        first = np.ones(distance.shape, np.bool_)
+        for c in range(CHUNKS):
+            wrong = np.zeros(distance.shape, np.uint8)
+            for k in range(c * WIDTH, (c + 1) * WIDTH):
+                wrong += (left[k] != right[k]).view(np.uint8)
+            distance += wrong
+            if number >= CHUNKS:
+                first &= wrong > (c < at)
+            elif c < at:
+                first &= wrong > 0
+        first &= distance <= most
+        b = left.shape[1]
+        first[:, :b] = np.triu(first[:, :b], 1)
+        yield s, first, distance
+
+
+def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels, each the lowest row of a component, after the pairs (i, j) are joined."""
+    while len(i):
+        old, low = label.copy(), np.minimum(label[i], label[j])
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if np.array_equal(label, old):
+            break
+    return label
+
+
+def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's key number, the end of its key's rows, id, documents and signature."""
+    key, ids, n = (table.column(k).to_numpy() for k in ("key", "id", "n"))
+    begin = np.flatnonzero(np.concatenate([np.ones(1, np.bool_), key[1:] != key[:-1]]))
+    size = np.diff(np.append(begin, len(key)))
+    words = np.ascontiguousarray(np.column_stack([table.column(c).to_numpy() for c in _COLUMNS])).view(np.uint64)
+    return key >> (BITS * WIDTH), np.repeat(begin + size, size), ids, n, words
+
+
+def _large(number: np.ndarray, end: np.ndarray, words: np.ndarray, listed: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """Beginning, end, number and symbols of the keys of more than ``listed`` rows."""
+    begin = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(end[1:] != end[:-1]) + 1])
+    for s in begin[end[begin] - begin > listed]:
+        e = int(end[s])
+        symbols = words[s:e].view(np.uint8).reshape(e - s, CHUNKS, 8)[:, :, :WIDTH].reshape(e - s, SYMBOLS)
+        yield int(s), e, int(number[s]), np.ascontiguousarray(symbols.T)
+
+
+def _few(end: np.ndarray, listed: int) -> np.ndarray:
+    """The rows of keys of at most ``listed`` rows."""
+    _, at, size = np.unique(end, return_inverse=True, return_counts=True)
+    return np.flatnonzero(size[at] <= listed)
+
+
+def pairs_met(table: pa.Table, most: int, listed: int = 0) -> Iterator[pa.RecordBatch]:
+    """(a, b, distance) with a < b: pairs of different ids that meet first under one of these whole keys."""
+    number, end, ids, _, words = _columns(table)
+    listed = listed or LISTED_ROWS
+    found = list(_pairs_listed(number, end, words, _few(end, listed), most))
+    for s, _, own, symbols in _large(number, end, words, listed):
+        for t, first, distance in _pairs_in_blocks(own, symbols, most):
+            i, j = np.nonzero(first)
+            found.append((i + s + t, j + s + t, distance[first]))
+    for i, j, distance in found:
+        a, b = ids[i], ids[j]
+        other = a != b
+        yield pa.RecordBatch.from_arrays([pa.array(x[other]) for x in (np.minimum(a, b), np.maximum(a, b), distance.astype(np.int32))], names=["a", "b", "distance"])
+
+
+def links_met(table: pa.Table, most: int, listed: int = 0) -> pa.RecordBatch:
+    """(h, id, root, links) of the rows that are in such a pair: the smallest id that they are connected to within the key, and the documents behind their partners."""
+    number, end, ids, n, words = _columns(table)
+    listed = listed or LISTED_ROWS
+    links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    for i, j, _ in _pairs_listed(number, end, words, _few(end, listed), most):
+        other = ids[i] != ids[j]
+        i, j = i[other], j[other]
+        np.add.at(links, i, n[j])
+        np.add.at(links, j, n[i])
+        label = _joined(label, i, j)
+    for s, e, own, symbols in _large(number, end, words, listed):
+        for t, first, _ in _pairs_in_blocks(own, symbols, most):
+            t += s
+            b = len(first)
+            first &= ids[t : t + b, None] != ids[None, t:e]
+            if not first.any():
+                continue
+            weights = first.astype(np.float64)  # sums below 2^53 are exact
+            links[t : t + b] += (weights @ n[t:e].astype(np.float64)).astype(np.int64)
+            links[t:e] += (n[t : t + b].astype(np.float64) @ weights).astype(np.int64)
+            for r in np.flatnonzero(first.any(1)):
+                around = label[t:e][first[r]]
+                if (around != label[t + r]).any():
+                    roots = np.unique(np.append(around, label[t + r]))
+                    own_labels = label[s:e]
+                    own_labels[np.isin(own_labels, roots)] = roots[0]
+    paired = links > 0
+    return pa.RecordBatch.from_arrays([table.column("h").combine_chunks().filter(pa.array(paired)), pa.array(ids[paired]), pa.array(ids[label[paired]]), pa.array(links[paired])], names=["h", "id", "root", "links"])
+
+
+def _pairs(rows: DataFrame, max_distance: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_keys(batches):
+            yield from pairs_met(table, max_distance)
+
+    return _buckets(rows, max_distance).mapInArrow(run, "a bigint, b bigint, distance int")
+
+
+def _links(rows: DataFrame, max_distance: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_keys(batches):
+            yield links_met(table, max_distance)
+
+    return _buckets(rows, max_distance).mapInArrow(run, "h bigint, id bigint, root bigint, links bigint")
 
 
 def distinct_pairs(sigs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(a, b, distance) with a < b: all pairs of rows of (id, s0..s7) within the distance."""
     if not 0 <= max_distance <= MAX_DISTANCE:
         raise ValueError(f"the key scheme guarantees distances of 0 to {MAX_DISTANCE}")
-    number = F.shiftright("key", BITS * WIDTH).cast("int")
-    chunks = sigs.select("id", F.explode(_chunk_keys()).alias("k")).select("id", "k.key").repartition("key")
-    shared = chunks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    met = chunks.join(shared, "key", "left_semi").join(sigs, "id")
-    whole, wrong = _compared(met, met, ["key"], max_distance)
-    first = F.lit(-1)
-    for c in reversed(range(CHUNKS)):
-        first = F.when(wrong[c] == 0, c).otherwise(first)
-    whole = whole.filter((F.col("a") < F.col("b")) & (number == first)).select("a", "b", "distance")
-    if max_distance < CHUNKS:  # then some chunk is whole
-        return whole
-    keys = sigs.select("id", F.explode(_keys()).alias("k")).select("id", "k.key", "k.symbol").repartition("key")
-    # 256 symbols at most
-    mixed = keys.groupBy("key").agg(F.collect_set("symbol").alias("symbols")).filter("size(symbols) > 1")
-    met = keys.join(mixed, "key").join(sigs, "id")
-    low = met.withColumn("low", F.col("symbol")).withColumn("high", F.explode(F.filter("symbols", lambda x: x > F.col("symbol"))))
-    high = met.withColumn("high", F.col("symbol")).withColumn("low", F.explode(F.filter("symbols", lambda x: x < F.col("symbol"))))
-    near, wrong = _compared(low, high, ["key", "low", "high"], max_distance)
-    none = functools.reduce(Column.__and__, (w != 0 for w in wrong))
-    first = F.lit(-1)
-    for c in reversed(range(CHUNKS)):
-        where = F.when(F.bit_count(wrong[c]) != 1, first)
-        for p in range(WIDTH):
-            where = where.when(wrong[c] == F.lit(1 << (BITS * p)), F.lit(c * WIDTH + p))
-        first = where
-    near = near.filter(none & (number == first)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
-    return whole.unionByName(near)
-
-
-def _folded(docs: DataFrame, id_col: str, text_col: str, max_distance: int) -> tuple[DataFrame, DataFrame]:
-    """(id, head, n) of every signature, n documents standing behind a head, and (a, b, distance) between heads; both written."""
+    rows, _ = written(sigs.select(F.monotonically_increasing_id().alias("h"), "id", F.lit(1).cast("bigint").alias("n"), *_COLUMNS), "rows")
+    return _pairs(rows, max_distance)
+
+
+def _folded(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, str]:
+    """(id, h, head, n) of every signature of an id, and (h, id, n, s0..s7) of every signature: its number, its smallest id, its documents; both written."""
     sigs, path = written(signature_table(docs, id_col, text_col).distinct(), "signatures")
-    heads, heads_path = written(sigs.groupBy(*_COLUMNS).agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")), "heads")
-    member, _ = written(sigs.join(heads, _COLUMNS).select("id", "head", "n"), "members")
-    # an id of several texts may head several signatures: the smallest distance counts
-    near = distinct_pairs(heads.select(F.col("head").alias("id"), *_COLUMNS), max_distance).groupBy("a", "b").agg(F.min("distance").alias("distance"))
-    near, _ = written(near, "pairs")
+    heads = sigs.groupBy(*_COLUMNS).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    heads, heads_path = written(heads.select(F.monotonically_increasing_id().alias("h"), "id", "n", *_COLUMNS), "heads")
+    member, _ = written(sigs.join(heads.withColumnRenamed("id", "head"), _COLUMNS).select("id", "h", "head", "n"), "members")
     drop_path(docs.sparkSession, path)
-    drop_path(docs.sparkSession, heads_path)
-    return member, near
+    return member, heads, heads_path
 
 
-def _edges(member: DataFrame, near: DataFrame) -> DataFrame:
-    copies = member.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
-    return near.select("a", "b", "distance").unionByName(copies)
+def _copies(member: DataFrame) -> DataFrame:
+    return member.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, max_distance: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, h, head, n) of every signature of an id, (h, links) of those near others, and edges (a, b) that connect what is near; rows in proportion to the documents."""
+    member, heads, path = _folded(docs, id_col, text_col)
+    found, _ = written(_links(heads, max_distance), "links")
+    drop_path(docs.sparkSession, path)
+    edges = found.filter("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct()
+    return member, found.groupBy("h").agg(F.sum("links").alias("links")), edges.unionByName(_copies(member))
 
 
 def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(a, b, distance) with a < b: all near-duplicate pairs.
 
     Documents with equal signatures stand behind the smallest id among them: they have one row each, to that id, with
-    distance 0, and the other rows are between such representatives. All pairs follow from these rows.
+    distance 0, and the other rows are between such representatives. All pairs follow from these rows, as many as there are.
     """
-    return _edges(*_folded(docs, id_col, text_col, max_distance)).groupBy("a", "b").agg(F.min("distance").alias("distance"))
+    member, heads, path = _folded(docs, id_col, text_col)
+    near, _ = written(_pairs(heads, max_distance), "pairs")
+    drop_path(docs.sparkSession, path)
+    # an id of several texts may head several signatures: the smallest distance counts
+    return near.unionByName(_copies(member).withColumn("distance", F.lit(0))).groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -199,12 +338,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(doc_id, group_id, n_links) of every id: the smallest id of its group, and how many other documents are within the distance."""
-    member, near = _folded(docs, id_col, text_col, max_distance)
-    groups = components(_edges(member, near).select("a", "b"))
-    size = member.select("head", "n").distinct().groupBy("head").agg(F.sum("n").alias("n"))
-    both = near.select("a", "b").union(near.select("b", "a"))
-    around = both.join(size.withColumnRenamed("head", "b"), "b").groupBy(F.col("a").alias("head")).agg(F.sum("n").alias("around"))
-    own = member.join(around, "head", "left").groupBy("id").agg(F.sum(F.col("n") - 1 + F.coalesce("around", F.lit(0))).alias("n_links"))
+    member, links, edges = _linked(docs, id_col, text_col, max_distance)
+    groups = components(edges)
+    own = member.join(links, "h", "left").groupBy("id").agg(F.sum(F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     ids = docs.select(F.col(id_col).cast("bigint").alias("id")).filter("id is not null").distinct()
     out = ids.join(own, "id", "left").join(groups, "id", "left")
     return out.select(F.col("id").alias("doc_id"), F.coalesce("group_id", "id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -232,6 +368,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     Of rows that repeat both id and text one stays, also where the id is null. Other rows with a null id, and rows with a null text, stay.
     Of rows that repeat an id with several texts all stay or all go.
     """
-    groups = components(_edges(*_folded(docs, id_col, text_col, max_distance)).select("a", "b"))
+    groups = components(near_pairs(docs, id_col, text_col, max_distance).select("a", "b"))
     side = sized(groups.filter("id <> group_id").select(F.col("id").alias("_lodestone_copy")), "copies")
     return _one_of_repeats(docs, id_col, text_col).join(side, F.col(id_col).cast("bigint") == side["_lodestone_copy"], "left_anti")

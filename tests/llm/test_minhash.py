@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,79 @@ def test_odd_rows(spark):
     ids = [r.doc_id for r in mh.keep_one(more).collect()]
     assert sorted(i for i in ids if i is not None) == [1, 1, 2, 2, 3, 4, 5, 6, 7, 9] and ids.count(None) == 2
     assert mh.near_duplicates(df.limit(0)).count() == 0 and mh.keep_one(df.limit(0)).count() == 0
+
+
+def crowd(rng, n):
+    """Near copies of one text that nearly all differ."""
+    words = [f"v{i}" for i in range(400)]
+    return [" ".join(edited(rng, words, 12)) for _ in range(n)]
+
+
+def rows_of_tables(monkeypatch):
+    seen, own = [], mh.written
+
+    def counted(df, name):
+        table, path = own(df, name)
+        seen.append(table.count())
+        return table, path
+
+    monkeypatch.setattr(mh, "written", counted)
+    return seen
+
+
+def test_links_of_a_crowd_without_a_row_a_pair(spark, monkeypatch):
+    texts = crowd(random.Random(4), 400)
+    rows = [*enumerate(texts + texts[:40], 5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    sig = {r.id: tuple(r)[1:] for r in mh.signature_table(df).collect()}
+    ids = sorted(sig)
+    symbols = np.array([sig[i] for i in ids]).view(np.uint8).reshape(len(ids), 8, 8)[:, :, :6].reshape(len(ids), 48)
+    near = (symbols[:, None] != symbols[None]).sum(2) <= mh.MAX_DISTANCE
+    assert len(set(sig.values())) > 300 and near.sum() > 150_000
+    seen = rows_of_tables(monkeypatch)
+    got = {r.doc_id: (r.group_id, r.n_links) for r in mh.near_duplicates(df).collect()}
+    assert got == {i: (5, int(n) - 1) for i, n in zip(ids, near.sum(1))}
+    assert max(seen) <= (mh.CHUNKS + mh.SYMBOLS) * len(rows)
+
+
+@pytest.mark.parametrize("number", [0, 5, mh.CHUNKS + 13])
+def test_listed_pairs_and_blocks_of_a_key_against_a_loop(number):
+    rng = random.Random(number)
+    base = bytes(rng.randrange(256) for _ in range(48))
+    places = [*range(number * 6, number * 6 + 6)] if number < mh.CHUNKS else [x for x in range(12, 18) if x != number - mh.CHUNKS]
+    sigs = []
+    for _ in range(150):
+        own = bytearray(base)
+        for at in rng.sample(range(48), rng.randrange(24)):
+            own[at] = rng.choice((own[at], own[at] ^ 1, rng.randrange(256)))
+        for at in places:
+            own[at] = base[at]
+        sigs.append(bytes(own))
+    columns = {f"s{c}": [int.from_bytes(s[6 * c : 6 * c + 6], "little") for s in sigs] for c in range(8)}
+    ids, n = [i // 2 for i in range(150)], [rng.randint(1, 4) for _ in sigs]
+    table = pa.table({"key": [number << 48] * 150, "h": [*range(150)], "id": ids, "n": n, **columns})
+    want = {}
+    for i in range(150):
+        for j in range(i):
+            wrong = [sum(x != y for x, y in zip(sigs[i][k : k + 6], sigs[j][k : k + 6])) for k in range(0, 48, 6)]
+            kind = [c for c in range(8) if wrong[c] == 0]
+            first = kind[0] if kind else next((mh.CHUNKS + 6 * c + next(p for p in range(6) if sigs[i][6 * c + p] != sigs[j][6 * c + p]) for c in range(8) if wrong[c] == 1), -1)
+            if sum(wrong) <= mh.MAX_DISTANCE and first == number and ids[i] != ids[j]:
+                want[j, i] = sum(wrong)
+    assert len(want) > 50
+    links = [sum(n[sum(p) - i] for p in want if i in p) for i in range(150)]
+    for listed in (1, 1000):
+        got = sorted(r for b in mh.pairs_met(table, mh.MAX_DISTANCE, listed) for r in zip(*b.to_pydict().values()))
+        assert got == sorted((ids[j], ids[i], d) for (j, i), d in want.items())
+        found = mh.links_met(table, mh.MAX_DISTANCE, listed).to_pydict()
+        assert dict(zip(found["h"], found["links"])) == {i: x for i, x in enumerate(links) if x}
+        groups = dict(zip(found["h"], found["root"]))
+        assert all(groups[i] == groups[j] for i, j in want) and all(root <= ids[h] for h, root in groups.items())
+
+
+def test_links_of_an_id_with_several_texts(spark):
+    rng = random.Random(9)
+    one, two = ([f"{w}{i}" for i in range(300)] for w in "ab")
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join(one)), (3, " ".join(edited(rng, two, 3)))]
+    got = {tuple(r) for r in mh.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(1, 1, 2), (2, 1, 1), (3, 1, 1)}
