@@ -368,6 +368,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     Of rows that repeat both id and text one stays, also where the id is null. Other rows with a null id, and rows with a null text, stay.
     Of rows that repeat an id with several texts all stay or all go.
     """
-    groups = components(near_pairs(docs, id_col, text_col, max_distance).select("a", "b"))
+    _, _, edges = _linked(docs, id_col, text_col, max_distance)
+    groups = components(edges)
     side = sized(groups.filter("id <> group_id").select(F.col("id").alias("_lodestone_copy")), "copies")
     return _one_of_repeats(docs, id_col, text_col).join(side, F.col(id_col).cast("bigint") == side["_lodestone_copy"], "left_anti")

@@ -208,3 +208,12 @@ def test_links_of_an_id_with_several_texts(spark):
     rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join(one)), (3, " ".join(edited(rng, two, 3)))]
     got = {tuple(r) for r in mh.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(1, 1, 2), (2, 1, 1), (3, 1, 1)}
+
+
+def test_one_of_a_crowd_stays_without_a_row_a_pair(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [*enumerate(crowd(rng, 400), 7)] + [(1000, "something else"), (None, "no id")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    seen = rows_of_tables(monkeypatch)
+    assert {r.doc_id for r in mh.keep_one(df).collect()} == {7, 1000, None}
+    assert max(seen) <= (mh.CHUNKS + mh.SYMBOLS) * len(rows)
