@@ -101,10 +101,12 @@ def _keys() -> list[Column]:
 def _buckets(rows: DataFrame, max_distance: int) -> DataFrame:
     """(key, h, id, n, s0..s7): rows of (h, id, n, s0..s7) under each key that can make a pair, a key's rows together and by id."""
     keys = _chunk_keys() + (_keys() if max_distance >= CHUNKS else [])  # below that some chunk is whole
-    keyed = rows.select("h", F.explode(F.array(*keys)).alias("k")).select("h", "k.key", "k.symbol").repartition("key")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("symbol").alias("low"), F.max("symbol").alias("high"))
-    shared = shared.filter((F.col("low") < F.col("high")) | ((F.col("n") > 1) & (F.col("key") < F.lit(CHUNKS << (BITS * WIDTH))))).select("key")
-    met = keyed.join(shared, "key", "left_semi").select("h", "key").join(rows, "h")
+    keyed = rows.select("h", F.explode(F.array(*keys)).alias("k")).select("h", "k.key", "k.symbol")
+    # counted where they are filtered: a second, joined side would make and move all keys again
+    own = Window.partitionBy("key")
+    keyed = keyed.select("h", "key", F.count(F.lit(1)).over(own).alias("met"), F.min("symbol").over(own).alias("low"), F.max("symbol").over(own).alias("high"))
+    shared = keyed.filter((F.col("low") < F.col("high")) | ((F.col("met") > 1) & (F.col("key") < F.lit(CHUNKS << (BITS * WIDTH)))))
+    met = shared.select("h", "key").join(rows, "h")
     return met.select("key", "h", "id", "n", *_COLUMNS).repartition("key").sortWithinPartitions("key", "id")
 
 

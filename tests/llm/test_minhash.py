@@ -217,3 +217,15 @@ def test_one_of_a_crowd_stays_without_a_row_a_pair(spark, monkeypatch):
     seen = rows_of_tables(monkeypatch)
     assert {r.doc_id for r in mh.keep_one(df).collect()} == {7, 1000, None}
     assert max(seen) <= (mh.CHUNKS + mh.SYMBOLS) * len(rows)
+
+
+def test_keys_are_made_and_moved_once(spark):
+    sigs = random_signatures(random.Random(5), 2)
+    df = spark.createDataFrame([(i, i, 1, *s) for i, s in enumerate(sigs)], "h bigint, id bigint, n bigint, " + ", ".join(f"s{c} bigint" for c in range(8)))
+    buckets = mh._buckets(df, mh.MAX_DISTANCE)
+    plan = buckets._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1
+    keys = {}
+    for r in buckets.collect():
+        keys.setdefault(r.key, []).append(r.h)
+    assert keys and all(len(own) > 1 and len(own) == len(set(own)) for own in keys.values())
