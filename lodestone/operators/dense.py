@@ -243,6 +243,7 @@ def nearest_bits(queries: DataFrame, vectors: DataFrame, k: int, bits: Callable[
     """(qid, doc_id, score): at least the ``k`` best by 1 - share of differing bits of (qid, q) and (doc_id, v), of ``bits(words)`` bits each."""
 
     def product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return 1 - _differing(q, x) / float(bits(q.shape[-1]))
+        own, back = np.unique(x, axis=0, return_inverse=True)  # equal vectors are compared once
+        return (1 - _differing(q, own) / float(bits(q.shape[-1])))[:, back.ravel()]
 
     return _products(queries, vectors, "q", "v", np.int64, product, k)

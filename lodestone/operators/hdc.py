@@ -6,10 +6,12 @@ or an aggregate. Names seed their patterns, so the same name has the same patter
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from .ranking import top_k
 
 WORDS, WORD_BITS = 167, 60
 BITS = WORDS * WORD_BITS
+#: A Python worker keeps so many patterns, or bundles, that it made; it makes or projects at most so many rows at a time.
+KEPT, ROWS = 4096, 256
 
 
 def pattern(name: Column, words: int = WORDS) -> Column:
@@ -50,9 +54,53 @@ def bundle(rows: DataFrame, *by: str, vector: str = "v") -> DataFrame:
     return sums.select(*by, "i", word.alias("w")).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda s: s["w"]).alias("v"))
 
 
+def _seeded(name: str, words: int) -> np.ndarray:
+    return np.array([int(hashlib.md5(f"{name}:{i}".encode()).hexdigest()[:15], 16) for i in range(words)], np.int64)
+
+
+def _majority(patterns: Iterator[np.ndarray], n: int) -> np.ndarray:
+    """``bundle`` of ``n`` patterns."""
+    at = np.arange(WORD_BITS)
+    counts = sum(p[:, None] >> at & 1 for p in patterns)
+    return ((counts > n // 2).astype(np.int64) << at).sum(1)
+
+
 def encode_documents(attributes: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, v) from (doc_id, key, value): the bundle of each key bound with its value."""
-    return bundle(attributes.select("doc_id", bind(pattern(F.col("key"), words), pattern(F.col("value"), words)).alias("v")), "doc_id")
+    """(doc_id, v) from (doc_id, key, value): the bundle of each key bound with its value; a pair without either doesn't count.
+
+    Only names are brought together: a document's patterns are made and bundled where its pairs are, once for the documents that share them.
+    """
+    named = attributes.select("doc_id", F.struct(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value")).alias("p"))
+    # the pairs are far smaller than what is made of them: as many tasks as there are partitions, however few bytes these have
+    parts = int(attributes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = named.filter("p.key is not null and p.value is not null").repartition(parts, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("pairs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns: dict[str, np.ndarray] = {}
+        bundles: dict[tuple, np.ndarray] = {}
+
+        def of(name: str) -> np.ndarray:
+            if name not in patterns:
+                if len(patterns) >= KEPT:
+                    patterns.clear()
+                patterns[name] = _seeded(name, words)
+            return patterns[name]
+
+        def bundled(own: tuple) -> np.ndarray:
+            if own not in bundles:
+                if len(bundles) >= KEPT:
+                    bundles.clear()
+                bundles[own] = _majority((of(k) ^ of(v) for k, v in own), len(own))
+            return bundles[own]
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                made = np.stack([bundled(tuple((p["key"], p["value"]) for p in own)) for own in part.column(1).to_pylist()])
+                offsets = pa.array(np.arange(0, made.size + 1, words), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(made.ravel()))], names=["doc_id", "v"])
+
+    return pairs.mapInArrow(run, f"doc_id {attributes.schema['doc_id'].dataType.simpleString()}, v array<bigint>")
 
 
 def attribute_search(memory: DataFrame, wanted: DataFrame, known: DataFrame, k: int, words: int = WORDS) -> DataFrame:

@@ -373,3 +373,22 @@ def test_an_emptied_document_loses_its_streamed_terms(spark, tmp_path):
         corpus(spark, [(1, text)]).coalesce(1).write.mode("append").parquet(path)
         ingest.start(spark.readStream.schema("doc_id bigint, text string").parquet(path), out, f"{tmp_path}/state").awaitTermination()
     assert ingest.terms(spark, out).count() == 0
+
+
+def test_documents_are_bundled_where_their_pairs_are(spark):
+    rows = [(d, k, v) for d in range(600) for k, v in (("lang", "fr" if d % 3 else None), ("source", f"s{d % 7}"), ("size", str(d % 2)))]
+    pairs = spark.createDataFrame([*rows, (900, "lang", None)], "doc_id bigint, key string, value string")
+    bound = pairs.filter("value is not null").select("doc_id", hdc.bind(hdc.pattern(F.col("key"), 5), hdc.pattern(F.col("value"), 5)).alias("v"))
+    made = hdc.encode_documents(pairs, 5)
+    assert {r.doc_id: r.v for r in made.collect()} == {r.doc_id: r.v for r in hdc.bundle(bound, "doc_id").collect()}
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()  # no row a word
+
+
+def test_projection_in_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    v = spark.createDataFrame([(n, [rng.gauss(0, 1) for _ in range(8)]) for n in range(50)], "doc_id bigint, emb array<double>").coalesce(1)
+    whole = {r.doc_id: r.v for r in hdc.project(v, words=3).collect()}
+    monkeypatch.setattr(hdc, "ROWS", 7)
+    assert {r.doc_id: r.v for r in hdc.project(v, words=3).collect()} == whole
+    asked, held = hdc.patterns_of(hdc.project(v, words=3)), hdc.project(v.union(v.select(F.col("doc_id") + 50, "emb")), words=3)
+    assert [(r.qid, r.doc_id) for r in hdc.recall(held, asked, 2).orderBy("qid", "rank").collect()] == [(n, m) for n in range(50) for m in (n, n + 50)]
