@@ -177,11 +177,13 @@ def project(vectors: DataFrame, id_col: str = "doc_id", vector_col: str = "emb",
         for frame in frames:
             if frame.empty:
                 continue
-            x = np.stack(frame["emb"].to_numpy()).astype(np.float64)
-            if planes is None or planes.shape[1] != x.shape[1]:
-                planes = np.random.default_rng(seed).standard_normal((words * WORD_BITS, x.shape[1]))
-            bits = (x @ planes.T > 0).reshape(len(x), words, WORD_BITS)
-            packed = (bits.astype(np.int64) << np.arange(WORD_BITS)).sum(2)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "v": list(packed)})
+            for at in range(0, len(frame), ROWS):  # the products of a row take 80 kB
+                part = frame.iloc[at : at + ROWS]
+                x = np.stack(part["emb"].to_numpy()).astype(np.float64)
+                if planes is None or planes.shape[1] != x.shape[1]:
+                    planes = np.random.default_rng(seed).standard_normal((words * WORD_BITS, x.shape[1]))
+                bits = (x @ planes.T > 0).reshape(len(x), words, WORD_BITS)
+                packed = (bits.astype(np.int64) << np.arange(WORD_BITS)).sum(2)
+                yield pd.DataFrame({"doc_id": part["doc_id"], "v": list(packed)})
 
     return vectors.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(vector_col).alias("emb")).filter("emb is not null").mapInPandas(run, "doc_id bigint, v array<bigint>")
