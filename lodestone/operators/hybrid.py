@@ -1,8 +1,7 @@
 """Hybrid retrieval: lexical weights blended with vector similarity.
 
-Terms are joined first and reduced to one row per (query, document); vectors are compared for these pairs only. Texts are read for
-documents that a query's rarest inner word, or a phrase's rarest word, leads to, and positions where a document can still reach the top k.
-``near`` arguments are functions from pairs (qid, doc_id) to their similarity, such as ``dense.pair_scores`` with its tables.
+Scores are made where a document's words are (``local``). Texts are read for documents that have all words of a query or of a phrase, and
+positions where a document can still reach the top k. ``near`` has the vectors of both sides, or is None.
 """
 
 from __future__ import annotations
@@ -17,102 +16,143 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources.tables import written
-from . import lexical
-from .ranking import top_k
+from . import lexical, local
+from .local import DEFAULT_IDF, Cells, Near, Side
+from .ranking import DIGITS, top_k
 
-RARE_IDF, LENGTH_WEIGHT, DEFAULT_IDF = 2.5, 0.35, 0.5
+LENGTH_WEIGHT = 0.35
 W_SEM, W_LEX = 0.6, 0.4
 #: Documents of each query whose span density is looked at first: theirs tell which others can still reach the top k.
 FIRST = 64
 #: A block of queries whose terms every task has holds at most so many terms.
 BLOCK_TERMS = 200_000
 
-Near = Callable[[DataFrame], DataFrame]
 
+def hybrid_candidates(expanded: DataFrame, doc_terms: DataFrame, near: Near, k: int, w_sem: float = W_SEM, w_lex: float = W_LEX) -> DataFrame:
+    """Documents with a lexical hit by ``w_sem`` * similarity + ``w_lex`` * overlap."""
 
-def hybrid_candidates(expanded: DataFrame, doc_terms: DataFrame, near: Near, k: int, bits: int = 64, w_sem: float = W_SEM, w_lex: float = W_LEX) -> DataFrame:
-    """Documents with a lexical hit by ``w_sem`` * similarity + ``w_lex`` * overlap; ``near`` gives (qid, doc_id, dist)."""
-    lex = written(lexical.overlap(expanded, doc_terms), "overlap")
-    both = lex.join(near(lex).select("qid", "doc_id", "dist"), ["qid", "doc_id"], "left")
-    sem = F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("dist") / float(bits)), F.lit(0.0))
-    return top_k(both.select("qid", "doc_id", (w_sem * sem + w_lex * F.col("score")).alias("score")), k)
+    def scored(cells: Cells) -> tuple[np.ndarray, list[np.ndarray]]:
+        score = np.where(cells.count() > 0, w_sem * cells.near(0.0) + w_lex * cells.share(), -np.inf)
+        return score, [score]
 
+    return top_k(local.ranked(expanded, doc_terms, scored, k, near), k)
 
-def _query_side(expanded: DataFrame) -> DataFrame:
-    """(qid, q_mean, q_terms)."""
-    return expanded.groupBy("qid").agg(F.avg(F.coalesce("idf", F.lit(DEFAULT_IDF))).alias("q_mean"), F.count(F.lit(1)).alias("q_terms"))
 
+def _lexical_score(cells: Cells, average: np.ndarray | float) -> np.ndarray:
+    ratio = cells.ratio()
+    return ratio * (1 + ratio * ratio) / np.maximum(0.5, 1 - LENGTH_WEIGHT + LENGTH_WEIGHT * cells.n_terms / average)
 
-def _hits(expanded: DataFrame, doc_terms: DataFrame) -> DataFrame:
-    """(qid, doc_id, n_hit, o_sum, entity, common): what a document's words are worth to a query."""
-    e = expanded.select("qid", "term", F.coalesce("idf", F.lit(DEFAULT_IDF)).alias("w"), (F.coalesce("idf", F.lit(0.0)) > RARE_IDF).alias("rare"))
-    each = doc_terms.join(e, "term").withColumn("v", F.ln(1 + F.col("tf").cast("double")) * F.col("w"))
-    return each.groupBy("qid", "doc_id").agg(
-        F.count(F.lit(1)).alias("n_hit"), F.sum("w").alias("o_sum"), F.sum(F.when(F.col("rare"), F.col("v")).otherwise(0.0)).alias("entity"), F.sum(F.when(F.col("rare"), 0.0).otherwise(F.col("v"))).alias("common")
-    )
 
+def _alpha(cells: Cells, n_hit: np.ndarray) -> np.ndarray:
+    mean = cells.weight() / np.maximum(n_hit, 1)
+    return np.where(n_hit == 0, 1.0, np.clip(1 - mean / np.maximum(cells.side.mean, 0.001)[:, None], 0.0, 1.0))
 
-def _lexical_score(average: Column) -> Column:
-    ratio = F.least(F.lit(1.0), (0.7 * F.col("entity") + 0.3 * F.col("common")) / 10)
-    return ratio * (1 + ratio * ratio) / F.greatest(F.lit(0.5), 1 - LENGTH_WEIGHT + LENGTH_WEIGHT * F.col("n_terms") / average)
 
+def _blended(expanded: DataFrame, doc_terms: DataFrame, near: Near, k: int, lex: Callable[[Cells, np.ndarray], np.ndarray], alpha: float | None, **known: DataFrame) -> DataFrame:
+    """Documents that share a word with a query, or all for a query that shares none with any, by alpha * similarity + (1 - alpha) * ``lex``.
 
-def _alpha() -> Column:
-    return F.when(F.col("n_hit") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (F.col("o_sum") / F.col("n_hit")) / F.greatest(F.col("q_mean"), F.lit(0.001)))))
+    ``known`` has what ``whole`` (qid, doc_id) contain, which score 1. Scores of 0 are dropped. ``lex`` also gets the candidates' mean number of terms.
+    """
+    parts = []
+    for side in local.sides(expanded, near=near):
+        held = written(local.facts(doc_terms, side, near, **known), "facts")
 
+        def size(cells: Cells) -> list[np.ndarray]:
+            hit = (cells.count() > 0).astype(np.float64)
+            every = np.ones(cells.shape)
+            return [hit, hit * cells.n_terms, every, every * cells.n_terms]
 
-def _nothing() -> list[Column]:
-    return [F.lit(0).cast("bigint").alias("n_hit"), *(F.lit(0.0).alias(c) for c in ("o_sum", "entity", "common"))]
+        n, terms, all_, all_terms = local.sums(held, side, size, "ssss")
+        lost = n == 0
+        average = np.maximum(np.where(lost, all_terms, terms) / np.maximum(np.where(lost, all_, n), 1), 1.0)[:, None]
 
+        def scored(cells: Cells, lost=lost, average=average) -> tuple[np.ndarray, list[np.ndarray]]:
+            n_hit = cells.count()
+            weight = _alpha(cells, n_hit) if alpha is None else alpha
+            blend = weight * cells.near(0.0) + (1 - weight) * lex(cells, average)
+            score = np.where(cells.known("whole", 0.0) > 0, 1.0, blend)
+            score = np.where(((n_hit > 0) | lost[:, None]) & (score > 0), score, -np.inf)
+            return score, [score]
 
-def _candidates(queries: DataFrame, expanded: DataFrame, doc_terms: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Hits with document lengths; a query that no document shares a word with gets all documents without any hit."""
-    hits = _hits(expanded, doc_terms).join(lengths.select("doc_id", "n_terms"), "doc_id")
-    lost = queries.select("qid").join(hits.select("qid"), "qid", "left_anti")
-    everything = lengths.select("doc_id", "n_terms").crossJoin(lost).select("doc_id", "qid", *_nothing(), "n_terms")
-    return hits.unionByName(everything)
+        parts.append(local.rows(held, side, scored, ["score"], local.kinds(expanded, doc_terms), k))
+    return top_k(local.union(parts, expanded, doc_terms, ["score"]), k)
 
 
-def text_bodies(docs: DataFrame) -> DataFrame:
-    """(doc_id, body, terms) of raw lower-case text."""
-    return docs.select("doc_id", F.lower("text").alias("body"), F.array_distinct(tx.words(F.col("text"))).alias("terms"))
+def full_hybrid_text(queries: DataFrame, expanded: DataFrame, docs: DataFrame, doc_terms: DataFrame, idfs: DataFrame, near: Near | None, k: int) -> DataFrame:
+    """TF-IDF blended with the dense similarity of ``near`` over documents that share a word with the query.
 
+    A document that contains the whole query scores 1. Scores of 0 are dropped.
+    """
+    boost = lexical.phrase_boost(queries, idfs, docs, F.lower("text"), doc_terms)
+    whole = lexical.exact_search(queries, docs, doc_terms, "text").select("qid", "doc_id")
+    return _blended(expanded, doc_terms, near, k, lambda cells, average: _lexical_score(cells, average) * cells.known("boost", 1.0), None, whole=whole, boost=boost)
 
-def normalized_bodies(docs: DataFrame) -> DataFrame:
-    """(doc_id, body, terms) of normalised text."""
-    return docs.select("doc_id", tx.normalized_text(F.col("text")).alias("body"), F.array_distinct(tx.terms(F.col("text"))).alias("terms"))
 
+def legacy_blend(queries: DataFrame, expanded: DataFrame, docs: DataFrame, doc_terms: DataFrame, near: Near, k: int, alpha: float | None = None, mode: str = "text") -> DataFrame:
+    """As above with the share of the query's idf as the lexical part; ``alpha`` replaces the weight if given."""
+    whole = lexical.exact_search(queries, docs, doc_terms, mode).select("qid", "doc_id")
+    return _blended(expanded, doc_terms, near, k, lambda cells, _: cells.share(), alpha, whole=whole)
 
-def full_hybrid_text(queries: DataFrame, expanded: DataFrame, docs: DataFrame, doc_terms: DataFrame, lengths: DataFrame, idfs: DataFrame, near: Near, k: int) -> DataFrame:
-    """TF-IDF blended with the dense similarity of ``near`` (qid, doc_id, score) over documents that share a word with the query.
 
-    A document that contains the whole query scores 1. Scores of 0 are dropped.
-    """
-    cand = written(_candidates(queries, expanded, doc_terms, lengths), "candidates").withColumn("average", F.greatest(F.avg(F.col("n_terms").cast("double")).over(Window.partitionBy("qid")), F.lit(1.0)))
-    boost = lexical.phrase_boost(queries, idfs, docs, text_bodies, doc_terms)
-    whole = lexical.exact_search(queries, docs, doc_terms, "text").select("qid", "doc_id", F.lit(True).alias("whole"))
-    scored = (
-        cand.join(_query_side(expanded), "qid").join(near(cand).select("qid", "doc_id", F.col("score").alias("sem")), ["qid", "doc_id"], "left")
-        .join(boost, ["qid", "doc_id"], "left").join(whole, ["qid", "doc_id"], "left")
-    )
-    lex = _lexical_score(F.col("average")) * F.coalesce("boost", F.lit(1.0))
-    blend = _alpha() * F.coalesce("sem", F.lit(0.0)) + (1 - _alpha()) * lex
-    out = scored.select("qid", "doc_id", F.when(F.col("whole"), 1.0).otherwise(blend).alias("score"))
-    return top_k(out.filter("score > 0"), k)
-
-
-def legacy_blend(queries: DataFrame, expanded: DataFrame, docs: DataFrame, doc_terms: DataFrame, lengths: DataFrame, near: Near, k: int, alpha: float | None = None, mode: str = "text") -> DataFrame:
-    """As above with the share of the query's idf as the lexical part; ``alpha`` replaces the weight if given."""
-    cand = written(_candidates(queries, expanded, doc_terms, lengths), "candidates")
-    share = lexical.overlap(expanded, doc_terms).withColumnRenamed("score", "share")
-    whole = lexical.exact_search(queries, docs, doc_terms, mode).select("qid", "doc_id", F.lit(True).alias("whole"))
-    scored = (
-        cand.join(_query_side(expanded), "qid").join(near(cand).select("qid", "doc_id", F.col("score").alias("sem")), ["qid", "doc_id"], "left")
-        .join(share, ["qid", "doc_id"], "left").join(whole, ["qid", "doc_id"], "left")
-    )
-    weight = _alpha() if alpha is None else F.lit(float(alpha))
-    blend = weight * F.coalesce("sem", F.lit(0.0)) + (1 - weight) * F.coalesce("share", F.lit(0.0))
-    return top_k(scored.select("qid", "doc_id", F.when(F.col("whole"), 1.0).otherwise(blend).alias("score")).filter("score > 0"), k)
+def _entropy(n: np.ndarray, s: np.ndarray, slog: np.ndarray) -> np.ndarray:
+    """``ranking.confidence`` from the number of scores, their sum and that of score * ln score."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(s <= 0, 0.0, np.where(n == 1, 1.0, 1 - (np.log(s) - slog / s) / np.log(n)))
+
+
+def _listed(cells: Cells, both: bool, digits: int | None) -> list[np.ndarray]:
+    """Whether a pair is a candidate, its overlap as it is rounded, and its similarity; 0.5 where there is none."""
+    from .dense import _half_up
+
+    hit = cells.count() > 0
+    share = _half_up(np.where(hit, cells.share(), 0.0).ravel(), DIGITS).reshape(cells.shape)
+    if not both:
+        return [hit, share]
+    near = np.where(hit, cells.near(0.5), 0.5)
+    return [hit, share, near if digits is None else _half_up(near.ravel(), digits).reshape(cells.shape)]
+
+
+def _folded(both: bool, digits: int | None) -> Callable[[Cells], list[np.ndarray]]:
+    def made(cells: Cells) -> list[np.ndarray]:
+        hit, *lists = _listed(cells, both, digits)
+        out = [hit.astype(np.float64)]
+        for x in lists:
+            positive = hit & (x > 0)
+            out += [np.where(hit, x, 0.0), np.where(positive, x * np.log(np.where(positive, x, 1.0)), 0.0), np.where(hit, x, np.inf), np.where(hit, x, -np.inf)]
+        return out
+
+    return made
+
+
+def lexical_confidence(expanded: DataFrame, doc_terms: DataFrame) -> DataFrame:
+    """(qid, confidence) of the overlap of each query with all documents that have some."""
+    rows = []
+    for side in local.sides(expanded):
+        n, s, slog, _, _ = local.sums(local.facts(doc_terms, side), side, _folded(False, None), "ssslm")
+        rows += [(q, float(c)) for q, c, m in zip(side.ids, _entropy(n, s, slog), n) if m]
+    return doc_terms.sparkSession.createDataFrame(rows, f"qid {expanded.schema['qid'].dataType.simpleString()}, confidence double")
+
+
+def fused(expanded: DataFrame, doc_terms: DataFrame, near: Near, k: int, digits: int | None = DIGITS) -> DataFrame:
+    """``ranking.fuse`` of the overlap with the similarity of ``near``, rounded to ``digits``."""
+    parts = []
+    for side in local.sides(expanded, near=near):
+        held = written(local.facts(doc_terms, side, near), "facts")
+        n, sa, la, low_a, high_a, sb, lb, low_b, high_b = local.sums(held, side, _folded(True, digits), "ssslmsslm")
+        a, b = _entropy(n, sa, la), _entropy(n, sb, lb)
+        wa, wb = (np.where(a + b > 0, x / np.where(a + b > 0, a + b, 1.0), 0.5)[:, None] for x in (a, b))
+
+        def scored(cells: Cells, wa=wa, wb=wb, ranges=((low_a, high_a), (low_b, high_b))) -> tuple[np.ndarray, list[np.ndarray]]:
+            hit, *lists = _listed(cells, True, digits)
+            norms = []
+            for x, (low, high) in zip(lists, ranges):
+                width = np.where(hit.any(1), high - low, 1.0)[:, None]
+                norms.append(np.where(width <= 1e-6, 0.5, (x - low[:, None]) / np.where(width <= 1e-6, 1.0, width)))
+            score = np.where(hit, wa * norms[0] + wb * norms[1], -np.inf)
+            return score, [score]
+
+        parts.append(local.rows(held, side, scored, ["score"], local.kinds(expanded, doc_terms), k))
+    return top_k(local.union(parts, expanded, doc_terms, ["score"]), k)
 
 
 def trimmed_words(text: Column) -> Column:
@@ -120,11 +160,9 @@ def trimmed_words(text: Column) -> Column:
     return F.transform(tx.space_words(tx.normalized_text(text)), lambda x: F.lower(F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
 
 
-def trimmed_hits(expanded: DataFrame, docs: DataFrame) -> DataFrame:
-    """(qid, doc_id, n_act, w_act): how many of the query's words a document has once both are trimmed as for spans, and their weight."""
-    terms = expanded.select("qid", "term", F.coalesce("idf", F.lit(DEFAULT_IDF)).alias("w"))
-    have = docs.select("doc_id", F.explode(F.array_distinct(trimmed_words(F.col("text")))).alias("term"))
-    return have.join(terms, "term").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("n_act"), F.sum("w").alias("w_act"))
+def trimmed_terms(docs: DataFrame) -> DataFrame:
+    """(doc_id, term): a document's words once trimmed as for spans."""
+    return docs.select("doc_id", F.explode(F.array_distinct(trimmed_words(F.col("text")))).alias("term"))
 
 
 def _least_span(places: list[np.ndarray]) -> int:
@@ -156,8 +194,8 @@ def span_density(pairs: DataFrame, expanded: DataFrame, docs: DataFrame) -> Data
 
     The documents of the pairs are read once for each block of queries, with the queries that ask for them.
     """
-    asked = pairs.groupBy("doc_id").agg(F.collect_set("qid").alias("qids"))
-    rows = docs.select("doc_id", trimmed_words(F.col("text")).alias("words")).join(asked, "doc_id")
+    asked = written(pairs.groupBy("doc_id").agg(F.collect_set("qid").alias("qids")), "asked")
+    rows = docs.join(asked, "doc_id").select("doc_id", trimmed_words(F.col("text")).alias("words"), "qids")
     kinds = [rows.schema["doc_id"].dataType.simpleString(), pairs.schema["qid"].dataType.simpleString()]
     spark, parts = docs.sparkSession, []
     for terms in _term_blocks(expanded.join(pairs.select("qid").distinct(), "qid", "left_semi")):
@@ -190,75 +228,87 @@ def exact_normalized(queries: DataFrame, docs: DataFrame, doc_terms: DataFrame)
     pieces = F.transform(tx.space_words(F.lower("text")), lambda w: F.regexp_replace(w, tx.TRAILING_PUNCTUATION, ""))
     inner = F.array_distinct(F.filter(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0))), lambda w: F.octet_length(w) >= 3))
     q = queries.select("qid", F.lower("text").alias("needle"), inner.alias("inner"))
-    each = q.select("qid", F.explode("inner").alias("term"))
-    df = doc_terms.join(each.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # a word that no document has rules the query out; else the rarest leads to the documents to read
-    first = Window.partitionBy("qid").orderBy("df", "term")
-    rare = each.join(df, "term").withColumn("r", F.row_number().over(first)).filter("r = 1").select("qid", "term")
-    body = docs.select("doc_id", tx.normalized_text(F.col("text")).alias("body"))
-    long = doc_terms.select("doc_id", "term").join(rare, "term").select("qid", "doc_id").join(q.select("qid", "needle"), "qid").join(body, "doc_id").filter(F.contains("body", "needle"))
-    short = body.join(q.filter(F.size("inner") == 0).select("qid", "needle"), F.contains("body", "needle"))
-    return long.select("qid", "doc_id").unionByName(short.select("qid", "doc_id"))
-
-
-def _reranked(base: DataFrame, bounded: DataFrame, expanded: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(qid, doc_id, score): ``base`` with the span density, of all documents of each query that can be among the ``k`` best.
-
-    A document's density is at most that of its words side by side (``high``). The ``FIRST`` of the highest bounds are worked out, and
-    then those whose bound reaches the k-th best score that is known by then: what is left out can't be among the best.
+    return lexical.containing(q, docs, doc_terms, tx.normalized_text(F.col("text")))
+
+
+def full_hybrid_quantized(queries: DataFrame, expanded: DataFrame, docs: DataFrame, doc_terms: DataFrame, idfs: DataFrame, near: Near | None, k: int) -> DataFrame:
+    """TF-IDF blended with the binary similarity of ``near``, re-ranked by span density.
+
+    All documents take part; one without any of the query's words scores 0 however near its vector is.
     """
-    order = Window.partitionBy("qid").orderBy(F.desc("high"), "doc_id")
-    placed = written(bounded.withColumn("place", F.row_number().over(order)), "bounded")
+    body = tx.normalized_text(F.col("text"))
+    known = {"boost": lexical.phrase_boost(queries, idfs, docs, body, doc_terms), "whole": exact_normalized(queries, docs, doc_terms).distinct()}
+    # words of a speaker are only looked up for dialogue queries
+    side = expanded.groupBy("qid").agg(F.avg(F.coalesce("idf", F.lit(DEFAULT_IDF))).alias("q_mean"), F.count(F.lit(1)).alias("q_terms"))
+    speakers = F.filter(tx.space_words(F.col("text")), lambda w: (F.octet_length(w) >= 3) & F.substring(w, 1, 1).rlike(r"\p{Lu}"))
+    talk = side.filter("q_mean < 2.2 and q_terms > 4").join(queries, "qid").select("qid", F.explode(speakers).alias("w")).select("qid", F.lower("w").alias("term")).distinct()
+    talk = written(talk, "talk")  # a query's own words
+    known["spoken"] = doc_terms.select("doc_id", "term").join(talk, "term").select("qid", "doc_id").distinct()
+    known["acts"] = trimmed_terms(docs)
+    finals = []
+    for block in local.sides(expanded, queries, near):
+        held = written(local.facts(doc_terms, block, near, **known), "facts")
+        average = held.agg(F.greatest(F.avg(F.col("n_terms").cast("double")), F.lit(1.0)).alias("average")).first()["average"] or 1.0
+        finals.append(_reranked(held, block, average, expanded, docs, k, local.kinds(queries, doc_terms)))
+    final = written(local.union(finals, queries, doc_terms, ["score"]), "final")
+    # documents without hits score 0 and fill up a query that has fewer than k others above that, in order of id; all its others are in ``final``
+    short = queries.select("qid").join(final.filter("round(score, 6) > 0").groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid", "left").filter(F.coalesce("n", F.lit(0)) < k).select("qid")
+    return top_k(final.unionByName(_filling(short, final, doc_terms, k)), k)
+
+
+def _bases(cells: Cells, average: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(candidate, base, high, n_act): the score before the span density, and the most that this can make of it."""
+    n_hit, whole = cells.count(), cells.known("whole", 0.0) > 0
+    dialogue = ((cells.side.mean < 2.2) & (cells.side.n > 4))[:, None]
+    weight = np.minimum(1.0, _alpha(cells, n_hit) + np.where(dialogue, 0.35, 0.0))
+    blend = (weight * cells.near(0.0) + (1 - weight) * _lexical_score(cells, average) * cells.known("boost", 1.0)) * np.where(dialogue & (cells.known("spoken", 0.0) > 0), 1.15, 1.0)
+    base = np.where(whole, 1.0, blend)
+    n_act, w_act = cells.words("acts")
+    # a document's density is at most that of its words side by side
+    most = np.where(n_act >= 2, w_act**1.5 / (np.log(np.maximum(n_act, 1)) + 1), 0.0)
+    return (n_hit > 0) | whole, base, base * (1 + 0.25 * most), n_act.astype(np.float64)
+
+
+def _reranked(held: DataFrame, side: Side, average: float, expanded: DataFrame, docs: DataFrame, k: int, kinds: tuple) -> DataFrame:
+    """(qid, doc_id, score): the base scores with the span density, of all documents of each query that can be among the ``k`` best.
+
+    The ``FIRST`` of the highest bounds are worked out, and then those whose bound reaches the k-th best score that is known by then, of
+    the first and of the base scores of others: what is left out can't be among the best.
+    """
+    columns = ["high", "base", "n_act"]
+
+    def by_high(cells: Cells) -> tuple[np.ndarray, list[np.ndarray]]:
+        candidate, base, high, n_act = _bases(cells, average)
+        return np.where(candidate, high, -np.inf), [high, base, n_act]
+
+    def by_base(cells: Cells) -> tuple[np.ndarray, list[np.ndarray]]:
+        candidate, base, _, _ = _bases(cells, average)
+        return np.where(candidate, base, -np.inf), [base]
 
     def scored(rows: DataFrame) -> DataFrame:
         density = span_density(rows.filter("n_act >= 2"), expanded, docs)
         return rows.join(density, ["qid", "doc_id"], "left").select("qid", "doc_id", (F.col("base") * (1 + 0.25 * F.coalesce("density", F.lit(0.0)))).alias("score"))
 
-    first = written(scored(placed.filter(F.col("place") <= max(FIRST, k))), "first")
-    rest = placed.filter(F.col("place") > max(FIRST, k))
-    known = first.unionByName(rest.select("qid", "doc_id", F.col("base").alias("score")))
-    best = Window.partitionBy("qid").orderBy(F.desc("score"))
-    floor = known.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k).select("qid", F.col("score").alias("floor"))
+    most = max(FIRST, k)
+    order = Window.partitionBy("qid").orderBy(F.desc("high"), "doc_id")
+    bounded = local.rows(held, side, by_high, columns, kinds, most).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    placed = written(bounded, "bounded")
+    first = written(scored(placed), "first")
+    best = written(local.rows(held, side, by_base, ["score"], kinds, k), "best").join(first.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
+    known = Window.partitionBy("qid").orderBy(F.desc("score"))
     # a query with fewer than k documents has no floor: all of its documents are in ``first``
-    more = written(rest.join(floor, "qid").filter(F.col("high") >= F.col("floor") - 1e-6).drop("floor"), "more")
-    return first.unionByName(scored(more))
-
+    floors = {r.qid: r.score for r in first.unionByName(best).withColumn("r", F.row_number().over(known)).filter(F.col("r") == k).select("qid", "score").collect()}  # a row a query of the block
+    floor = np.array([floors.get(q, np.inf) for q in side.ids])[:, None] - 1e-6
 
-def full_hybrid_quantized(queries: DataFrame, expanded: DataFrame, docs: DataFrame, doc_terms: DataFrame, lengths: DataFrame, idfs: DataFrame, near: Near | None, k: int, bits: int = 64) -> DataFrame:
-    """TF-IDF blended with the binary similarity of ``near`` (qid, doc_id, dist), re-ranked by span density.
+    def above(cells: Cells) -> tuple[np.ndarray, list[np.ndarray]]:
+        candidate, base, high, n_act = _bases(cells, average)
+        return np.where(candidate & (high >= floor), high, -np.inf), [high, base, n_act]
 
-    All documents take part; one without any of the query's words scores 0 however near its vector is.
-    """
-    size = lengths.agg(F.greatest(F.avg(F.col("n_terms").cast("double")), F.lit(1.0)).alias("average"))
-    side = _query_side(expanded).withColumn("dialogue", (F.col("q_mean") < 2.2) & (F.col("q_terms") > 4))
-    speaker = F.filter(tx.space_words(F.col("text")), lambda w: (F.octet_length(w) >= 3) & F.substring(w, 1, 1).rlike(r"\p{Lu}"))
-    side = side.join(queries.select("qid", speaker.alias("speakers")), "qid")
-    hits = written(_hits(expanded, doc_terms).join(lengths.select("doc_id", "n_terms"), "doc_id"), "hits")
-    boost = lexical.phrase_boost(queries, idfs, docs, normalized_bodies, doc_terms)
-    whole = exact_normalized(queries, docs, doc_terms).distinct().withColumn("whole", F.lit(True))
-    none = F.lit(None).cast("int").alias("dist")
-    dist = near(hits).select("qid", "doc_id", "dist") if near is not None else hits.select("qid", "doc_id", none).limit(0)
-    scored = (
-        hits.crossJoin(F.broadcast(size)).join(side, "qid").join(dist, ["qid", "doc_id"], "left")
-        .join(boost, ["qid", "doc_id"], "left").join(whole, ["qid", "doc_id"], "full_outer")
-    )
-    # words of a speaker are only looked up for dialogue queries
-    talk = side.filter("dialogue and size(speakers) > 0").select("qid", F.explode("speakers").alias("w")).select("qid", F.lower("w").alias("term")).distinct()
-    spoken = doc_terms.select("doc_id", "term").join(talk, "term").select("qid", "doc_id").distinct().withColumn("spoken", F.lit(True))
-    scored = scored.join(spoken, ["qid", "doc_id"], "left")
-    sem = F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("dist") / float(bits)), F.lit(0.0))
-    weight = F.least(F.lit(1.0), _alpha() + F.when(F.col("dialogue"), 0.35).otherwise(0.0))
-    blend = (weight * sem + (1 - weight) * _lexical_score(F.col("average")) * F.coalesce("boost", F.lit(1.0))) * F.when(F.col("dialogue") & F.col("spoken"), 1.15).otherwise(1.0)
-    base = written(scored.select("qid", "doc_id", F.when(F.col("whole"), 1.0).otherwise(blend).alias("base")), "base")
-    acts = base.join(trimmed_hits(expanded, docs), ["qid", "doc_id"], "left").fillna(0, ["n_act", "w_act"])
-    most = F.when(F.col("n_act") >= 2, F.pow("w_act", F.lit(1.5)) / (F.ln(F.col("n_act").cast("double")) + 1)).otherwise(0.0)
-    final = written(_reranked(base, acts.withColumn("high", F.col("base") * (1 + 0.25 * most)), expanded, docs, k), "final")
-    # documents without hits score 0 and fill up a query that has fewer than k others above that, in order of id
-    short = queries.select("qid").join(final.filter("round(score, 6) > 0").groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid", "left").filter(F.coalesce("n", F.lit(0)) < k).select("qid")
-    return top_k(final.unionByName(_filling(short, base, lengths, k)), k)
+    more = written(local.rows(held, side, above, columns, kinds, None).join(first.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti"), "more")
+    return first.unionByName(scored(more))
 
 
-def _filling(short: DataFrame, base: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
+def _filling(short: DataFrame, base: DataFrame, doc_terms: DataFrame, k: int) -> DataFrame:
     """(qid, doc_id, score 0): the ``k`` lowest ids that each of the queries (qid) has no row of ``base`` for.
 
     At most as many of the lowest ids as a query has rows, and ``k`` more, can matter to it.
@@ -267,7 +317,7 @@ def _filling(short: DataFrame, base: DataFrame, lengths: DataFrame, k: int) -> D
     most = short.join(taken.groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid", "left").agg(F.max(F.coalesce("n", F.lit(0))).alias("n")).first()["n"]
     if most is None:
         return base.limit(0).select("qid", "doc_id", F.lit(0.0).alias("score"))
-    lowest = lengths.select("doc_id").orderBy("doc_id").limit(most + k)
+    lowest = doc_terms.select("doc_id").distinct().orderBy("doc_id").limit(most + k)
     free = lowest.crossJoin(short).join(taken, ["qid", "doc_id"], "left_anti")
     order = Window.partitionBy("qid").orderBy("doc_id")
     return free.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("qid", "doc_id", F.lit(0.0).alias("score"))

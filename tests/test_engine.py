@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.api import Index, register
 from lodestone.encoder import HashingEncoder, PrecomputedEncoder
 from lodestone.functions import vector as vx
-from lodestone.operators import analyze, dense, evaluate, hdc, hybrid, index, lexical, ranking
+from lodestone.operators import analyze, dense, evaluate, hdc, hybrid, index, lexical, local, ranking
 from lodestone.sources import tables
 from lodestone.streaming import ingest
 
@@ -392,3 +392,37 @@ def test_projection_in_blocks(spark, monkeypatch):
     assert {r.doc_id: r.v for r in hdc.project(v, words=3).collect()} == whole
     asked, held = hdc.patterns_of(hdc.project(v, words=3)), hdc.project(v.union(v.select(F.col("doc_id") + 50, "emb")), words=3)
     assert [(r.qid, r.doc_id) for r in hdc.recall(held, asked, 2).orderBy("qid", "rank").collect()] == [(n, m) for n in range(50) for m in (n, n + 50)]
+
+
+def test_a_phrase_with_a_short_word_is_led_to_by_what_documents_have(spark):
+    rows = [(i, f"zebra of ivory coast {i}" if i == 7 else f"cup of tea number{i} ivory") for i in range(40)]
+    docs = corpus(spark, rows)
+    terms = index.doc_terms(docs, "text")
+    idfs = index.term_idf(terms, index.count_docs(docs))
+    q = queries(spark, "zebra of ivory coast", "cup of nothing number3")
+    got = {(r.qid, r.doc_id): r.boost for r in lexical.phrase_boost(q, idfs, docs, F.lower("text"), terms).collect()}
+    assert got == {(0, 7): 1.25}
+    # only documents that have all words of a phrase meet it, however common one of the words is
+    wanted = spark.createDataFrame([(0, w) for w in ("zebra", "of", "ivory")] + [(1, "of"), (2, "of"), (2, "nowhere")], "qid bigint, term string")
+    assert sorted(local.having_all(wanted, terms).collect()) == [(0, 7), *((1, i) for i in range(40))]
+
+
+def test_local_scores_against_plans_with_a_row_a_pair(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(60)]
+    docs = corpus(spark, [(i, " ".join(rng.choices(words, k=rng.randint(1, 30)))) for i in range(300)] + [(300, "")]).repartition(5)
+    terms = index.doc_terms(docs)
+    e = spark.createDataFrame([(q, rng.choice(words) if j else "unknown", None if j % 4 == 0 else rng.random() * 4) for q in range(9) for j in range(q)], "qid bigint, term string, idf double").dropDuplicates(["qid", "term"])
+    v = spark.createDataFrame([(i % 150, [rng.gauss(0, 1) for _ in range(4)]) for i in range(200)] + [(151, None), (152, [1.0, None, 1.0, 1.0]), (153, [1.0])], "doc_id bigint, v array<double>")
+    asked = spark.createDataFrame([(q, [rng.gauss(0, 1) for _ in range(4)]) for q in range(0, 9, 2)], "qid bigint, q array<double>")
+    lex = ranking.top_k(lexical.overlap(e, terms), 1000).select("qid", "doc_id", "score")
+    sem = dense.pair_scores(lex, asked, v.withColumnRenamed("v", "emb")).withColumn("score", F.round("score", 6))
+    rows = lambda df: {(r.qid, r.doc_id): round(r.score, 5) for r in df.collect()}
+    wanted = rows(ranking.top_k(lex, 5)), rows(ranking.fuse(lex, sem, 5)), {r.qid: round(r.confidence, 6) for r in ranking.confidence(lex).collect()}
+    for block, cells in ((200_000, 1 << 19), (230, 50)):
+        monkeypatch.setattr(local, "BLOCK_TERMS", block)
+        monkeypatch.setattr(local, "CELLS", cells)
+        near = local.Near("dot", asked, v)
+        assert (rows(lexical.pure_lexical(e, terms, 5)), rows(hybrid.fused(e, terms, near, 5)), {r.qid: round(r.confidence, 6) for r in hybrid.lexical_confidence(e, terms).collect()}) == wanted
+    plan = lexical.pure_lexical(e, terms, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
